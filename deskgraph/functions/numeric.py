@@ -38,3 +38,11 @@ def count_if(condition: Column) -> Column:
 def harmonic(a: Column, b: Column) -> Column:
     """F1 of precision ``a`` and recall ``b``; 0.0 if both are zero."""
     return ratio(F.lit(2.0) * (a * b), a + b)
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Text with a fixed number of places, rounded half-even on the binary value as ``printf`` in C does.
+
+    Spark's own ``format_string`` rounds the decimal text half-up.
+    """
+    return F.format_number(value.cast("double"), f"0.{'0' * digits}")
