@@ -154,7 +154,8 @@ def _average_ranks(pairs: DataFrame, by: Sequence[str], value: str, rank: str) -
 
 
 def spearman_agreement(
-    pairs: DataFrame, by: Sequence[str] = ("dim",), undefined: float | None = D.UNDEFINED_SPEARMAN, minimum: int = D.MIN_AGREEMENT_PAIRS
+    pairs: DataFrame, by: Sequence[str] = ("dim",), undefined: float | None = D.UNDEFINED_SPEARMAN,
+    minimum: int = D.MIN_AGREEMENT_PAIRS, digits: int = 4,
 ) -> DataFrame:
     """Rank correlation of ``judge`` and ``human`` per group: ``by, n, spearman``.
 
@@ -177,7 +178,7 @@ def spearman_agreement(
     )
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     vx, vy = n * F.col("sxx") - sx * sx, n * F.col("syy") - sy * sy
-    rho = F.when((vx > 0) & (vy > 0), round_dp((n * F.col("sxy") - sx * sy) / F.sqrt(vx * vy), 4))
+    rho = F.when((vx > 0) & (vy > 0), round_dp((n * F.col("sxy") - sx * sy) / F.sqrt(vx * vy), digits))
     value = rho if undefined is None else F.coalesce(rho, F.lit(undefined))
     return sums.where(n >= minimum).select(*keys, n.cast("bigint").alias("n"), value.alias("spearman"))
 
@@ -217,7 +218,7 @@ def spearman_p_value(pairs: DataFrame, by: Sequence[str] = ("dim",)) -> DataFram
 
     The tail runs on one aggregate row per group.
     """
-    rho = spearman_agreement(pairs, by, undefined=None)
+    rho = spearman_agreement(pairs, by, undefined=None, digits=12)
 
     def tails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

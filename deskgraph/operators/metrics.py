@@ -106,45 +106,56 @@ def _escalation_counts(prefix: str = "") -> list[Column]:
     ]
 
 
-def escalation_confusion(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
-    """Confusion counts and scores with escalation as the positive class."""
+def _escalation_scores() -> dict[str, Column]:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
-    return joined.groupBy(*by).agg(*_escalation_counts()).select(
-        *by,
-        round_dp(ratio(tp + tn, tp + fp + fn + tn), 4).alias("accuracy"),
-        round_dp(precision, 4).alias("precision"),
-        round_dp(recall, 4).alias("recall"),
-        round_dp(harmonic(precision, recall), 4).alias("f1"),
-        "tp",
-        "fp",
-        "fn",
-        "tn",
-    )
+    return {
+        "accuracy": round_dp(ratio(tp + tn, tp + fp + fn + tn), 4),
+        "precision": round_dp(precision, 4),
+        "recall": round_dp(recall, 4),
+        "f1": round_dp(harmonic(precision, recall), 4),
+    }
 
 
-def autonomy_resolvability(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
-    """Of the rows handled automatically, how many gold also handles so; nulls where there are none."""
+def escalation_confusion(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
+    """Confusion counts and scores with escalation as the positive class."""
+    scores = [c.alias(n) for n, c in _escalation_scores().items()]
+    return joined.groupBy(*by).agg(*_escalation_counts()).select(*by, *scores, "tp", "fp", "fn", "tn")
+
+
+def _autonomy_counts() -> list[Column]:
     auto = F.col("pred_action") == "auto_handle"
-    total, valid = F.col("auto_handle_count"), F.col("_valid")
-    return joined.groupBy(*by).agg(
+    return [
         count_if(auto).alias("auto_handle_count"),
         count_if(auto & (F.col("true_action") == "auto_handle")).alias("_valid"),
-    ).select(
-        *by,
-        "auto_handle_count",
+    ]
+
+
+def _autonomy_scores() -> list[Column]:
+    total, valid = F.col("auto_handle_count"), F.col("_valid")
+    return [
+        total,
         F.when(total > 0, valid).alias("valid_resolvable_count"),
         F.when(total > 0, total - valid).alias("unsafe_auto_handled_count"),
         round_dp(ratio(valid, total), 4).alias("autonomy_resolvability_rate"),
-    )
+    ]
 
 
-def grounding_rate(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
-    """Pass rate and mean score; an empty input of one system gives zeros."""
-    return joined.groupBy(*by).agg(
+def autonomy_resolvability(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
+    """Of the rows handled automatically, how many gold also handles so; nulls where there are none."""
+    return joined.groupBy(*by).agg(*_autonomy_counts()).select(*by, *_autonomy_scores())
+
+
+def _grounding_scores() -> list[Column]:
+    return [
         round_dp(ratio(count_if(F.col("grounding_pass")), F.count(F.lit(1))), 4).alias("grounding_pass_rate"),
         round_dp(F.coalesce(F.avg("grounding_score"), F.lit(0.0)), 4).alias("mean_grounding_score"),
-    )
+    ]
+
+
+def grounding_rate(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
+    """Pass rate and mean score.  Without ``by`` an empty input gives one row of zeros."""
+    return joined.groupBy(*by).agg(*_grounding_scores())
 
 
 def latency_percentiles(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
@@ -184,49 +195,42 @@ def segment_breakdown(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFram
 
 def composite_reliability(joined: DataFrame, by: Sequence[str] = SYSTEM, weights: dict[str, float] | None = None) -> DataFrame:
     """Weighted sum of macro-F1, escalation F1 and grounding pass rate."""
-    w = weights or D.RELIABILITY_WEIGHTS
-    parts = (
-        intent_accuracy_macro_f1(joined, by)
-        .join(escalation_confusion(joined, by).select(*by, F.col("f1").alias("escalation_f1")), list(by))
-        .join(grounding_rate(joined, by), list(by))
+    core = joined.groupBy(*by).agg(*_escalation_counts(), *_grounding_scores())
+    parts = core.withColumn("escalation_f1", _escalation_scores()["f1"]).join(
+        intent_accuracy_macro_f1(joined, by), list(by)
     )
-    score = (
+    return parts.select(*by, _reliability(weights).alias("composite_reliability"))
+
+
+def _reliability(weights: dict[str, float] | None) -> Column:
+    w = weights or D.RELIABILITY_WEIGHTS
+    return round_dp(
         F.lit(w["macro_f1"]) * F.col("macro_f1")
         + F.lit(w["escalation_f1"]) * F.col("escalation_f1")
-        + F.lit(w["grounding"]) * F.col("grounding_pass_rate")
+        + F.lit(w["grounding"]) * F.col("grounding_pass_rate"),
+        4,
     )
-    return parts.select(*by, round_dp(score, 4).alias("composite_reliability"))
 
 
 def system_report(joined: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """All metrics of every system, one row each; the joins meet one row per system."""
-    w = weights or D.RELIABILITY_WEIGHTS
+    """All metrics of every system, one row each.
+
+    Everything that is a plain count or mean comes from one pass; label counts and latency
+    counts take one more each.  The joins meet one row per system.
+    """
     keys = list(SYSTEM)
-    escalation = escalation_confusion(joined).select(
-        *keys,
-        F.col("accuracy").alias("escalation_accuracy"),
-        F.col("precision").alias("escalation_precision"),
-        F.col("recall").alias("escalation_recall"),
-        F.col("f1").alias("escalation_f1"),
-        "tp",
-        "fp",
-        "fn",
-        "tn",
+    core = joined.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("sample_count"), *_escalation_counts(), *_autonomy_counts(), *_grounding_scores()
     )
-    score = (
-        F.lit(w["macro_f1"]) * F.col("macro_f1")
-        + F.lit(w["escalation_f1"]) * F.col("escalation_f1")
-        + F.lit(w["grounding"]) * F.col("grounding_pass_rate")
+    escalation = [c.alias(f"escalation_{n}") for n, c in _escalation_scores().items()]
+    plain = core.select(
+        *keys, "sample_count", *escalation, "tp", "fp", "fn", "tn", *_autonomy_scores(),
+        "grounding_pass_rate", "mean_grounding_score",
     )
     return (
-        joined.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("sample_count"))
-        .join(intent_accuracy_macro_f1(joined), keys)
-        .join(escalation, keys)
-        .join(autonomy_resolvability(joined), keys)
-        .join(grounding_rate(joined), keys)
+        plain.join(intent_accuracy_macro_f1(joined), keys)
         .join(latency_percentiles(joined), keys)
-        .withColumn("composite_reliability", round_dp(score, 4))
+        .withColumn("composite_reliability", _reliability(weights))
     )
 
 
