@@ -9,22 +9,26 @@ from pyspark.sql import functions as F
 
 HOT_KEYS = 128
 SALTS = 64
+HOT_ROWS = 100_000
 
 
-def hot_keys(rows: DataFrame, key: str, share: float = 0.002, limit: int = HOT_KEYS) -> DataFrame:
-    """Keys holding more than ``share`` of ``rows``: at most ``limit`` of them.
+def hot_keys(
+    rows: DataFrame, key: str, share: float = 0.002, hot_rows: int = HOT_ROWS, limit: int = HOT_KEYS
+) -> DataFrame:
+    """Hashes of keys with more than ``hot_rows`` rows and ``share`` of all ``rows``: at most ``limit``.
 
-    One pass with a frequent-item sketch, whose size does not grow with the data.
-    The result only steers how rows are spread, so sketch error cannot change a join.
+    One pass with a frequent-item sketch, whose size does not grow with the data.  The result
+    only steers how rows are spread, so neither sketch error nor a hash collision can
+    change a join.
     """
-    sketch = rows.where(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k({key}, {limit}, {limit * 64})").alias("top"),
+    sketch = rows.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("_h")).agg(
+        F.expr(f"approx_top_k(_h, {limit}, {limit * 64})").alias("top"),
         F.count(F.lit(1)).alias("total"),
     )
     return (
         sketch.select(F.explode("top").alias("entry"), "total")
-        .where(F.col("entry.count") > F.col("total") * F.lit(share))
-        .select(F.col("entry.item").alias(key))
+        .where(F.col("entry.count") > F.greatest(F.lit(hot_rows), F.col("total") * F.lit(share)))
+        .select(F.col("entry.item").alias("_h"))
         .limit(limit)
     )
 
@@ -36,27 +40,21 @@ def join_to_unique(
     spread_by: Sequence[str],
     how: str = "inner",
     salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join many ``rows`` to a side with one row per ``key``.
 
-    Rows of a hot key are spread over ``salts`` partitions by a hash of ``spread_by``
-    and the one matching row is copied to each; every other key joins as usual.
-    The broadcast set of hot keys is bounded by ``HOT_KEYS``.
+    Rows of a hot key are spread over ``salts`` partitions by a hash of ``spread_by`` and the
+    one matching row is copied to each; every other key joins as usual.  The hot keys come
+    in as one array of at most ``HOT_KEYS`` hashes, computed once.
     """
-    hot = hot_keys(rows, key).select(key, F.lit(True).alias("_hot"))
-    salted = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
-    )
-    copies = (
-        unique.join(F.broadcast(hot), key, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_hot")
-    )
-    return salted.drop("_hot").join(copies, [key, "_salt"], how).drop("_salt")
+    hot = hot_keys(rows, key, hot_rows=hot_rows).agg(F.collect_list("_h")).scalar()
+    is_hot = F.array_contains(hot, F.xxhash64(key))
+    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    salted = rows.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    copies = unique.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def top_n_per_group(

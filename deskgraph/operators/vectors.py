@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -113,32 +114,34 @@ def centroid_products(rows: DataFrame, model: Centroids, vector: str = "embeddin
 class _Block:
     """Corpus rows of one task, ordered by case id so that ties fall to the lower id."""
 
-    ids: np.ndarray
+    ids: pa.Array
     values: np.ndarray
 
     @staticmethod
     def of(corpus: pa.Table, dims: int | None) -> "_Block":
-        ids = np.asarray(corpus.column("case_id"))
-        order = np.argsort(ids, kind="stable")
-        return _Block(ids[order], np.ascontiguousarray(matrix(corpus.column("_vector"), dims)[order].T))
+        ids = corpus.column("case_id").combine_chunks()
+        order = pc.sort_indices(ids)
+        values = matrix(corpus.column("_vector"), dims)[order.to_numpy()]
+        return _Block(ids.take(order), np.ascontiguousarray(values.T))
 
-    def search(self, ids: np.ndarray, vectors: pa.Array, k: int, dims: int | None) -> pa.RecordBatch:
+    def search(self, ids: pa.Array, vectors: pa.Array, k: int, dims: int | None) -> pa.RecordBatch:
         """Top ``k`` for every query row, a slice of queries at a time to bound memory."""
         width = min(k, len(self.ids))
         step = max(1, SCORE_CELLS // max(1, *self.values.shape))
-        cases, scores = [], []
+        cases, scores = [np.empty(0, dtype=np.int64)], [np.empty(0)]
         for start in range(0, len(ids), step):
             block = np.round(matrix(vectors.slice(start, step), dims) @ self.values, TIE_DIGITS)
             best = _best_columns(block, width)
-            cases.append(self.ids[best].ravel())
+            cases.append(best.ravel())
             scores.append(np.take_along_axis(block, best, axis=1).ravel() + 0.0)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat(ids, width), pa.int64()),
-                pa.array(np.concatenate(cases) if cases else [], pa.int64()),
-                pa.array(np.concatenate(scores) if scores else [], pa.float64()),
+                ids.take(pa.array(np.repeat(np.arange(len(ids)), width))),
+                self.ids.take(pa.array(np.concatenate(cases))),
+                pa.array(np.concatenate(scores)),
+                pa.array(np.tile(np.arange(1, width + 1), len(ids))),
             ],
-            names=["query_id", "case_id", "similarity"],
+            names=["query_id", "case_id", "similarity", "rank"],
         )
 
 
@@ -154,9 +157,6 @@ def _best_columns(scores: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
-_FOUND = "query_id bigint, case_id bigint, similarity double"
-
-
 def topk_similar(
     queries: DataFrame,
     corpus: DataFrame,
@@ -177,25 +177,30 @@ def topk_similar(
     (see :func:`matrix`) need ``dims``.
     """
     left = queries.where(F.col(vector).isNotNull()).select(
-        F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).alias("_vector")
+        F.col(query_id).alias("query_id"), F.col(vector).alias("_vector")
     )
     right = corpus.where(F.col(vector).isNotNull()).select(
-        F.col(case_id).cast("bigint").alias("case_id"), F.col(vector).alias("_vector")
+        F.col(case_id).alias("case_id"), F.col(vector).alias("_vector")
+    )
+    shape = (
+        f"query_id {left.schema['query_id'].dataType.simpleString()}, "
+        f"case_id {right.schema['case_id'].dataType.simpleString()}, similarity double, rank bigint"
     )
     width = F.lit(dims) if dims else F.coalesce(F.max(F.size("_vector")), F.lit(0))
     size = right.agg(F.count(F.lit(1)).alias("rows"), width.alias("width")).first()
     if size["rows"] == 0:
-        found = queries.sparkSession.createDataFrame([], _FOUND)
+        found = queries.sparkSession.createDataFrame([], shape)
     elif size["rows"] * size["width"] * 8 <= broadcast_bytes:
-        found = _search_broadcast(left, right, k, dims)
+        found = _search_broadcast(left, right, k, dims, shape)
     else:
-        found = _search_grid(left, right, k, dims, block_rows, size["rows"])
-    return top_n_per_group(
-        found, ["query_id"], [F.desc("similarity"), F.col("case_id")], k, rank="rank"
-    ).withColumn("rank", F.col("rank").cast("bigint"))
+        cells = _search_grid(left, right, k, dims, shape, block_rows, size["rows"]).drop("rank")
+        order = [F.desc("similarity"), F.col("case_id")]
+        found = top_n_per_group(cells, ["query_id"], order, k, rank="rank")
+        found = found.withColumn("rank", F.col("rank").cast("bigint"))
+    return found
 
 
-def _search_broadcast(queries: DataFrame, corpus: DataFrame, k: int, dims: int | None) -> DataFrame:
+def _search_broadcast(queries: DataFrame, corpus: DataFrame, k: int, dims: int | None, shape: str) -> DataFrame:
     shared = queries.sparkSession.sparkContext.broadcast(corpus.toArrow())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +208,14 @@ def _search_broadcast(queries: DataFrame, corpus: DataFrame, k: int, dims: int |
         for batch in batches:
             if batch.num_rows:
                 block = block or _Block.of(shared.value, dims)
-                yield block.search(np.asarray(batch.column(0)), batch.column(1), k, dims)
+                yield block.search(batch.column(0), batch.column(1), k, dims)
 
-    return queries.mapInArrow(search, _FOUND)
+    return queries.mapInArrow(search, shape)
 
 
-def _search_grid(queries: DataFrame, corpus: DataFrame, k: int, dims: int | None, block_rows: int, corpus_rows: int) -> DataFrame:
+def _search_grid(
+    queries: DataFrame, corpus: DataFrame, k: int, dims: int | None, shape: str, block_rows: int, corpus_rows: int
+) -> DataFrame:
     corpus_blocks = max(1, -(-corpus_rows // block_rows))
     query_blocks = max(1, -(-queries.count() // block_rows))
 
@@ -222,8 +229,7 @@ def _search_grid(queries: DataFrame, corpus: DataFrame, k: int, dims: int | None
     right = corpus.select("*", block("case_id", corpus_blocks).alias("cb")).withColumn("qb", every(query_blocks))
 
     def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        vectors = q.column("_vector").combine_chunks()
-        found = _Block.of(c, dims).search(np.asarray(q.column("query_id")), vectors, k, dims)
-        return pa.Table.from_batches([found])
+        ids, vectors = (q.column(n).combine_chunks() for n in ("query_id", "_vector"))
+        return pa.Table.from_batches([_Block.of(c, dims).search(ids, vectors, k, dims)])
 
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(cell, _FOUND)
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(cell, shape)
