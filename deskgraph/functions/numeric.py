@@ -45,4 +45,4 @@ def fixed(value: Column, digits: int) -> Column:
 
     Spark's own ``format_string`` rounds the decimal text half-up.
     """
-    return F.format_number(value.cast("double"), f"0.{'0' * digits}")
+    return F.replace(F.format_number(value.cast("double"), digits), F.lit(","), F.lit(""))
