@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from deskgraph import defaults as D
 from deskgraph.functions import rules
 from deskgraph.functions import text as T
+from deskgraph.operators import threads
 
 
 def read_messages(spark: SparkSession, path: str, schema: StructType | str, file_format: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -62,3 +63,16 @@ def stream_batches(
 
     writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def context_from_history(batch: DataFrame, history: DataFrame, conversation: str = "conv_id", order: str = "turn") -> DataFrame:
+    """The batch with ``prior_turns`` drawn from stored messages and from the batch itself.
+
+    Only stored messages of the batch's conversations are read into the windows; a message that
+    is already stored counts once.
+    """
+    known = history.join(batch.select(conversation).distinct(), conversation, "left_semi").join(
+        batch.select(conversation, order), [conversation, order], "left_anti"
+    )
+    both = known.select(*batch.columns).withColumn("_new", F.lit(False)).unionByName(batch.withColumn("_new", F.lit(True)))
+    return threads.bounded_context(both, conversation, order).where("_new").drop("_new")
