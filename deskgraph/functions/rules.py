@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskgraph import defaults as D
@@ -75,14 +75,20 @@ def safety_trigger(
 
 def keyword_hits(text: Column, keywords: Sequence[str] = D.ESCALATION_KEYWORDS) -> Column:
     """Sorted distinct keywords among the lower-cased white-space tokens."""
-    return F.array_sort(F.array_intersect(T.tokens(F.lower(text)), F.array(*[F.lit(k) for k in keywords])))
-
-
-def keyword_escalation(text: Column, keywords: Sequence[str] = D.ESCALATION_KEYWORDS) -> tuple[Column, Column]:
-    """Decision and reason of the keyword-only router."""
-    hits = keyword_hits(text, keywords)
-    decision = F.when(F.size(hits) > 0, F.lit("escalate")).otherwise(F.lit("auto_handle"))
-    reason = F.when(
-        F.size(hits) > 0, F.concat(F.lit(D.KEYWORD_REASON), F.array_join(hits, ", "))
-    ).otherwise(F.lit(D.NO_KEYWORD_REASON))
-    return decision, reason
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), f"[{T.SPACE}]+")
+    return F.array_intersect(F.array(*[F.lit(k) for k in sorted(keywords)]), parts)
+
+
+def keyword_escalation(rows: DataFrame, text: str, keywords: Sequence[str] = D.ESCALATION_KEYWORDS) -> DataFrame:
+    """Add ``routing_decision`` and ``routing_reason`` of the keyword-only router."""
+    hits = F.col("_hits")
+    found = F.size(hits) > 0
+    return (
+        rows.withColumn("_hits", keyword_hits(F.col(text), keywords))
+        .withColumn("routing_decision", F.when(found, F.lit("escalate")).otherwise(F.lit("auto_handle")))
+        .withColumn(
+            "routing_reason",
+            F.when(found, F.concat(F.lit(D.KEYWORD_REASON), F.array_join(hits, ", "))).otherwise(F.lit(D.NO_KEYWORD_REASON)),
+        )
+        .drop("_hits")
+    )

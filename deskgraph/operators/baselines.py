@@ -58,6 +58,7 @@ def logistic_intent(
     features: int = D.TFIDF_FEATURES,
     max_iter: int = 500,
     c: float = 1.0,
+    tolerance: float = 1e-4,
 ) -> PipelineModel:
     """Fit TF-IDF and multinomial logistic regression.
 
@@ -73,6 +74,7 @@ def logistic_intent(
         rawPredictionCol="_raw",
         family="multinomial",
         maxIter=max_iter,
+        tol=tolerance,
         regParam=1.0 / (c * max(1, train.count())),
         elasticNetParam=0.0,
         standardization=False,
@@ -105,16 +107,15 @@ def simple_ml_baseline(
     """Logistic intent, reply of the nearest case, keyword routing."""
     classified = classify_logistic(model, rows.select(example_id, text), text)
     answered = verbatim_nearest_reply(classified, corpus, example_id, text, features=features, ngrams=2)
-    decision, reason = keyword_escalation(F.col(text))
-    return answered.select(
+    return keyword_escalation(answered, text).select(
         F.lit("simple_ml_baseline").alias("system_name"),
         F.col(example_id).alias("example_id"),
         F.col(text).alias("input_text"),
         "predicted_intent",
         "intent_confidence",
         "generated_reply",
-        decision.alias("routing_decision"),
-        reason.alias("routing_reason"),
+        "routing_decision",
+        "routing_reason",
         F.lit(1.0).alias("grounding_score"),
         F.lit(True).alias("grounding_pass"),
         F.lit(0.0).alias("latency_ms"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from deskgraph import defaults as D
 from deskgraph.functions import text as T
 from deskgraph.functions.numeric import count_if, percent, round_dp
 from deskgraph.operators.skew import join_to_unique, top_n_per_group
+from deskgraph.session import materialise
 
 CANDIDATES = 10
 
@@ -24,25 +27,28 @@ def brand_candidates(msgs: DataFrame, n: int = CANDIDATES) -> DataFrame:
     )
 
 
-def _candidate_messages(msgs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Messages by the candidates; the broadcast holds at most as many names as candidates were asked for."""
-    return msgs.withColumnRenamed("author_id", "brand").join(
-        F.broadcast(candidates.select("brand")), "brand", "left_semi"
-    )
+def _candidate_messages(msgs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Messages by the candidates.  The names are literals, so the scan itself filters on them."""
+    return msgs.where(F.col("author_id").isin(*names)).withColumnRenamed("author_id", "brand")
+
+
+def candidate_names(candidates: DataFrame) -> list[str]:
+    """The names of a candidate table, which is as short as its ``limit``."""
+    return [row["brand"] for row in candidates.select("brand").collect()]
 
 
 def _inbound_ids(msgs: DataFrame) -> DataFrame:
     return msgs.where(F.col("inbound")).select(F.col("tweet_id").alias("parent_id"))
 
 
-def brand_usable_volume(msgs: DataFrame, candidates: DataFrame) -> DataFrame:
+def brand_usable_volume(msgs: DataFrame, candidates: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Replies whose parent exists and is inbound.
 
     Replies are counted per (brand, parent) before the join, so a message with very
     many replies is one row when it meets its parent.
     """
     replies = (
-        _candidate_messages(msgs, candidates)
+        _candidate_messages(msgs, candidate_names(candidates) if names is None else names)
         .where(F.col("in_response_to_tweet_id").isNotNull())
         .groupBy("brand", F.col("in_response_to_tweet_id").alias("parent_id"))
         .agg(F.count(F.lit(1)).alias("n"))
@@ -62,13 +68,13 @@ def thread_completeness(volumes: DataFrame) -> DataFrame:
     )
 
 
-def customer_texts(msgs: DataFrame, candidates: DataFrame, cap: int = D.SCORING_TEXTS) -> DataFrame:
+def customer_texts(msgs: DataFrame, names: Sequence[str], cap: int = D.SCORING_TEXTS) -> DataFrame:
     """Customer texts behind the first ``cap`` usable replies of each candidate: ``brand, n, text``.
 
     Only ids travel until the cut is made; the texts of the at most
-    ``candidates * cap`` chosen parents are fetched afterwards.
+    ``len(names) * cap`` chosen parents are fetched afterwards.
     """
-    replies = _candidate_messages(msgs, candidates).select(
+    replies = _candidate_messages(msgs, names).select(
         "brand", "tweet_id", F.col("in_response_to_tweet_id").alias("parent_id")
     )
     usable = join_to_unique(
@@ -79,9 +85,9 @@ def customer_texts(msgs: DataFrame, candidates: DataFrame, cap: int = D.SCORING_
     return chosen.join(texts, "parent_id").select("brand", "n", "text")
 
 
-def first_replies(msgs: DataFrame, candidates: DataFrame, cap: int = D.SCORING_TEXTS) -> DataFrame:
+def first_replies(msgs: DataFrame, names: Sequence[str], cap: int = D.SCORING_TEXTS) -> DataFrame:
     """The first ``cap`` messages of each candidate: ``brand, text``."""
-    ids = _candidate_messages(msgs, candidates).select("brand", "tweet_id")
+    ids = _candidate_messages(msgs, names).select("brand", "tweet_id")
     chosen = top_n_per_group(ids, ["brand"], [F.col("tweet_id")], cap, spread_by=["tweet_id"])
     return chosen.join(msgs.select("tweet_id", "text"), "tweet_id").select("brand", "text")
 
@@ -92,34 +98,31 @@ def lexical_entropy(
     text: str = "text",
     order: str = "n",
     cap: int | None = D.ENTROPY_TEXTS,
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Word entropy over log2 of the vocabulary, per group.
+    """Word entropy over log2 of the vocabulary, per group; 0.0 for a group without words.
 
-    ``cap`` keeps the first texts of each group in ``order``; ``None`` uses them all.
+    ``cap`` keeps the first texts of each group in ``order``; ``None`` uses them all.  Give
+    ``spread_by`` when a group may be large before the cut.
     """
     kept = texts.where(F.col(text).isNotNull())
-    groups = kept.select(group).distinct()
     if cap is not None:
-        kept = top_n_per_group(
-            kept.select(group, order, text), [group], [F.col(order)], cap, spread_by=[order]
-        )
+        kept = top_n_per_group(kept.select(group, order, text), [group], [F.col(order)], cap, spread_by=spread_by)
     counts = (
-        kept.select(group, F.explode(T.words(F.lower(F.col(text)), "[a-z]{3,}")).alias("word"))
+        kept.select(group, F.explode_outer(T.words(F.lower(F.col(text)), "[a-z]{3,}")).alias("word"))
         .groupBy(group, "word")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("word").alias("n"))
     )
     # -sum(p log2 p) with p = n/N equals log2 N - sum(n log2 n)/N: one pass over the counts.
+    used = F.when(F.col("n") > 0, F.col("n"))
     sums = counts.groupBy(group).agg(
-        F.sum("n").cast("double").alias("total"),
-        F.sum(F.col("n") * F.log2("n")).alias("weighted"),
-        F.count(F.lit(1)).cast("double").alias("distinct"),
+        F.sum(used).cast("double").alias("total"),
+        F.sum(used * F.log2(used)).alias("weighted"),
+        F.count(used).cast("double").alias("distinct"),
     )
     entropy = F.log2("total") - F.col("weighted") / F.col("total")
     top = F.when(F.col("distinct") > 1, F.log2("distinct")).otherwise(F.lit(1.0))
-    scored = sums.select(group, round_dp(entropy / top, 4).alias("lexical_entropy"))
-    return groups.join(scored, group, "left").select(
-        group, F.coalesce("lexical_entropy", F.lit(0.0)).alias("lexical_entropy")
-    )
+    return sums.select(group, F.coalesce(round_dp(entropy / top, 4), F.lit(0.0)).alias("lexical_entropy"))
 
 
 def ascii_homogeneity(texts: DataFrame, group: str = "brand", text: str = "text") -> DataFrame:
@@ -157,14 +160,19 @@ def brand_composite(scores: DataFrame, weights: dict[str, float] | None = None,
 
 
 def brand_scores(msgs: DataFrame, n: int = CANDIDATES, cap: int = D.SCORING_TEXTS) -> DataFrame:
-    """All scores of the top ``n`` brands, one row each."""
-    candidates = brand_candidates(msgs, n)
-    texts = customer_texts(msgs, candidates, cap)
+    """All scores of the top ``n`` brands, one row each.
+
+    The candidates and their capped texts, both bounded, are written once since several
+    scores read them.
+    """
+    candidates = materialise(brand_candidates(msgs, n), "candidates")
+    names = candidate_names(candidates)
+    texts = materialise(customer_texts(msgs, names, cap), "brand-texts")
     scored = (
-        thread_completeness(brand_usable_volume(msgs, candidates))
+        thread_completeness(brand_usable_volume(msgs, candidates, names))
         .join(lexical_entropy(texts), "brand", "left")
         .join(ascii_homogeneity(texts), "brand", "left")
-        .join(resolution_substance(first_replies(msgs, candidates, cap)), "brand", "left")
+        .join(resolution_substance(first_replies(msgs, names, cap)), "brand", "left")
         .na.fill(0.0, ["lexical_entropy", "ascii_pct", "avg_reply_length", "substantive_pct"])
     )
     return brand_composite(scored)

@@ -13,6 +13,7 @@ from deskgraph.functions.numeric import count_if, percent
 from deskgraph.operators.profile import text_digest
 from deskgraph.operators.sampling import holdout_split, seeded_sample, split_filter, take_seeded
 from deskgraph.operators.skew import join_to_unique
+from deskgraph.session import materialise
 
 SAMPLE_IN_ONE_TASK = 100_000
 
@@ -181,11 +182,20 @@ def working_set(
     msgs: DataFrame, brand: str | Sequence[str] | Column, seed: int = D.SPLIT_SEED, share: float = D.RETRIEVAL_SHARE
 ) -> DataFrame:
     """The whole chain: pairs, clean text, de-duplication, features, split, leakage filter."""
-    pairs = turn_and_length_features(dedup_keep_earliest(normalize_pairs(reply_pairs(msgs, brand))))
-    split = holdout_split(tercile_bucket(pairs), "brand_tweet_id", share, seed)
+    split = holdout_split(tercile_bucket(clean_pairs(msgs, brand)), "brand_tweet_id", share, seed)
     return split_leakage_text(split)
 
 
+def clean_pairs(msgs: DataFrame, brand: str | Sequence[str] | Column) -> DataFrame:
+    """Clean, de-duplicated pairs with their features.
+
+    Quantiles, split and leakage filter each read them again, so they are written once.
+    """
+    return materialise(
+        turn_and_length_features(dedup_keep_earliest(normalize_pairs(reply_pairs(msgs, brand)))), "pairs"
+    )
+
+
 def corpus_build(
     rows: DataFrame,
     max_records: int | None = D.CORPUS_RECORDS,

@@ -13,6 +13,7 @@ from deskgraph.functions.rules import first_match, lookup
 from deskgraph.functions.text import contains_any
 from deskgraph.operators.sampling import quota_sample, seeded_key, seeded_sample
 from deskgraph.operators.skew import top_n_per_group
+from deskgraph.session import materialise
 
 GOLD_LIMIT = 100_000
 
@@ -113,9 +114,28 @@ def build_golden_set(
     per_intent: int = D.INTENT_QUOTA,
 ) -> DataFrame:
     """Edge cases first, then every intent to its quota, then the rest; numbered and annotated."""
-    edges = stratified_sample_edges(pool, edge_quotas, seed)
-    chosen = edges.unionByName(stratified_fill_quota(pool, edges, per_intent, seed))
-    return gold_annotation(gold_example_id(sample_fill_remainder(pool, chosen, target, seed), seed=seed))
+    return gold_annotation(gold_example_id(select_gold(pool, target, seed, edge_quotas, per_intent), seed=seed))
+
+
+def select_gold(
+    pool: DataFrame,
+    target: int = D.GOLD_SIZE,
+    seed: int = D.SPLIT_SEED,
+    edge_quotas: Mapping[str, int] = D.EDGE_QUOTAS,
+    per_intent: int = D.INTENT_QUOTA,
+    row_id: str = "customer_tweet_id",
+) -> DataFrame:
+    """The ``target`` pool rows that make the gold set.
+
+    Categories and intents are worked out once, into a narrow table of three columns; the
+    selection steps read that table several times and the pool is read again only for the
+    at most ``target`` chosen rows.
+    """
+    narrow = materialise(pool.select(row_id, "edge_category", "mapped_intent"), "gold-pool")
+    edges = stratified_sample_edges(narrow, edge_quotas, seed)
+    chosen = materialise(edges.unionByName(stratified_fill_quota(narrow, edges, per_intent, seed)), "gold-chosen")
+    final = sample_fill_remainder(narrow, chosen, target, seed)
+    return pool.drop("edge_category", "mapped_intent").join(F.broadcast(final), row_id)
 
 
 GOLD_DISTRIBUTIONS = {

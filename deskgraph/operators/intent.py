@@ -165,9 +165,9 @@ def with_features(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
 
 
-def fit_kmeans(rows: DataFrame, k: int, seed: int = 42, starts: int = 1) -> KMeansModel:
+def fit_kmeans(rows: DataFrame, k: int, seed: int = 42, starts: int = 1, max_iter: int = 20) -> KMeansModel:
     """Best of ``starts`` KMeans fits by training cost; ``rows`` needs ``features``."""
-    fits = [KMeans(k=k, seed=seed + i, maxIter=50).fit(rows) for i in range(starts)]
+    fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(rows) for i in range(starts)]
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 

@@ -91,9 +91,7 @@ def topk_by_text(
     at most ``features`` columns and meet in block products; they are never joined on
     shared terms, so a common word costs no more than a rare one.
     """
-    counts = tfidf.term_counts(corpus, case_id, case_text, stops, ngrams)
-    vocab = tfidf.numbered(tfidf.vocabulary(counts, corpus.agg(F.count(F.lit(1))).scalar(), features))
-    cases = tfidf.sparse_vectors(counts, vocab, case_id)
+    vocab, cases = tfidf.text_index(corpus, case_id, case_text, features, stops, ngrams)
     asked = tfidf.sparse_vectors(tfidf.term_counts(queries, query_id, text, stops, ngrams), vocab, query_id)
     return topk_similar(asked, cases, k, query_id=query_id, case_id=case_id, dims=features)
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from deskgraph import defaults as D
 from deskgraph.operators.skew import top_n_per_group
+from deskgraph.session import materialise
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -108,6 +109,21 @@ def sparse_vectors(counts: DataFrame, vocab: DataFrame, row_id: str) -> DataFram
     )
 
 
+def text_index(
+    corpus: DataFrame,
+    case_id: str,
+    text: str,
+    features: int = D.TFIDF_FEATURES,
+    stops: Sequence[str] | None = None,
+    ngrams: int = 1,
+) -> tuple[DataFrame, DataFrame]:
+    """Numbered vocabulary and case vectors of a corpus, written once as the search index."""
+    counts = materialise(term_counts(corpus, case_id, text, stops, ngrams), "term-counts")
+    documents = corpus.agg(F.count(F.lit(1))).scalar()
+    vocab = materialise(numbered(vocabulary(counts, documents, features)), "vocabulary")
+    return vocab, materialise(sparse_vectors(counts, vocab, case_id), "case-vectors")
+
+
 def cluster_keywords(
     rows: DataFrame,
     row_id: str,

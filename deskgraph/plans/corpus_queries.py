@@ -190,13 +190,13 @@ def _(spark, sf):
 @query("ascii_homogeneity", _scored_sql("SELECT * FROM cascii"))
 def _(spark, sf):
     msgs = t.messages(spark, sf)
-    return brands.ascii_homogeneity(brands.customer_texts(msgs, brands.brand_candidates(msgs)))
+    return brands.ascii_homogeneity(brands.customer_texts(msgs, brands.candidate_names(brands.brand_candidates(msgs))))
 
 
 @query("resolution_substance", _scored_sql("SELECT * FROM csubst"))
 def _(spark, sf):
     msgs = t.messages(spark, sf)
-    return brands.resolution_substance(brands.first_replies(msgs, brands.brand_candidates(msgs)))
+    return brands.resolution_substance(brands.first_replies(msgs, brands.candidate_names(brands.brand_candidates(msgs))))
 
 
 @query("brand_composite", _scored_sql("SELECT * FROM composed"))
@@ -395,9 +395,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    pairs = corpus.turn_and_length_features(
-        corpus.dedup_keep_earliest(corpus.normalize_pairs(corpus.reply_pairs(t.messages(spark, sf), t.is_brand())))
-    )
+    pairs = corpus.clean_pairs(t.messages(spark, sf), t.is_brand())
     return corpus.split_summary(sampling.holdout_split(corpus.tercile_bucket(pairs), "brand_tweet_id"))
 
 

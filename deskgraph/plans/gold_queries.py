@@ -10,6 +10,7 @@ from deskgraph.operators import corpus, gold
 from deskgraph.plans import tables as t
 from deskgraph.plans.oracle import has_word, has_words_in_line, lookup_case, pct, q, seeded, sql, word_count
 from deskgraph.plans.registry import query
+from deskgraph.session import materialise
 
 # Patterns and quotas that fit the invented prose, so that every category occurs.
 SAFETY = r"\b(worthless|stupid|disgusting|hate)\b"
@@ -75,16 +76,18 @@ def pool(spark, sf):
 
 
 def golden(spark, sf):
-    rows = pool(spark, sf)
-    edges = gold.stratified_sample_edges(rows, QUOTAS)
-    chosen = edges.unionByName(gold.stratified_fill_quota(rows, edges))
-    numbered = gold.gold_example_id(gold.sample_fill_remainder(rows, chosen))
-    return gold.gold_annotation(numbered, **INTENTS)
+    """The gold set, written once: the reports read its at most 200 rows several times."""
+    chosen = gold.select_gold(pool(spark, sf), edge_quotas=QUOTAS)
+    return materialise(gold.gold_annotation(gold.gold_example_id(chosen), **INTENTS), "gold")
+
+
+def narrow_pool(spark, sf):
+    return materialise(pool(spark, sf).select("customer_tweet_id", "edge_category", "mapped_intent"), "gold-pool")
 
 
-def audit(spark, sf):
+def audit(rows):
     return gold.second_pass_relabel(
-        golden(spark, sf),
+        rows,
         fare_intent="en",
         cancel_intent="es",
         lost_intent="de",
@@ -108,14 +111,14 @@ def _(spark, sf):
 
 @query("stratified_fill_quota", _sql("SELECT customer_tweet_id, mapped_intent FROM fills"))
 def _(spark, sf):
-    rows = pool(spark, sf)
+    rows = narrow_pool(spark, sf)
     edges = gold.stratified_sample_edges(rows, QUOTAS)
     return gold.stratified_fill_quota(rows, edges).select("customer_tweet_id", "mapped_intent")
 
 
 @query("sample_fill_remainder", _sql("SELECT customer_tweet_id, mapped_intent FROM full_set"))
 def _(spark, sf):
-    rows = pool(spark, sf)
+    rows = narrow_pool(spark, sf)
     edges = gold.stratified_sample_edges(rows, QUOTAS)
     chosen = edges.unionByName(gold.stratified_fill_quota(rows, edges))
     return gold.sample_fill_remainder(rows, chosen).select("customer_tweet_id", "mapped_intent")
@@ -146,7 +149,7 @@ def _(spark, sf):
 
 @query("second_pass_relabel", _sql("SELECT * FROM audited_set"))
 def _(spark, sf):
-    return audit(spark, sf)
+    return audit(golden(spark, sf))
 
 
 _DISAGREE = "pass1_intent <> pass2_intent OR pass1_routing <> pass2_routing"
@@ -154,12 +157,12 @@ _DISAGREE = "pass1_intent <> pass2_intent OR pass1_routing <> pass2_routing"
 
 @query("disagreement_cases", _sql(f"SELECT * FROM audited_set WHERE {_DISAGREE}"))
 def _(spark, sf):
-    return gold.disagreement_cases(audit(spark, sf))
+    return gold.disagreement_cases(audit(golden(spark, sf)))
 
 
 @query("raw_agreement", _sql("SELECT * FROM agreed"))
 def _(spark, sf):
-    return gold.raw_agreement(audit(spark, sf))
+    return gold.raw_agreement(audit(golden(spark, sf)))
 
 
 @query(
@@ -173,7 +176,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return gold.gold_audit_report(golden(spark, sf), audit(spark, sf))
+    rows = golden(spark, sf)
+    return gold.gold_audit_report(rows, audit(rows))
 
 
 @query("cohens_kappa", sql(f"SELECT {_kappa_sql('true_action', 'pred_action', 'agree_rows')} AS kappa", agree_rows="SELECT true_action, pred_action FROM joined"))

@@ -363,8 +363,8 @@ _KEYWORDS = ("the", "les", "und", "que", "with", "nicht")
           FROM (SELECT doc_id, string_split_regex(lower(text), '[\\t-\\r\\x1c-\\x20]+') AS toks FROM documents))""",
 )
 def _(spark, sf):
-    decision, reason = rules.keyword_escalation(F.col("text"), _KEYWORDS)
-    return t.table(spark, sf, "documents").select("doc_id", decision.alias("routing_decision"), reason.alias("routing_reason"))
+    done = rules.keyword_escalation(t.table(spark, sf, "documents"), "text", _KEYWORDS)
+    return done.select("doc_id", "routing_decision", "routing_reason")
 
 
 @query("execution_id", "SELECT doc_id, concat('exec_', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS execution_id FROM documents")

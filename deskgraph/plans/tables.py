@@ -9,9 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deskgraph.session import spread
+
+
+LONG_TEXTS = ("documents", "pages", "conversations")
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return spread(rows) if name in LONG_TEXTS else rows
 
 
 def _string(value) -> Column:

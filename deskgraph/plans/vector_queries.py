@@ -10,6 +10,7 @@ from deskgraph.operators import baselines, intent, retrieval, tfidf, vectors
 from deskgraph.plans import tables as t
 from deskgraph.plans.oracle import has_word, has_words_in_line, pct, q, seeded, sql
 from deskgraph.plans.registry import query
+from deskgraph.session import materialise
 
 # Settings that fit the invented vectors and prose, so that every branch is taken.
 THRESHOLD = 0.25
@@ -27,6 +28,9 @@ PATTERN_SQL = {
 }
 
 
+STOPS = ("the", "and", "of", "to", "that", "les", "des", "que", "und", "der", "die", "los", "una")
+
+
 def first_match_sql(expr: str) -> str:
     whens = " ".join(f"WHEN {test(expr)} THEN {q(label)}" for label, test in PATTERN_SQL.items())
     return f"CASE {whens} ELSE 'Other_Or_Unclear' END"
@@ -197,7 +201,7 @@ def _(spark, sf):
 # ------------------------------------------------------------------- TF-IDF
 
 def terms_sql(expr: str, ngrams: int = 1) -> str:
-    stops = "[" + ", ".join(q(w) for w in tfidf.stop_words()) + "]"
+    stops = "[" + ", ".join(q(w) for w in STOPS) + "]"
     kept = f"list_filter(regexp_extract_all(lower({expr}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({stops}, w))"
     if ngrams == 1:
         return kept
@@ -225,7 +229,7 @@ def weight_views(rows: str, features: int, prefix: str, ngrams: int = 1) -> dict
     ),
 )
 def _(spark, sf):
-    weights = tfidf.tfidf_weights(t.table(spark, sf, "documents"), "doc_id", "text", 1000)
+    weights = tfidf.tfidf_weights(t.table(spark, sf, "documents"), "doc_id", "text", 1000, STOPS)
     return weights.withColumn("weight", round_dp(F.col("weight"), 6))
 
 
@@ -241,7 +245,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = t.table(spark, sf, "documents").withColumnRenamed("lang", "cluster")
-    return tfidf.cluster_keywords(docs, "doc_id", "text").withColumn("mean_weight", round_dp(F.col("mean_weight"), 6))
+    return tfidf.cluster_keywords(docs, "doc_id", "text", stops=STOPS).withColumn("mean_weight", round_dp(F.col("mean_weight"), 6))
 
 
 @query("text_vectorize")
@@ -350,11 +354,12 @@ def text_corpus(spark, sf):
     from deskgraph.operators import corpus
 
     pairs = corpus.normalize_pairs(corpus.reply_pairs(t.messages(spark, sf), t.is_brand()))
-    return pairs.select(
+    cases = pairs.select(
         F.col("brand_tweet_id").alias("case_id"),
         F.col("customer_text_clean").alias("customer_text"),
         F.col("brand_reply_clean").alias("brand_resolution"),
     )
+    return materialise(cases, "cases")
 
 
 @query(
@@ -368,7 +373,7 @@ def text_corpus(spark, sf):
 )
 def _(spark, sf):
     asked = t.messages(spark, sf).where("inbound").select("tweet_id", "text")
-    return retrieval.verbatim_nearest_reply(asked, text_corpus(spark, sf), "tweet_id").select(
+    return retrieval.verbatim_nearest_reply(asked, text_corpus(spark, sf), "tweet_id", stops=STOPS).select(
         "tweet_id", "case_id", "similarity", "generated_reply"
     )
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "deskgraph") -> SparkSession:
@@ -39,3 +39,22 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="deskgraph-")
     return f"{base.rstrip('/')}/deskgraph/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialise(rows: DataFrame, purpose: str) -> DataFrame:
+    """Write ``rows`` to the shared folder once and read them back.
+
+    Cuts the lineage where a result is read several times; the files outlive any executor.
+    """
+    path = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Use every core for a scan that has fewer splits than cores, such as one row group of long texts.
+
+    A scan with enough splits is returned as it is, so a large table is never shuffled for this.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -28,14 +28,12 @@ def stream_score_messages(
 ) -> DataFrame:
     """Row-wise scoring: clean text, keyword intent, edge category and keyword route.  Keeps no state."""
     clean = F.col("clean_text")
-    decision, reason = rules.keyword_escalation(clean)
-    return (
+    labelled = (
         messages.withColumn("clean_text", T.normalize_message(F.col(text), brand))
         .withColumn("predicted_intent", rules.keyword_first_match(clean, patterns or D.INTENT_PATTERNS))
         .withColumn("edge_category", rules.edge_category(clean))
-        .withColumn("routing_decision", decision)
-        .withColumn("routing_reason", reason)
     )
+    return rules.keyword_escalation(labelled, "clean_text")
 
 
 def stream_telemetry(scored: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
