@@ -51,7 +51,7 @@ def join_to_unique(
     hot = hot_keys(rows, key, hot_rows=hot_rows).agg(F.collect_list("_h")).scalar()
     is_hot = F.array_contains(hot, F.xxhash64(key))
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted = rows.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
+    salted = rows.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), spread).otherwise(F.lit(0)))
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     copies = unique.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
     return salted.join(copies, [key, "_salt"], how).drop("_salt")

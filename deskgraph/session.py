@@ -9,9 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "deskgraph") -> SparkSession:
+def local_session(
+    cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "deskgraph", settings: dict[str, str] | None = None
+) -> SparkSession:
     """Session for tests and benchmarks.  On a cluster, submit with its own settings instead."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -22,8 +24,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("DESKGRAPH_DRIVER_MEMORY", "12g"))
-        .getOrCreate()
     )
+    for name, value in (settings or {}).items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -33,7 +37,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     session without that setting (a test) gets a temporary folder; on a cluster
     a missing setting is an error, since executors cannot share a local disk.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
