@@ -15,8 +15,6 @@ from deskgraph.operators.sampling import quota_sample, seeded_key, seeded_sample
 from deskgraph.operators.skew import top_n_per_group
 from deskgraph.session import materialise
 
-GOLD_LIMIT = 100_000
-
 
 def stratified_sample_edges(
     pool: DataFrame,
@@ -64,10 +62,13 @@ def sample_fill_remainder(
 
 
 def gold_example_id(rows: DataFrame, row_id: str = "customer_tweet_id", seed: int = D.SPLIT_SEED) -> DataFrame:
-    """Add ``example_id``: ``gold_001`` and on, in seeded order, over a gold set of bounded size."""
+    """Add ``example_id``: ``gold_001`` and on, in seeded order.
+
+    The one global window here runs over a finished gold set, whose size is its target.
+    """
     number = F.row_number().over(Window.orderBy(seeded_key(seed, row_id), row_id))
     text = number.cast("string")
-    return rows.limit(GOLD_LIMIT).withColumn(
+    return rows.withColumn(
         "example_id", F.concat(F.lit("gold_"), F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text))
     )
 

@@ -13,10 +13,27 @@ from deskgraph.functions.rules import lookup
 from deskgraph.operators.skew import join_to_unique
 
 
-def prompt_rows(rows: DataFrame, template: str, columns: Sequence[str], name: str = "prompt", strip: bool = False) -> DataFrame:
-    """Add a prompt: a ``printf`` template filled from string columns."""
-    values = [T.strip(F.col(c)) if strip else F.col(c) for c in columns]
-    return rows.withColumn(name, F.format_string(template, *[F.coalesce(v, F.lit("")) for v in values]))
+def prompt_rows(
+    rows: DataFrame,
+    template: str,
+    columns: Sequence[str],
+    name: str = "prompt",
+    strip: bool = False,
+    when_blank: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Add a prompt: a ``printf`` template filled from string columns.
+
+    Serves generation, audit and rating prompts alike.  ``strip`` trims every value and
+    ``when_blank`` names a stand-in for blank columns.
+    """
+    blanks = when_blank or {}
+
+    def part(column: str) -> Column:
+        text = F.coalesce(F.col(column), F.lit(""))
+        text = T.strip(text) if strip else text
+        return F.when(T.is_blank(text), F.lit(blanks[column])).otherwise(text) if column in blanks else text
+
+    return rows.withColumn(name, F.format_string(template, *[part(c) for c in columns]))
 
 
 def reply_key(message: Column, version: str = D.PROMPT_VERSION) -> Column:

@@ -13,6 +13,7 @@ from deskgraph.functions.numeric import fixed, round_dp
 from deskgraph.operators import tfidf
 from deskgraph.operators.skew import join_to_unique
 from deskgraph.operators.vectors import topk_similar
+from deskgraph.session import materialise
 
 
 def topk_similar_cases(
@@ -23,22 +24,22 @@ def topk_similar_cases(
     vector: str = "embedding",
     text: str | None = None,
     min_similarity: float | None = None,
-    dims: int | None = None,
 ) -> DataFrame:
     """Ranked cases of every query: ``query_id, rank, case_id, similarity`` and the case's other columns.
 
     A blank ``text`` finds nothing.  ``min_similarity`` is off unless given.  Few cases are
-    chosen by very many queries, so the case columns come in through the spread join.
+    chosen by very many queries, so the case columns come in through the spread join; the ids
+    found are written first, so that looking for hot cases does not repeat the search.
     """
     asked = queries if text is None else queries.where(~T.is_blank(F.col(text)))
-    found = topk_similar(asked, corpus, k, query_id=query_id, vector=vector, dims=dims)
+    found = topk_similar(asked, corpus, k, query_id=query_id, vector=vector)
     if min_similarity is not None:
         found = found.where(F.col("similarity") >= F.lit(min_similarity))
     found = found.withColumn("similarity", round_dp(F.col("similarity"), 4))
     cases = corpus.drop(vector)
     if cases.columns == ["case_id"]:
         return found
-    return join_to_unique(found, cases, "case_id", ["query_id"]).select(
+    return join_to_unique(materialise(found, "found"), cases, "case_id", ["query_id"]).select(
         "query_id", "rank", "case_id", "similarity", *[c for c in cases.columns if c != "case_id"]
     )
 
@@ -93,7 +94,7 @@ def topk_by_text(
     """
     vocab, cases = tfidf.text_index(corpus, case_id, case_text, features, stops, ngrams)
     asked = tfidf.sparse_vectors(tfidf.term_counts(queries, query_id, text, stops, ngrams), vocab, query_id)
-    return topk_similar(asked, cases, k, query_id=query_id, case_id=case_id, dims=features)
+    return topk_similar(asked, cases, k, query_id=query_id, case_id=case_id)
 
 
 def verbatim_nearest_reply(
@@ -115,11 +116,11 @@ def verbatim_nearest_reply(
         F.col("query_id").alias(query_id), F.col("case_id").alias("_found"), F.col("similarity").alias("_similarity")
     )
     lowest = corpus.agg(F.min("case_id")).scalar()
-    placed = (
-        queries.join(nearest, query_id, "left")
-        .withColumn("case_id", F.coalesce("_found", lowest))
-        .withColumn("similarity", round_dp(F.coalesce("_similarity", F.lit(0.0)), 4))
-        .drop("_found", "_similarity")
+    placed = queries.select(query_id).join(nearest, query_id, "left").select(
+        query_id,
+        F.coalesce("_found", lowest).alias("case_id"),
+        round_dp(F.coalesce("_similarity", F.lit(0.0)), 4).alias("similarity"),
     )
     replies = corpus.select("case_id", F.col("brand_resolution").alias("generated_reply"))
-    return join_to_unique(placed, replies, "case_id", [query_id])
+    answered = join_to_unique(materialise(placed, "nearest"), replies, "case_id", [query_id])
+    return queries.join(answered, query_id)

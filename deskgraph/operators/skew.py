@@ -85,13 +85,3 @@ def top_n_per_group(
     name = rank or "_rank"
     kept = rows.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
     return kept if rank else kept.drop(name)
-
-
-def small(rows: DataFrame, limit: int) -> bool:
-    """Whether ``rows`` holds at most ``limit`` rows; reads no more than that to find out."""
-    return rows.limit(limit + 1).count() <= limit
-
-
-def broadcast_if_small(rows: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Hint a broadcast only when the side was measured to be small; else leave the join to the planner."""
-    return F.broadcast(rows) if small(rows, limit) else rows

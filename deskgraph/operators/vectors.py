@@ -1,6 +1,6 @@
 """Vector operators: centroids, block products and exact top-k search.
 
-Vectors are ``array<float>`` or ``array<double>`` columns.  Products run as blocks inside
+Vectors are ``array<float>`` or ``array<double>`` columns, or sparse structs.  Products run as blocks inside
 tasks on Arrow batches; Spark does the partitioning, shuffling and merging.
 """
 
@@ -26,24 +26,22 @@ SCORE_CELLS = 4_000_000
 TIE_DIGITS = 9
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
-    """Rows of a vector column as a dense double matrix.
-
-    A struct of ``indices`` and ``values`` is a sparse row of ``width`` columns.
-    """
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of a list column as a dense double matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
-    if pa.types.is_struct(column.type):
-        out = np.zeros((rows, width))
-        indices = column.field("indices")
-        which = np.repeat(np.arange(rows), np.diff(indices.offsets.to_numpy()))
-        out[which, indices.flatten().to_numpy()] = column.field("values").flatten().to_numpy()
-        return out
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(rows, -1) if rows else np.zeros((0, 0))
 
 
+def sparse_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row ends, column numbers and values of a struct column of ``indices`` and ``values``."""
+    indices, values = column.field("indices"), column.field("values")
+    ends = np.concatenate([[0], np.cumsum(np.diff(indices.offsets.to_numpy()))])
+    return ends, indices.flatten().to_numpy(), values.flatten().to_numpy()
+
+
 def prototype_centroids(rows: DataFrame, label: str = "label", vector: str = "embedding", unit: bool = True) -> DataFrame:
     """Mean vector of each label, scaled to unit length: ``label, centroid``.
 
@@ -110,27 +108,23 @@ def centroid_products(rows: DataFrame, model: Centroids, vector: str = "embeddin
     return rows.mapInArrow(score, _schema_with(rows, "sims array<double>"))
 
 
-@dataclass(frozen=True)
 class _Block:
     """Corpus rows of one task, ordered by case id so that ties fall to the lower id."""
 
-    ids: pa.Array
-    values: np.ndarray
-
-    @staticmethod
-    def of(corpus: pa.Table, dims: int | None) -> "_Block":
+    def __init__(self, corpus: pa.Table):
         ids = corpus.column("case_id").combine_chunks()
         order = pc.sort_indices(ids)
-        values = matrix(corpus.column("_vector"), dims)[order.to_numpy()]
-        return _Block(ids.take(order), np.ascontiguousarray(values.T))
+        self.ids = ids.take(order)
+        vectors = corpus.column("_vector").combine_chunks().take(order)
+        self.scores = _sparse_scorer(vectors) if pa.types.is_struct(vectors.type) else _dense_scorer(vectors)
 
-    def search(self, ids: pa.Array, vectors: pa.Array, k: int, dims: int | None) -> pa.RecordBatch:
+    def search(self, ids: pa.Array, vectors: pa.Array, k: int) -> pa.RecordBatch:
         """Top ``k`` for every query row, a slice of queries at a time to bound memory."""
         width = min(k, len(self.ids))
-        step = max(1, SCORE_CELLS // max(1, *self.values.shape))
+        step = max(1, SCORE_CELLS // max(1, len(self.ids)))
         cases, scores = [np.empty(0, dtype=np.int64)], [np.empty(0)]
         for start in range(0, len(ids), step):
-            block = np.round(matrix(vectors.slice(start, step), dims) @ self.values, TIE_DIGITS)
+            block = np.round(self.scores(vectors.slice(start, step)), TIE_DIGITS)
             best = _best_columns(block, width)
             cases.append(best.ravel())
             scores.append(np.take_along_axis(block, best, axis=1).ravel() + 0.0)
@@ -145,6 +139,35 @@ class _Block:
         )
 
 
+def _dense_scorer(corpus: pa.Array):
+    columns = np.ascontiguousarray(matrix(corpus).T)
+    return lambda queries: matrix(queries) @ columns
+
+
+def _sparse_scorer(corpus: pa.Array):
+    """Scores from the block's own postings: the work per query is the postings of its terms."""
+    ends, terms, weights = sparse_parts(corpus)
+    rows = np.repeat(np.arange(len(corpus)), np.diff(ends))
+    order = np.argsort(terms, kind="stable")
+    rows, weights = rows[order], weights[order]
+    starts = np.searchsorted(terms[order], np.arange(terms.max() + 2 if len(terms) else 1))
+
+    def score(queries: pa.Array) -> np.ndarray:
+        bounds, asked, values = sparse_parts(queries)
+        out = np.zeros((len(queries), len(corpus)))
+        for i in range(len(queries)):
+            mine = slice(bounds[i], bounds[i + 1])
+            known = asked[mine] < len(starts) - 1
+            wanted, factor = asked[mine][known], values[mine][known]
+            first, length = starts[wanted], starts[wanted + 1] - starts[wanted]
+            skipped = np.cumsum(length) - length
+            places = np.repeat(first - skipped, length) + np.arange(length.sum())
+            out[i] = np.bincount(rows[places], weights[places] * np.repeat(factor, length), len(corpus))
+        return out
+
+    return score
+
+
 def _best_columns(scores: np.ndarray, width: int) -> np.ndarray:
     """Column numbers of the ``width`` highest scores per row, lower number first among equals."""
     if width == scores.shape[1]:
@@ -164,17 +187,17 @@ def topk_similar(
     query_id: str = "query_id",
     case_id: str = "case_id",
     vector: str = "embedding",
-    dims: int | None = None,
     block_rows: int = BLOCK_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Exact inner-product top ``k`` of every query: ``query_id, case_id, similarity, rank``.
 
+    Vectors are arrays, or sparse structs of ``indices`` and ``values``.
+
     A corpus measured to fit ``broadcast_bytes`` is sent to the tasks once and queries stream
     past it without a shuffle.  A larger one is cut into blocks of about ``block_rows``; every
     (query block, corpus block) cell is one balanced task that keeps only its own top ``k``,
-    and a window merges the cells.  Rows without a vector find nothing.  Sparse vectors
-    (see :func:`matrix`) need ``dims``.
+    and a window merges the cells.  Rows without a vector find nothing.
     """
     left = queries.where(F.col(vector).isNotNull()).select(
         F.col(query_id).alias("query_id"), F.col(vector).alias("_vector")
@@ -186,35 +209,36 @@ def topk_similar(
         f"query_id {left.schema['query_id'].dataType.simpleString()}, "
         f"case_id {right.schema['case_id'].dataType.simpleString()}, similarity double, rank bigint"
     )
-    width = F.lit(dims) if dims else F.coalesce(F.max(F.size("_vector")), F.lit(0))
-    size = right.agg(F.count(F.lit(1)).alias("rows"), width.alias("width")).first()
+    is_sparse = right.schema["_vector"].dataType.typeName() == "struct"
+    entries = F.sum(F.size("_vector.indices" if is_sparse else "_vector"))
+    size = right.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(entries, F.lit(0)).alias("entries")).first()
     if size["rows"] == 0:
         found = queries.sparkSession.createDataFrame([], shape)
-    elif size["rows"] * size["width"] * 8 <= broadcast_bytes:
-        found = _search_broadcast(left, right, k, dims, shape)
+    elif size["entries"] * (16 if is_sparse else 8) <= broadcast_bytes:
+        found = _search_broadcast(left, right, k, shape)
     else:
-        cells = _search_grid(left, right, k, dims, shape, block_rows, size["rows"]).drop("rank")
+        cells = _search_grid(left, right, k, shape, block_rows, size["rows"]).drop("rank")
         order = [F.desc("similarity"), F.col("case_id")]
         found = top_n_per_group(cells, ["query_id"], order, k, rank="rank")
         found = found.withColumn("rank", F.col("rank").cast("bigint"))
     return found
 
 
-def _search_broadcast(queries: DataFrame, corpus: DataFrame, k: int, dims: int | None, shape: str) -> DataFrame:
+def _search_broadcast(queries: DataFrame, corpus: DataFrame, k: int, shape: str) -> DataFrame:
     shared = queries.sparkSession.sparkContext.broadcast(corpus.toArrow())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
         for batch in batches:
             if batch.num_rows:
-                block = block or _Block.of(shared.value, dims)
-                yield block.search(batch.column(0), batch.column(1), k, dims)
+                block = block or _Block(shared.value)
+                yield block.search(batch.column(0), batch.column(1), k)
 
     return queries.mapInArrow(search, shape)
 
 
 def _search_grid(
-    queries: DataFrame, corpus: DataFrame, k: int, dims: int | None, shape: str, block_rows: int, corpus_rows: int
+    queries: DataFrame, corpus: DataFrame, k: int, shape: str, block_rows: int, corpus_rows: int
 ) -> DataFrame:
     corpus_blocks = max(1, -(-corpus_rows // block_rows))
     query_blocks = max(1, -(-queries.count() // block_rows))
@@ -230,6 +254,6 @@ def _search_grid(
 
     def cell(q: pa.Table, c: pa.Table) -> pa.Table:
         ids, vectors = (q.column(n).combine_chunks() for n in ("query_id", "_vector"))
-        return pa.Table.from_batches([_Block.of(c, dims).search(ids, vectors, k, dims)])
+        return pa.Table.from_batches([_Block(c).search(ids, vectors, k)])
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(cell, shape)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgraph.session import spread
+from deskgraph.session import materialise, spread
 
 
 LONG_TEXTS = ("documents", "pages", "conversations")
@@ -76,18 +76,19 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector as a past case; its texts are two documents picked by its number."""
+    """Every vector as a past case, stored; its texts are two documents picked by its number."""
     docs = table(spark, sf, "documents")
     n = docs.agg(F.count(F.lit(1))).scalar()
     asked = docs.select(F.col("doc_id").alias("_a"), F.col("text").alias("customer_text"))
     answered = docs.select(F.col("doc_id").alias("_b"), F.concat(F.lit("@customer "), "text").alias("brand_resolution"))
-    return (
+    joined = (
         vectors(spark, sf)
         .select(F.col("vec_id").alias("case_id"), "embedding", (F.col("vec_id") % n).alias("_a"), ((F.col("vec_id") + 1) % n).alias("_b"))
         .join(asked, "_a")
         .join(answered, "_b")
         .select("case_id", "customer_text", "brand_resolution", "embedding")
     )
+    return materialise(joined, "cases")
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:

@@ -115,3 +115,9 @@ def test_blank_message_escalates_as_other(spark):
     assert (got["m1"]["routing_decision"], got["m1"]["predicted_intent"], got["m1"]["retrieved_case_ids"]) == ("ESCALATE", D.OTHER_INTENT, [])
     assert got["m2"]["retrieved_case_ids"] == [0, 1] and got["m2"]["generated_reply"].startswith("Hi there. a long")
     assert got["m2"]["execution_id"].startswith("exec_") and len(got["m2"]["execution_id"]) == 13
+
+
+def test_prompts_fill_blank_columns(spark):
+    rows = spark.createDataFrame([(" ctx\n", "  ", "100% sure")], "c string, e string, r string")
+    got = replies.prompt_rows(rows, "C: %s\nE: %s\nR: %s (1%%)", ["c", "e", "r"], strip=True, when_blank={"e": "None provided."})
+    assert got.first()["prompt"] == "C: ctx\nE: None provided.\nR: 100% sure (1%)"
