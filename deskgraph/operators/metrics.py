@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from deskgraph import defaults as D
 from deskgraph.functions.numeric import count_if, harmonic, ratio, round_dp
+from deskgraph.session import materialise
 
 SYSTEM = ("system_name",)
 
@@ -48,9 +49,13 @@ def prediction_gold_join(preds: DataFrame, gold: DataFrame) -> DataFrame:
     return found.join(truth, "example_id")
 
 
-def _label_counts(joined: DataFrame, by: Sequence[str]) -> DataFrame:
+def _confusion(joined: DataFrame, by: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
+    """One row per pair of true and predicted label."""
+    return joined.groupBy(*by, "true_intent", "pred_intent").agg(F.count(F.lit(1)).alias("n"), *extra)
+
+
+def _label_counts(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """True positives, predicted and true rows of every label that occurs on either side."""
-    cells = joined.groupBy(*by, "true_intent", "pred_intent").agg(F.count(F.lit(1)).alias("n"))
     zero = F.lit(0).cast("bigint")
     hit = F.when(F.col("true_intent") == F.col("pred_intent"), F.col("n")).otherwise(zero)
     sides = F.array(
@@ -78,7 +83,7 @@ def _f1() -> Column:
 
 def per_class_prf(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
     """Precision, recall, F1 and support of every label."""
-    return _label_counts(joined, by).select(
+    return _label_counts(_confusion(joined, by), by).select(
         *by,
         "label",
         round_dp(_precision(), 4).alias("precision"),
@@ -90,7 +95,11 @@ def per_class_prf(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
 
 def intent_accuracy_macro_f1(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
     """Accuracy, and the plain mean of F1 over every label seen in truth or prediction."""
-    return _label_counts(joined, by).groupBy(*by).agg(
+    return _accuracy_macro_f1(_confusion(joined, by), by)
+
+
+def _accuracy_macro_f1(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    return _label_counts(cells, by).groupBy(*by).agg(
         round_dp(ratio(F.sum("tp"), F.sum("support")), 4).alias("accuracy"),
         round_dp(F.avg(_f1()), 4).alias("macro_f1"),
     )
@@ -195,13 +204,31 @@ def segment_breakdown(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFram
 
 def composite_reliability(joined: DataFrame, by: Sequence[str] = SYSTEM, weights: dict[str, float] | None = None) -> DataFrame:
     """Weighted sum of macro-F1, escalation F1 and grounding pass rate."""
-    core = joined.groupBy(*by).agg(*_escalation_counts(), *_grounding_scores())
-    parts = core.withColumn("escalation_f1", _escalation_scores()["f1"]).join(
-        intent_accuracy_macro_f1(joined, by), list(by)
-    )
+    cells, core = _counted(joined, by)
+    parts = core.select(
+        *by,
+        _escalation_scores()["f1"].alias("escalation_f1"),
+        round_dp(ratio(F.col("_passes"), F.col("n")), 4).alias("grounding_pass_rate"),
+    ).join(_accuracy_macro_f1(cells, by), list(by))
     return parts.select(*by, _reliability(weights).alias("composite_reliability"))
 
 
+def _counted(joined: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The confusion table with every other count beside it, and its totals.
+
+    It has one row per pair of labels and is written once, so that ``joined`` is read once.
+    """
+    sums = [
+        *_escalation_counts(),
+        *_autonomy_counts(),
+        count_if(F.col("grounding_pass")).alias("_passes"),
+        F.sum("grounding_score").alias("_score"),
+    ]
+    cells = materialise(_confusion(joined, by, sums), "confusion")
+    counted = [c for c in cells.columns if c not in (*by, "true_intent", "pred_intent")]
+    return cells, cells.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counted])
+
+
 def _reliability(weights: dict[str, float] | None) -> Column:
     w = weights or D.RELIABILITY_WEIGHTS
     return round_dp(
@@ -215,20 +242,26 @@ def _reliability(weights: dict[str, float] | None) -> Column:
 def system_report(joined: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """All metrics of every system, one row each.
 
-    Everything that is a plain count or mean comes from one pass; label counts and latency
-    counts take one more each.  The joins meet one row per system.
+    Every count and sum comes from one pass into a tiny confusion table; latencies take one
+    more pass.  The joins meet one row per system.
     """
     keys = list(SYSTEM)
-    core = joined.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sample_count"), *_escalation_counts(), *_autonomy_counts(), *_grounding_scores()
-    )
+    cells, core = _counted(joined, keys)
     escalation = [c.alias(f"escalation_{n}") for n, c in _escalation_scores().items()]
     plain = core.select(
-        *keys, "sample_count", *escalation, "tp", "fp", "fn", "tn", *_autonomy_scores(),
-        "grounding_pass_rate", "mean_grounding_score",
+        *keys,
+        F.col("n").alias("sample_count"),
+        *escalation,
+        "tp",
+        "fp",
+        "fn",
+        "tn",
+        *_autonomy_scores(),
+        round_dp(ratio(F.col("_passes"), F.col("n")), 4).alias("grounding_pass_rate"),
+        round_dp(ratio(F.col("_score"), F.col("n")), 4).alias("mean_grounding_score"),
     )
     return (
-        plain.join(intent_accuracy_macro_f1(joined), keys)
+        plain.join(_accuracy_macro_f1(cells, keys), keys)
         .join(latency_percentiles(joined), keys)
         .withColumn("composite_reliability", _reliability(weights))
     )
