@@ -11,12 +11,10 @@ from deskgraph import defaults as D
 from deskgraph.functions import text as T
 from deskgraph.functions.numeric import count_if, percent
 from deskgraph.operators.profile import text_digest
-from deskgraph.operators.sampling import holdout_split, seeded_sample, split_filter, take_seeded
+from deskgraph.operators.sampling import holdout_split, split_filter, take_seeded
 from deskgraph.operators.skew import join_to_unique
 from deskgraph.session import materialise
 
-SAMPLE_IN_ONE_TASK = 100_000
-
 
 def _brand_replies(msgs: DataFrame, brand: str | Sequence[str] | Column) -> DataFrame:
     if isinstance(brand, Column):
@@ -208,8 +206,7 @@ def corpus_build(
     """
     pool = split_filter(rows, D.RETRIEVAL_POOL)
     if max_records is not None:
-        sample = seeded_sample if max_records <= SAMPLE_IN_ONE_TASK else take_seeded
-        pool = sample(pool, max_records, seed, "customer_tweet_id")
+        pool = take_seeded(pool, max_records, seed, "customer_tweet_id")
     return pool.select(
         F.col("customer_tweet_id").alias("case_id"),
         F.col("customer_text_clean").alias("customer_text"),

@@ -11,7 +11,7 @@ from deskgraph import defaults as D
 from deskgraph.functions.numeric import count_if, percent, round_dp
 from deskgraph.functions.rules import first_match, lookup
 from deskgraph.functions.text import contains_any
-from deskgraph.operators.sampling import quota_sample, seeded_key, seeded_sample
+from deskgraph.operators.sampling import quota_sample, seeded_key, seeded_sample, seeded_top
 from deskgraph.operators.skew import top_n_per_group
 from deskgraph.session import materialise
 
@@ -179,7 +179,7 @@ def second_pass_relabel(
         [(cancel, F.lit(cancel_intent)), (lost, F.lit(lost_intent)), (rude, F.lit(driver_intent))], intent
     )
     route = F.when(~cancel & ~lost & rude, F.lit("ESCALATE")).otherwise(F.col("gold_routing_decision"))
-    return seeded_sample(gold, sample_size, seed, "example_id").select(
+    return seeded_top(gold, sample_size, seed, "example_id").select(
         "example_id",
         F.col("customer_text").alias("text"),
         intent.alias("pass1_intent"),

@@ -14,7 +14,7 @@ from deskgraph import defaults as D
 from deskgraph.functions import rules
 from deskgraph.functions import text as T
 from deskgraph.functions.numeric import count_if, percent, round_dp
-from deskgraph.operators.sampling import seeded_sample
+from deskgraph.operators.sampling import seeded_sample, seeded_top
 from deskgraph.operators.skew import top_n_per_group
 from deskgraph.operators.vectors import Centroids, centroid_products
 
@@ -134,7 +134,7 @@ def taxonomy_coverage(
     return {
         "summary": coverage_summary(labelled, "predicted_intent"),
         "counts": labelled.groupBy("predicted_intent").agg(F.count(F.lit(1)).alias("n")),
-        "examples": seeded_sample(labelled, first, seed, row_id).select(row_id, text, "predicted_intent"),
+        "examples": seeded_top(labelled, first, seed, row_id).select(row_id, text, "predicted_intent"),
     }
 
 
@@ -154,7 +154,7 @@ def semantic_coverage(
     return {
         "summary": coverage_summary(labelled, "assigned_intent"),
         "counts": labelled.groupBy("assigned_intent").agg(F.count(F.lit(1)).alias("n")),
-        "examples": seeded_sample(labelled, first, seed, row_id).select(
+        "examples": seeded_top(labelled, first, seed, row_id).select(
             row_id, "assigned_intent", "nearest_intent", round_dp(F.col("similarity_score"), 4).alias("similarity_score")
         ),
     }

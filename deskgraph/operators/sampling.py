@@ -18,13 +18,18 @@ def seeded_key(seed: int, row_id: str | Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), column.cast("string")).cast("binary"))
 
 
+def seeded_top(rows: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
+    """First ``n`` rows in seeded order of a table that is itself small, such as a sample or a gold set."""
+    return rows.orderBy(seeded_key(seed, row_id), F.col(row_id)).limit(n)
+
+
 def seeded_sample(rows: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
     """``n`` rows in seeded order, all rows if there are fewer.
 
-    Plans as a partial top-n per partition; ``n`` is a feature and stays small.
-    Use :func:`take_seeded` for large ``n``.
+    A plain top-n would send up to ``n`` whole rows of every task to one task.  Here a first
+    pass over the ids finds the key of the ``n``-th row, and only rows up to it are read whole.
     """
-    return rows.orderBy(seeded_key(seed, row_id), F.col(row_id)).limit(n)
+    return seeded_top(take_seeded(rows, n, seed, row_id), n, seed, row_id)
 
 
 def seeded_cut(rows: DataFrame, seed: int, row_id: str, size: Column, digits: int = 4) -> DataFrame:
@@ -51,7 +56,7 @@ def seeded_cut(rows: DataFrame, seed: int, row_id: str, size: Column, digits: in
 
 
 def take_seeded(rows: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
-    """The same rows as :func:`seeded_sample` for unique ids, for an ``n`` too large for one task."""
+    """The rows of :func:`seeded_sample` without gathering them in one task; ids must be unique."""
     cut = seeded_cut(rows, seed, row_id, F.least(F.lit(n).cast("bigint"), F.col("total")))
     return rows.where(seeded_key(seed, row_id) <= cut.scalar())
 
