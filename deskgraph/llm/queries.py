@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgraph.llm import mixing, secrets
+from deskgraph.llm import licenses, mixing, packing, secrets
 from deskgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("op5_secret_scan")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -79,3 +84,14 @@ FROM placed
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op10_pack_sequences")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents").select("doc_id", "text"), tokenizer_path())
