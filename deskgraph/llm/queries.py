@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgraph.llm import licenses, mixing, packing, secrets
+from deskgraph.llm import licenses, mixing, packing, quality, secrets
 from deskgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,18 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op6_quality")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    field = quality.train(docs, table(spark, sf, "labels"))
+    return quality.score(docs, field, into="score").select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= quality.PASS_SCORE, 1).otherwise(0).alias("predicted"),
+    )
+
+
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS k,
