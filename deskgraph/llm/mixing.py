@@ -22,7 +22,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 MOST_EPOCHS = 2.0
 SEED = "mix-1"
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def order_key(doc_id: str = "doc_id", seed: str = SEED) -> Column:
@@ -86,6 +86,7 @@ def mix(
         sized.withColumn("_key", order_key(seed=seed))
         .join(plan, "_k")
         .withColumn("_range", F.floor(share * F.col("_ranges") / F.lit(2**32)).cast("long"))
+        .repartition("_k", "_range")  # else the windows would run on the join's partitions, a whole source in one
     )
     before = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
