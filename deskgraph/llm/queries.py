@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgraph.llm import licenses, mixing, packing, quality, secrets
+from deskgraph.llm import licenses, mixing, packing, quality, secrets, warc
 from deskgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,26 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+WARC_SQL = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(range(0, 5), lambda b:
+           (((strpos('0123456789abcdef', substr(hex, ((5 * i + b) // 4 + 1)::INT, 1)) - 1) >> (3 - (5 * i + b) % 4)::INT) & 1) << (4 - b)::INT))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM hashed
+"""
+
+
+@query("op8_warc_archive", WARC_SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages").select("page_id", "url", "html")).drop("url")
+
+
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS k,
