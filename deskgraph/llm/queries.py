@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgraph.llm import licenses, mixing, packing, quality, secrets, warc
+from deskgraph.llm import graph, licenses, mixing, packing, quality, secrets, topk, warc
 from deskgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,25 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+TOPK_SQL = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.w, d.w)::BIGINT AS score
+  FROM good q JOIN good d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op1_topk_search", TOPK_SQL)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query("op2_license_scan")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
@@ -63,6 +82,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op7_nearest_neighbours")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 WARC_SQL = """
 WITH hashed AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex,

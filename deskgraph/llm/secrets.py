@@ -107,7 +107,9 @@ def labelled_samples(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
         F.slice(words, 1, 200),
         lambda w, i: F.when(i % 3 == 0, F.concat(w, F.lit("_"), w)).when(i % 3 == 1, F.concat(F.initcap(w), F.initcap(w))).otherwise(F.upper(w)),
     )
-    ordinary = docs.limit(rows).select(F.explode(F.concat(F.slice(words, 1, 200), plain)).alias("token"), F.lit(False).alias("random"))
+    # the first ids by a hash: a bounded list, so a bounded broadcast, and no text is gathered
+    chosen = docs.select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string"))).limit(rows)
+    ordinary = docs.join(F.broadcast(chosen), "doc_id").select(F.explode(F.concat(F.slice(words, 1, 200), plain)).alias("token"), F.lit(False).alias("random"))
     return random.unionByName(ordinary)
 
 
