@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgraph.llm import extraction, graph, licenses, mixing, packing, quality, secrets, topk, warc
+from deskgraph.llm import extraction, graph, licenses, mixing, neardup, packing, quality, secrets, topk, warc
 from deskgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query("op3_near_duplicates")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("op4_html_extraction")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
