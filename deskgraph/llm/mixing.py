@@ -112,6 +112,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
 
     A document at a source's cut appears once more with only the words that are taken, so every
     source has exactly its words.  Documents without words take up none of the budget and stay as they are.
+    Rows that repeat an id, its source and its size share what they take.
     """
     taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_size")).agg(
         F.sum("taken").alias("_sum"), F.count(F.lit(1)).alias("_n")

@@ -235,12 +235,15 @@ def across(members: DataFrame, nodes: DataFrame, labels: DataFrame, similarity:
     return dealt.groupBy("bucket", "i", "j").applyInArrow(cell, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, text: str = "text", band: int = BAND
+) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id linked with it, at any remove), kept.
 
     Two documents are linked if their sets of distinct shingles of ``words`` words overlap by ``similarity`` of their union or more.  A text
     with fewer words is one shingle; null and empty texts have none and are linked with nothing.  Rows that repeat a doc_id
-    are judged by their own texts.  An empty table gives no rows.
+    are judged by their own texts.  An empty table gives no rows.  ``band`` registers must agree for two nodes to meet;
+    fewer miss less and propose more.
     """
     rows = documents(docs, words, text)
     nodes = stored(
@@ -255,7 +258,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         ),
         "nodes",
     )
-    members = buckets(nodes)
+    members = buckets(nodes, band)
     star = members.where(F.col("node") != F.col("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     tried = stored(likely(star, nodes, similarity), "tried")
     links = confirmed(tried, nodes, docs, similarity, words, text)
@@ -279,3 +282,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id.  Columns stay as they are.
+
+    Rows that repeat both the doc_id and the text are copies, of which one stays.  A null doc_id stays if its text is like no other.
+    """
+    judged = near_duplicates(docs, **options).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marked = stored(judged.where(~F.col("kept") | (F.col("n") > 1)), "marked").withColumnRenamed("doc_id", "_id")
+    if marked.count() <= BROADCAST_ROWS:
+        marked = F.broadcast(marked)  # ids and counts; beyond this many they are shuffled with the documents
+    joined = docs.join(marked, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    columns = docs.columns
+    single = joined.where(F.col("n").isNull()).select(*columns)
+    repeated = joined.where(F.col("kept") & (F.col("n") > 1)).dropDuplicates(["doc_id", options.get("text", "text")]).select(*columns)
+    return single.unionByName(repeated)

@@ -63,12 +63,13 @@ def log_likelihood(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.
 def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float, margin: float = 10.0) -> np.ndarray:
     """Whether pairs of sketches (rows of a and b) may be of sets with ``similarity`` or more.
 
-    A pair is ruled out if its sizes do not allow it, or if the best similarity explains the registers better than every
-    similarity from the threshold up by ``margin`` in log-likelihood, about 4.5 standard deviations.
+    A pair is ruled out if its sizes do not allow it, or if its likeliest similarity explains the registers better than
+    the nearest one at the threshold or above by ``margin`` in log-likelihood, about 4.5 standard deviations.
     """
     m = a.shape[1]
     more, less = (a > b).sum(1), (a < b).sum(1)
-    grid = np.linspace(0.0, 0.995, 120)
-    values = log_likelihood(more[:, None], less[:, None], n_a[:, None].astype(float), n_b[:, None].astype(float), grid[None], m)
-    best, above = values.max(1), values[:, grid >= similarity - 0.01].max(1)
+    size_a, size_b = n_a.astype(float), n_b.astype(float)
+    likeliest = 1 - (more + less) / m  # the share of equal registers; BASE is close to 1
+    best = log_likelihood(more, less, size_a, size_b, likeliest, m)
+    above = log_likelihood(more, less, size_a, size_b, np.maximum(likeliest, similarity - 0.01), m)
     return (best - above <= margin) & (np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b))
