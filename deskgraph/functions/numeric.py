@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 
 def round_dp(value: Column, digits: int) -> Column:
-    """Round to ``digits`` places on the binary value.
+    """Round half to even, to ``digits`` places, on the binary value.
 
-    ``round(x, n)`` in Spark works on the shortest decimal text of ``x``, so a value
-    just under a tie is lifted over it.  Scaling first avoids that.  ``+ 0.0`` turns
-    a negative zero into zero.
+    ``round(x, n)`` in Spark works on the shortest decimal text of ``x`` and lifts ties up.
+    ``+ 0.0`` turns a negative zero into zero.
     """
     scale = F.lit(float(10**digits))
-    return F.round(value.cast("double") * scale) / scale + F.lit(0.0)
+    return F.rint(value.cast("double") * scale) / scale + F.lit(0.0)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -106,15 +106,3 @@ def normalize_message(
 ) -> Column:
     """Clean an incoming message: like the corpus form, with a lower-cased brand and case-blind links."""
     return _normalize(text, brand.lower(), aliases, any_case_url=True)
-
-
-def message_features(text: Column, brand: str = D.BRAND_HANDLE, aliases: Sequence[str] = D.MESSAGE_ALIASES) -> dict[str, Column]:
-    """Clean text and its size features, by output column name."""
-    clean = normalize_message(text, brand, aliases)
-    return {
-        "raw_text": text,
-        "clean_text": clean,
-        "char_length": F.length(clean).cast("bigint"),
-        "word_count": F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, " "))).cast("bigint"),
-        "is_ascii": is_ascii(clean),
-    }

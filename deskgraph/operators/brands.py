@@ -68,12 +68,17 @@ def thread_completeness(volumes: DataFrame) -> DataFrame:
     )
 
 
-def customer_texts(msgs: DataFrame, names: Sequence[str], cap: int = D.SCORING_TEXTS) -> DataFrame:
-    """Customer texts behind the first ``cap`` usable replies of each candidate: ``brand, n, text``.
+def customer_texts(msgs: DataFrame, names: Sequence[str], cap: int | None = None) -> DataFrame:
+    """Customer texts behind the usable replies of each candidate: ``brand, n, text``, ``n`` giving their order.
 
-    Only ids travel until the cut is made; the texts of the at most
-    ``len(names) * cap`` chosen parents are fetched afterwards.
+    All of them come from one join with the parents.  With ``cap`` only the first of each candidate
+    are kept: ids travel until the cut is made, and the chosen parents' texts are fetched afterwards.
     """
+    if cap is None:
+        replies = _candidate_messages(msgs, names).where(F.col("in_response_to_tweet_id").isNotNull())
+        parents = msgs.where(F.col("inbound")).select(F.col("tweet_id").alias("parent_id"), "text")
+        asked = replies.select("brand", F.col("tweet_id").alias("n"), F.col("in_response_to_tweet_id").alias("parent_id"))
+        return join_to_unique(asked, parents, "parent_id", ["n"]).select("brand", "n", "text")
     replies = _candidate_messages(msgs, names).select(
         "brand", "tweet_id", F.col("in_response_to_tweet_id").alias("parent_id")
     )
@@ -85,8 +90,10 @@ def customer_texts(msgs: DataFrame, names: Sequence[str], cap: int = D.SCORING_T
     return chosen.join(texts, "parent_id").select("brand", "n", "text")
 
 
-def first_replies(msgs: DataFrame, names: Sequence[str], cap: int = D.SCORING_TEXTS) -> DataFrame:
-    """The first ``cap`` messages of each candidate: ``brand, text``."""
+def first_replies(msgs: DataFrame, names: Sequence[str], cap: int | None = None) -> DataFrame:
+    """The messages of each candidate, or the first ``cap`` of them: ``brand, text``."""
+    if cap is None:
+        return _candidate_messages(msgs, names).select("brand", "text")
     ids = _candidate_messages(msgs, names).select("brand", "tweet_id")
     chosen = top_n_per_group(ids, ["brand"], [F.col("tweet_id")], cap, spread_by=["tweet_id"])
     return chosen.join(msgs.select("tweet_id", "text"), "tweet_id").select("brand", "text")
@@ -97,12 +104,12 @@ def lexical_entropy(
     group: str = "brand",
     text: str = "text",
     order: str = "n",
-    cap: int | None = D.ENTROPY_TEXTS,
+    cap: int | None = None,
     spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Word entropy over log2 of the vocabulary, per group; 0.0 for a group without words.
 
-    ``cap`` keeps the first texts of each group in ``order``; ``None`` uses them all.  Give
+    All texts count.  ``cap`` keeps the first texts of each group in ``order`` instead.  Give
     ``spread_by`` when a group may be large before the cut.
     """
     kept = texts.where(F.col(text).isNotNull())
@@ -159,18 +166,20 @@ def brand_composite(scores: DataFrame, weights: dict[str, float] | None = None,
     )
 
 
-def brand_scores(msgs: DataFrame, n: int = CANDIDATES, cap: int = D.SCORING_TEXTS) -> DataFrame:
-    """All scores of the top ``n`` brands, one row each.
+def brand_scores(
+    msgs: DataFrame, n: int = CANDIDATES, cap: int | None = None, entropy_cap: int | None = None
+) -> DataFrame:
+    """All scores of the top ``n`` brands over all their texts, one row each.
 
-    The candidates and their capped texts, both bounded, are written once since several
-    scores read them.
+    The candidates and their texts are written once since several scores read them.  The two caps
+    score only the first texts of each brand, as a quick look does.
     """
     candidates = materialise(brand_candidates(msgs, n), "candidates")
     names = candidate_names(candidates)
     texts = materialise(customer_texts(msgs, names, cap), "brand-texts")
     scored = (
         thread_completeness(brand_usable_volume(msgs, candidates, names))
-        .join(lexical_entropy(texts), "brand", "left")
+        .join(lexical_entropy(texts, cap=entropy_cap), "brand", "left")
         .join(ascii_homogeneity(texts), "brand", "left")
         .join(resolution_substance(first_replies(msgs, names, cap)), "brand", "left")
         .na.fill(0.0, ["lexical_entropy", "ascii_pct", "avg_reply_length", "substantive_pct"])

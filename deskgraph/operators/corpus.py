@@ -196,13 +196,13 @@ def clean_pairs(msgs: DataFrame, brand: str | Sequence[str] | Column) -> DataFra
 
 def corpus_build(
     rows: DataFrame,
-    max_records: int | None = D.CORPUS_RECORDS,
+    max_records: int | None = None,
     seed: int = D.SPLIT_SEED,
     extra: Sequence[str] = (),
 ) -> DataFrame:
     """Retrieval corpus from the retrieval pool: case id, texts and any ``extra`` columns.
 
-    ``max_records`` caps it by seeded sample; ``None`` keeps the whole pool.
+    The whole pool is kept, unless ``max_records`` asks for a seeded sample.
     """
     pool = split_filter(rows, D.RETRIEVAL_POOL)
     if max_records is not None:

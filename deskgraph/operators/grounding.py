@@ -16,23 +16,38 @@ def _found(text: Column, pattern: str, ignore_case: bool) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_regex(pattern, ignore_case)), F.lit(0))
 
 
+def _first_missing(claims: Column, known: Column, form) -> Column:
+    """First claim whose form is not among ``known``, which is worked out once per row and not once per claim."""
+    fresh = F.transform(F.array(known), lambda k: F.try_element_at(F.filter(claims, lambda c: ~F.array_contains(k, form(c))), F.lit(1)))
+    return F.when(F.size(claims) > 0, F.element_at(fresh, 1))
+
+
 def currency_claims(reply: Column, evidence: Column) -> Column:
     """First amount in the reply that the evidence lacks, whatever its case; null if none."""
     known = F.transform(_found(evidence, D.CURRENCY_PATTERN, True), F.lower)
-    fresh = F.filter(_found(reply, D.CURRENCY_PATTERN, True), lambda c: ~F.array_contains(known, F.lower(c)))
-    return F.try_element_at(fresh, F.lit(1))
+    return _first_missing(_found(reply, D.CURRENCY_PATTERN, True), known, F.lower)
 
 
 def phone_claims(reply: Column, evidence: Column) -> Column:
     """First phone number in the reply that the evidence lacks; null if none."""
-    known = _found(evidence, D.PHONE_PATTERN, False)
-    fresh = F.filter(_found(reply, D.PHONE_PATTERN, False), lambda c: ~F.array_contains(known, c))
-    return F.try_element_at(fresh, F.lit(1))
+    return _first_missing(_found(reply, D.PHONE_PATTERN, False), _found(evidence, D.PHONE_PATTERN, False), lambda c: c)
 
 
 def parse_verdict(answer: Column) -> Column:
-    """An outside auditor's JSON text as struct; null if there is none."""
-    return F.from_json(answer, VERDICT_TYPE)
+    """An outside auditor's JSON text as struct; null if there is none or it is malformed.
+
+    Malformed is what is no JSON object, or has a score that is null or no number.  A missing score is none.
+    """
+    given = F.try_parse_json(answer)
+    raw, score = F.try_variant_get(given, "$.grounding_score", "variant"), F.try_variant_get(given, "$.grounding_score", "double")
+    usable = F.schema_of_variant(given).startswith("OBJECT") & (raw.isNull() | score.isNotNull())
+    verdict = F.struct(
+        F.try_variant_get(given, "$.grounding_pass", "boolean").alias("grounding_pass"),
+        score.alias("grounding_score"),
+        F.try_variant_get(given, "$.unsupported_claims", "array<string>").alias("unsupported_claims"),
+        F.try_variant_get(given, "$.justification", "string").alias("justification"),
+    )
+    return F.when(usable, verdict)
 
 
 def grounding_verdict(

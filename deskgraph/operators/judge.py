@@ -67,11 +67,22 @@ def judge_rule_scores(
     )
 
 
-def judge_clamp(rows: DataFrame) -> DataFrame:
-    """Outside ratings made safe: missing to 3, whole, within 1 to 5, with their mean."""
+def judge_clamp(rows: DataFrame, fallback: dict[str, Column] | None = None) -> DataFrame:
+    """Outside ratings made safe: missing to 3, whole, within 1 to 5, with their mean.
+
+    A rating that is no number spoils its row's whole set, which then comes from ``fallback`` (the rule rating's
+    columns by dimension; 3 each without it).
+    """
     others = [c for c in rows.columns if c not in (*DIMENSIONS, "overall_score")]
+    number = {d: F.col(d).cast("string").try_cast("double") for d in DIMENSIONS}
+    spoilt = F.lit(False)
+    for d in DIMENSIONS:
+        spoilt = spoilt | (F.col(d).isNotNull() & (number[d].isNull() | F.isnan(number[d])))
+    instead = fallback or dict.fromkeys(DIMENSIONS, F.lit(3))
     clamped = [
-        F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(F.col(d).cast("int"), F.lit(3)))).cast("bigint").alias(d)
+        F.when(spoilt, instead[d].cast("bigint"))
+        .otherwise(F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.coalesce(number[d], F.lit(3.0)))).cast("bigint"))
+        .alias(d)
         for d in DIMENSIONS
     ]
     return rows.select(*others, *clamped).withColumn("overall_score", _overall([F.col(d) for d in DIMENSIONS]))
@@ -106,8 +117,8 @@ def judge_cache_join(
     )
 
 
-def judge_mean(scores: DataFrame, first: int | None = D.JUDGE_ROWS, row_id: str = "example_id") -> DataFrame:
-    """Mean overall rating of each system over its first rows by id."""
+def judge_mean(scores: DataFrame, first: int | None = None, row_id: str = "example_id") -> DataFrame:
+    """Mean overall rating of each system over all its rows, or over the ``first`` by id."""
     kept = scores
     if first is not None:
         kept = top_n_per_group(scores, ["system_name"], [F.col(row_id)], first)

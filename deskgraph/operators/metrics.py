@@ -170,10 +170,10 @@ def grounding_rate(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
 def latency_percentiles(joined: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
     """Mean, median and 95th percentile by linear interpolation.
 
-    Latencies are kept to 1/100 ms, so equal values are counted first and the exact
-    percentile sees one entry per distinct value.
+    Latencies are rounded to 1/100 ms and equal values counted first, so the exact percentile sees
+    one entry per distinct value, whose number follows the longest latency and not the rows.
     """
-    counts = joined.groupBy(*by, F.col("latency_ms").alias("_ms")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = joined.groupBy(*by, round_dp(F.col("latency_ms"), 2).alias("_ms")).agg(F.count(F.lit(1)).alias("_n"))
     packed = counts.groupBy(*by).agg(
         (F.sum(F.col("_ms") * F.col("_n")) / F.sum("_n")).alias("_mean"),
         F.expr("percentile(_ms, array(0.5D, 0.95D), _n)").alias("_p"),

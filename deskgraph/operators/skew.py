@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 128
 SALTS = 64
 HOT_ROWS = 100_000
+HOT_SHARE = 0.002
 
 
 def hot_keys(
-    rows: DataFrame, key: str, share: float = 0.002, hot_rows: int = HOT_ROWS, limit: int = HOT_KEYS
+    rows: DataFrame, key: str, share: float = HOT_SHARE, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Hashes of keys with more than ``hot_rows`` rows and ``share`` of all ``rows``: at most ``limit``.
+    """Hashes and counts of all keys with more than ``hot_rows`` rows and ``share`` of all ``rows``.
+
+    There are at most ``1 / share`` such keys, so none is left out.
 
     One pass with a frequent-item sketch, whose size does not grow with the data.  The result
     only steers how rows are spread, so neither sketch error nor a hash collision can
     change a join.
     """
+    limit = math.ceil(1 / share)
     sketch = rows.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("_h")).agg(
         F.expr(f"approx_top_k(_h, {limit}, {limit * 64})").alias("top"),
         F.count(F.lit(1)).alias("total"),
@@ -28,8 +32,7 @@ def hot_keys(
     return (
         sketch.select(F.explode("top").alias("entry"), "total")
         .where(F.col("entry.count") > F.greatest(F.lit(hot_rows), F.col("total") * F.lit(share)))
-        .select(F.col("entry.item").alias("_h"))
-        .limit(limit)
+        .select(F.col("entry.item").alias("_h"), F.col("entry.count").alias("_n"))
     )
 
 
@@ -39,21 +42,21 @@ def join_to_unique(
     key: str,
     spread_by: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
     hot_rows: int = HOT_ROWS,
+    share: float = HOT_SHARE,
 ) -> DataFrame:
     """Equi-join many ``rows`` to a side with one row per ``key``.
 
-    Rows of a hot key are spread over ``salts`` partitions by a hash of ``spread_by`` and the
-    one matching row is copied to each; every other key joins as usual.  The hot keys come
-    in as one array of at most ``HOT_KEYS`` hashes, computed once.
+    A hot key's rows are spread by a hash of ``spread_by`` over as many salts as it takes to have about
+    ``hot_rows`` in each, and the one matching row is copied to each; every other key joins as usual.  The hot
+    keys come in as one map of at most ``1 / share`` hashes, computed once.
     """
-    hot = hot_keys(rows, key, hot_rows=hot_rows).agg(F.collect_list("_h")).scalar()
-    is_hot = F.array_contains(hot, F.xxhash64(key))
-    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted = rows.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), spread).otherwise(F.lit(0)))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    copies = unique.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    salts = F.ceil(F.col("_n") / F.lit(max(1, hot_rows))).cast("int")
+    hot = hot_keys(rows, key, share, hot_rows).agg(F.map_from_entries(F.collect_list(F.struct("_h", salts)))).scalar()
+    wide = F.coalesce(F.try_element_at(hot, F.xxhash64(key)), F.lit(1))
+    own = F.when(F.col(key).isNull(), F.lit(SALTS)).otherwise(wide)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), own).cast("int"))
+    copies = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), wide - 1)))
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 

@@ -14,7 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql.pandas.functions import arrow_udf
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskgraph.operators.skew import top_n_per_group
@@ -31,8 +32,19 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(rows, -1) if rows else np.zeros((0, 0))
+    if rows == 0:
+        return np.zeros((0, 0))
+    lengths = column.value_lengths()
+    if lengths.null_count or pc.min(lengths).as_py() != pc.max(lengths).as_py():
+        raise ValueError("vectors of different lengths cannot form a matrix; leave out those that are not usable")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(rows, -1)
+
+
+def usable_vector(vector: str, width: int | None = None) -> Column:
+    """Not null, of ``width`` values (any number without it), none of them null, NaN or infinite."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    good = F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(False))
+    return good if width is None else good & F.coalesce(F.size(vector) == width, F.lit(False))
 
 
 def sparse_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,38 +86,30 @@ class Centroids:
         return Centroids(table.column("label").to_pylist(), matrix(table.column("centroid")))
 
 
-def _schema_with(rows: DataFrame, extra: str) -> str:
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return f"{own}, {extra}" if own else extra
-
-
 def centroid_products(rows: DataFrame, model: Centroids, vector: str = "embedding", distance: bool = False) -> DataFrame:
     """Add ``sims``: the dot product (or Euclidean distance) with every centroid in label order.
 
-    A narrow, streaming step: one block product per Arrow batch, no shuffle.  A row
-    without a vector gets null.
+    A narrow, streaming step: one block product per Arrow batch of vectors, no shuffle; other columns stay in the
+    JVM.  A row without a vector, or with one that does not fit the centroids, gets null.
     """
     centroids = model.values
     squares = (centroids * centroids).sum(axis=1)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(vector))
-            valid = np.asarray(column.is_valid())
-            out = np.zeros((len(column), len(centroids)))
-            if valid.any():
-                x = matrix(column.drop_null())
-                dots = x @ centroids.T
-                if distance:
-                    dots = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * dots + squares, 0.0))
-                out[valid] = dots
-            offsets = np.arange(len(column) + 1, dtype=np.int32) * len(centroids)
-            sims = pa.ListArray.from_arrays(
-                pa.array(offsets, mask=np.append(~valid, False)), pa.array(out.ravel())
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns, sims], names=[*batch.schema.names, "sims"])
-
-    return rows.mapInArrow(score, _schema_with(rows, "sims array<double>"))
+    def score(column: pa.Array) -> pa.Array:
+        valid = np.asarray(column.is_valid())
+        out = np.zeros((len(column), len(centroids)))
+        if valid.any():
+            x = matrix(column.drop_null())
+            dots = x @ centroids.T
+            if distance:
+                dots = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * dots + squares, 0.0))
+            out[valid] = dots
+        offsets = np.arange(len(column) + 1, dtype=np.int32) * len(centroids)
+        return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~valid, False)), pa.array(out.ravel()))
+
+    score.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    fitting = F.when(usable_vector(vector, centroids.shape[1]), F.col(vector))
+    return rows.withColumn("sims", arrow_udf(score, "array<double>")(fitting))
 
 
 class _Block:
@@ -121,6 +125,8 @@ class _Block:
     def search(self, ids: pa.Array, vectors: pa.Array, k: int) -> pa.RecordBatch:
         """Top ``k`` for every query row, a slice of queries at a time to bound memory."""
         width = min(k, len(self.ids))
+        if width == 0:  # a block without a case finds nothing
+            ids = ids.slice(0, 0)
         step = max(1, SCORE_CELLS // max(1, len(self.ids)))
         cases, scores = [np.empty(0, dtype=np.int64)], [np.empty(0)]
         for start in range(0, len(ids), step):
@@ -154,16 +160,14 @@ def _sparse_scorer(corpus: pa.Array):
 
     def score(queries: pa.Array) -> np.ndarray:
         bounds, asked, values = sparse_parts(queries)
-        out = np.zeros((len(queries), len(corpus)))
-        for i in range(len(queries)):
-            mine = slice(bounds[i], bounds[i + 1])
-            known = asked[mine] < len(starts) - 1
-            wanted, factor = asked[mine][known], values[mine][known]
-            first, length = starts[wanted], starts[wanted + 1] - starts[wanted]
-            skipped = np.cumsum(length) - length
-            places = np.repeat(first - skipped, length) + np.arange(length.sum())
-            out[i] = np.bincount(rows[places], weights[places] * np.repeat(factor, length), len(corpus))
-        return out
+        known = asked < len(starts) - 1
+        query = np.repeat(np.arange(len(queries)), np.diff(bounds))[known]
+        wanted, factor = asked[known], values[known]
+        first, length = starts[wanted], starts[wanted + 1] - starts[wanted]
+        places = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        cells = np.repeat(query, length) * len(corpus) + rows[places]
+        total = np.bincount(cells, weights[places] * np.repeat(factor, length), len(queries) * len(corpus))
+        return total.reshape(len(queries), len(corpus))
 
     return score
 
@@ -173,11 +177,11 @@ def _best_columns(scores: np.ndarray, width: int) -> np.ndarray:
     if width == scores.shape[1]:
         return np.argsort(-scores, axis=1, kind="stable")
     floor = np.partition(scores, scores.shape[1] - width, axis=1)[:, -width]
-    best = np.empty((len(scores), width), dtype=np.int64)
-    for i, row in enumerate(scores):
-        near = np.flatnonzero(row >= floor[i])  # keeps every tie at the cut
-        best[i] = near[np.argsort(-row[near], kind="stable")[:width]]
-    return best
+    row, column = np.nonzero(scores >= floor[:, None])  # keeps every tie at the cut, lower columns first
+    order = np.lexsort((column, -scores[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return column[place < width].reshape(len(scores), width)
 
 
 def topk_similar(
@@ -197,19 +201,24 @@ def topk_similar(
     A corpus measured to fit ``broadcast_bytes`` is sent to the tasks once and queries stream
     past it without a shuffle.  A larger one is cut into blocks of about ``block_rows``; every
     (query block, corpus block) cell is one balanced task that keeps only its own top ``k``,
-    and a window merges the cells.  Rows without a vector find nothing.
+    and a window merges the cells.  Rows without a vector find nothing, nor do vectors with null, NaN or infinite
+    values or of another length than the corpus's longest.
     """
-    left = queries.where(F.col(vector).isNotNull()).select(
+    is_sparse = corpus.schema[vector].dataType.typeName() == "struct"
+    fits = F.col(vector).isNotNull()
+    if not is_sparse:
+        longest = corpus.where(usable_vector(vector)).agg(F.max(F.size(vector))).first()[0]
+        fits = usable_vector(vector, longest)
+    left = queries.where(fits).select(
         F.col(query_id).alias("query_id"), F.col(vector).alias("_vector")
     )
-    right = corpus.where(F.col(vector).isNotNull()).select(
+    right = corpus.where(fits).select(
         F.col(case_id).alias("case_id"), F.col(vector).alias("_vector")
     )
     shape = (
         f"query_id {left.schema['query_id'].dataType.simpleString()}, "
         f"case_id {right.schema['case_id'].dataType.simpleString()}, similarity double, rank bigint"
     )
-    is_sparse = right.schema["_vector"].dataType.typeName() == "struct"
     entries = F.sum(F.size("_vector.indices" if is_sparse else "_vector"))
     size = right.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(entries, F.lit(0)).alias("entries")).first()
     if size["rows"] == 0:

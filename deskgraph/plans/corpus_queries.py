@@ -127,22 +127,21 @@ _SCORE_VIEWS = {
     "ctexts": f"""SELECT brand, n, text FROM (
         SELECT r.author_id AS brand, row_number() OVER (PARTITION BY r.author_id ORDER BY r.tweet_id) AS n, p.text
         FROM msgs r JOIN msgs p ON p.tweet_id = r.in_response_to_tweet_id
-        WHERE p.inbound AND r.author_id IN (SELECT brand FROM volume)) WHERE n <= 2000""",
+        WHERE p.inbound AND r.author_id IN (SELECT brand FROM volume))""",
     "cwords": """SELECT brand, word, count(*) AS n FROM (
-        SELECT brand, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS word FROM ctexts WHERE n <= 1000)
+        SELECT brand, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS word FROM ctexts)
         WHERE regexp_full_match(word, '[a-z]{3,}') GROUP BY brand, word""",
-    "centropy": """SELECT brand, round((log2(total) - weighted / total) / CASE WHEN k > 1 THEN log2(k) ELSE 1.0::DOUBLE END, 4) AS lexical_entropy
+    "centropy": """SELECT brand, round_even((log2(total) - weighted / total) / CASE WHEN k > 1 THEN log2(k) ELSE 1.0::DOUBLE END, 4) AS lexical_entropy
         FROM (SELECT brand, CAST(sum(n) AS DOUBLE) AS total, sum(n * log2(n)) AS weighted, CAST(count(*) AS DOUBLE) AS k FROM cwords GROUP BY brand)""",
     "cascii": f"""SELECT brand, {pct("count(*) FILTER (regexp_full_match(text, '[\\x00-\\x7F]+'))", "count(*)", 1)} AS ascii_pct FROM ctexts GROUP BY brand""",
-    "csubst": f"""SELECT brand, round(avg(length(text)), 1) AS avg_reply_length,
+    "csubst": f"""SELECT brand, round_even(avg(length(text)), 1) AS avg_reply_length,
         {pct("count(*) FILTER (length(text) > 60 AND NOT regexp_matches(lower(text), '^@[\\p{L}\\p{N}_]+[\\t-\\r ]+(sorry|hi|hello),?[\\t-\\r ]*please[\\t-\\r ]+dm[\\t-\\r ]+us([^\\p{L}\\p{N}_]|$)'))", "count(*)", 1)} AS substantive_pct
-        FROM (SELECT author_id AS brand, text, row_number() OVER (PARTITION BY author_id ORDER BY tweet_id) AS n FROM msgs WHERE author_id IN (SELECT brand FROM volume))
-        WHERE n <= 2000 GROUP BY brand""",
+        FROM (SELECT author_id AS brand, text FROM msgs WHERE author_id IN (SELECT brand FROM volume)) GROUP BY brand""",
     "scored": f"""SELECT v.brand, v.outbound_replies, v.usable_inbound_volume, {pct('v.usable_inbound_volume', 'v.outbound_replies', 1)} AS thread_completeness_pct,
         coalesce(lexical_entropy, 0) AS lexical_entropy, coalesce(ascii_pct, 0) AS ascii_pct,
         coalesce(avg_reply_length, 0) AS avg_reply_length, coalesce(substantive_pct, 0) AS substantive_pct
         FROM volume v LEFT JOIN centropy USING (brand) LEFT JOIN cascii USING (brand) LEFT JOIN csubst USING (brand)""",
-    "composed": """SELECT *, round(0.2::DOUBLE * least(1.0::DOUBLE, usable_inbound_volume / 50000.0::DOUBLE) + 0.25::DOUBLE * least(1.0::DOUBLE, thread_completeness_pct / 100.0::DOUBLE)
+    "composed": """SELECT *, round_even(0.2::DOUBLE * least(1.0::DOUBLE, usable_inbound_volume / 50000.0::DOUBLE) + 0.25::DOUBLE * least(1.0::DOUBLE, thread_completeness_pct / 100.0::DOUBLE)
         + 0.2::DOUBLE * lexical_entropy + 0.15::DOUBLE * least(1.0::DOUBLE, ascii_pct / 100.0::DOUBLE) + 0.2::DOUBLE * least(1.0::DOUBLE, substantive_pct / 100.0::DOUBLE), 4) AS composite_score FROM scored""",
 }
 
@@ -176,7 +175,7 @@ def _(spark, sf):
 
 @query(
     "lexical_entropy",
-    """SELECT source AS brand, round((log2(total) - weighted / total) / CASE WHEN k > 1 THEN log2(k) ELSE 1.0::DOUBLE END, 4) AS lexical_entropy
+    """SELECT source AS brand, round_even((log2(total) - weighted / total) / CASE WHEN k > 1 THEN log2(k) ELSE 1.0::DOUBLE END, 4) AS lexical_entropy
     FROM (SELECT source, CAST(sum(n) AS DOUBLE) AS total, sum(n * log2(n)) AS weighted, CAST(count(*) AS DOUBLE) AS k
           FROM (SELECT source, word, count(*) AS n
                 FROM (SELECT source, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS word FROM documents)
@@ -184,7 +183,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = t.table(spark, sf, "documents").withColumnRenamed("source", "brand")
-    return brands.lexical_entropy(docs, cap=None)
+    return brands.lexical_entropy(docs)
 
 
 @query("ascii_homogeneity", _scored_sql("SELECT * FROM cascii"))
@@ -402,8 +401,8 @@ def _(spark, sf):
 @query(
     "corpus_build",
     sql(
-        f"""SELECT customer_tweet_id AS case_id, customer_text_clean AS customer_text, brand_reply_clean AS brand_resolution, brand_tweet_id
-        FROM doc_split WHERE split = 'retrieval_pool' ORDER BY {seeded(42, 'customer_tweet_id')}, customer_tweet_id LIMIT 5000"""
+        """SELECT customer_tweet_id AS case_id, customer_text_clean AS customer_text, brand_reply_clean AS brand_resolution, brand_tweet_id
+        FROM doc_split WHERE split = 'retrieval_pool'"""
     ),
 )
 def _(spark, sf):
@@ -462,3 +461,14 @@ def _(spark, sf):
 
 
 __all__ = ["WORKING_SQL", "working_set"]
+
+
+@query(
+    "corpus_build_sampled",
+    sql(
+        f"""SELECT customer_tweet_id AS case_id, customer_text_clean AS customer_text, brand_reply_clean AS brand_resolution, brand_tweet_id
+        FROM doc_split WHERE split = 'retrieval_pool' ORDER BY {seeded(42, 'customer_tweet_id')}, customer_tweet_id LIMIT 5000"""
+    ),
+)
+def _(spark, sf):
+    return corpus.corpus_build(_split_docs(spark, sf), max_records=D.CORPUS_RECORDS)

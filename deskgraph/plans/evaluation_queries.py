@@ -41,7 +41,7 @@ def _(spark, sf):
 @query(
     "per_class_prf",
     sql(
-        "SELECT system_name, label, round(prec, 4) AS precision, round(rec, 4) AS recall, round(f1, 4) AS f1, CAST(t AS BIGINT) AS support FROM f1s"
+        "SELECT system_name, label, round_even(prec, 4) AS precision, round_even(rec, 4) AS recall, round_even(f1, 4) AS f1, CAST(t AS BIGINT) AS support FROM f1s"
     ),
 )
 def _(spark, sf):
@@ -51,8 +51,8 @@ def _(spark, sf):
 @query(
     "escalation_confusion",
     sql(
-        """SELECT system_name, round(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 4) AS accuracy, round(prec, 4) AS precision, round(rec, 4) AS recall,
-        round(f1, 4) AS f1, tp, fp, fn, tn FROM esc"""
+        """SELECT system_name, round_even(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 4) AS accuracy, round_even(prec, 4) AS precision, round_even(rec, 4) AS recall,
+        round_even(f1, 4) AS f1, tp, fp, fn, tn FROM esc"""
     ),
 )
 def _(spark, sf):
@@ -77,9 +77,9 @@ def _(spark, sf):
 @query(
     "segment_breakdown",
     sql(
-        """SELECT system_name, edge_category, count(*) AS count, round(CAST(count(*) FILTER (true_intent = pred_intent) AS DOUBLE) / count(*), 4) AS intent_accuracy,
+        """SELECT system_name, edge_category, count(*) AS count, round_even(CAST(count(*) FILTER (true_intent = pred_intent) AS DOUBLE) / count(*), 4) AS intent_accuracy,
         CASE WHEN count(*) FILTER (true_action = 'escalate') = 0 THEN 0.0::DOUBLE
-             ELSE round(CAST(count(*) FILTER (true_action = 'escalate' AND pred_action = 'escalate') AS DOUBLE) / count(*) FILTER (true_action = 'escalate'), 4) END AS escalation_recall,
+             ELSE round_even(CAST(count(*) FILTER (true_action = 'escalate' AND pred_action = 'escalate') AS DOUBLE) / count(*) FILTER (true_action = 'escalate'), 4) END AS escalation_recall,
         count(*) FILTER (true_action = 'escalate' AND pred_action <> 'escalate') AS missed_escalations_fn
         FROM joined GROUP BY system_name, edge_category"""
     ),
@@ -101,7 +101,7 @@ def _(spark, sf):
 @query(
     "system_comparison",
     sql(
-        "SELECT metric, trivial_baseline, simple_ml_baseline, proposed_system, round(proposed_system - simple_ml_baseline, 4) + 0.0::DOUBLE AS delta FROM ("
+        "SELECT metric, trivial_baseline, simple_ml_baseline, proposed_system, round_even(proposed_system - simple_ml_baseline, 4) + 0.0::DOUBLE AS delta FROM ("
         + " UNION ALL ".join(
             f"SELECT {q(m)} AS metric, "
             + ", ".join(
@@ -137,7 +137,7 @@ _REPLIES = """SELECT conv_id * 1000 + turn AS example_id, concat(' conversation
     CASE WHEN role = 'user' THEN 'standard' ELSE 'low_info_vague' END AS edge_case_category, concat('system_', role) AS system_name FROM conversations"""
 _WORDS = ["the", "les", "und", "que"]
 _SCORES = "grounding, relevance, helpfulness, tone_fit, conciseness"
-_MEAN = "round(CAST(grounding + relevance + helpfulness + tone_fit + conciseness AS DOUBLE) / 5.0::DOUBLE, 2) AS overall_score"
+_MEAN = "round_even(CAST(grounding + relevance + helpfulness + tone_fit + conciseness AS DOUBLE) / 5.0::DOUBLE, 2) AS overall_score"
 _HEURISTIC = f"""SELECT *, {_MEAN} FROM (SELECT *, CAST(4 AS BIGINT) AS grounding,
     CAST(CASE WHEN {' OR '.join(f"contains(lower(reply), '{w}')" for w in _WORDS)} THEN 4 ELSE 2 END AS BIGINT) AS relevance,
     CAST(4 AS BIGINT) AS helpfulness, CAST(4 AS BIGINT) AS tone_fit,
@@ -166,7 +166,7 @@ def _(spark, sf):
     return judge.judge_rule_scores(_replies(spark, sf)).select("example_id", *judge.DIMENSIONS, "overall_score")
 
 
-_RAW = "CASE WHEN n_chars % 7 = {k} THEN NULL ELSE n_chars % {m} - 1 END"
+_RAW = "CASE WHEN doc_id % 9 = 4 THEN NULL WHEN n_chars % 7 = {k} THEN NULL ELSE n_chars % {m} - 1 END"  # one text rating spoils the set
 
 
 @query(
@@ -180,7 +180,12 @@ _RAW = "CASE WHEN n_chars % 7 = {k} THEN NULL ELSE n_chars % {m} - 1 END"
 )
 def _(spark, sf):
     chars = F.col("n_chars")
-    raw = [F.when(chars % 7 != i, chars % (6 + i) - 1).alias(d) for i, d in enumerate(judge.DIMENSIONS)]
+    raw = [
+        F.when((F.col("doc_id") % 9 == 4) & (i < 2), F.lit("good"))
+        .when(chars % 7 != i, (chars % (6 + i) - 1).cast("string"))
+        .alias(d)
+        for i, d in enumerate(judge.DIMENSIONS)
+    ]
     return judge.judge_clamp(t.table(spark, sf, "documents").select("doc_id", *raw))
 
 
@@ -208,8 +213,7 @@ def _(spark, sf):
 @query(
     "judge_mean",
     _judge_sql(
-        """SELECT system_name, count(*) AS rated, round(avg(overall_score), 2) AS mean_score FROM (
-        SELECT system_name, overall_score, row_number() OVER (PARTITION BY system_name ORDER BY example_id) AS rn FROM ruled) WHERE rn <= 35 GROUP BY system_name"""
+        """SELECT system_name, count(*) AS rated, round_even(avg(overall_score), 2) AS mean_score FROM ruled GROUP BY system_name"""
     ),
 )
 def _(spark, sf):
@@ -219,7 +223,7 @@ def _(spark, sf):
 @query(
     "reference_ratings",
     sql(
-        f"""SELECT example_id, {_SCORES}, round(CAST(grounding + relevance + helpfulness + tone_fit + conciseness AS DOUBLE) / 5.0::DOUBLE, 2) AS overall
+        f"""SELECT example_id, {_SCORES}, round_even(CAST(grounding + relevance + helpfulness + tone_fit + conciseness AS DOUBLE) / 5.0::DOUBLE, 2) AS overall
         FROM (SELECT example_id, CAST(CASE edge_case_category WHEN 'standard' THEN 5 WHEN 'low_info_vague' THEN 4 ELSE 3 END AS BIGINT) AS grounding,
         CAST(CASE WHEN edge_case_category = 'low_info_vague' THEN 3 ELSE 5 END AS BIGINT) AS relevance,
         CAST(CASE WHEN gold_routing_decision = 'ESCALATE' THEN 4 ELSE 5 END AS BIGINT) AS helpfulness, CAST(5 AS BIGINT) AS tone_fit,
@@ -248,12 +252,12 @@ def _(spark, sf):
     return judge.spearman_p_value(ratings(spark, sf))
 
 
-@query("mean_abs_error", sql("SELECT dim, round(avg(abs(judge - human)), 4) AS mean_absolute_error FROM ratings GROUP BY dim"))
+@query("mean_abs_error", sql("SELECT dim, round_even(avg(abs(judge - human)), 4) AS mean_absolute_error FROM ratings GROUP BY dim"))
 def _(spark, sf):
     return judge.mean_abs_error(ratings(spark, sf))
 
 
-_EXACT = "SELECT dim, round(CAST(count(*) FILTER (round_even(judge, 0) = round_even(human, 0)) AS DOUBLE) / count(*), 4) AS exact_match_rate FROM ratings GROUP BY dim"
+_EXACT = "SELECT dim, round_even(CAST(count(*) FILTER (round_even(judge, 0) = round_even(human, 0)) AS DOUBLE) / count(*), 4) AS exact_match_rate FROM ratings GROUP BY dim"
 
 
 @query("exact_match_rate", sql(_EXACT))
@@ -268,7 +272,7 @@ def _(spark, sf):
 
 _AGREEMENT = f"""SELECT r.dim, r.n, coalesce(r.raw, 0.5::DOUBLE) + 0.0::DOUBLE AS spearman, k.kappa + 0.0::DOUBLE AS cohen_kappa_pass_fail,
     m.mean_absolute_error, e.exact_match_rate FROM rho r JOIN kappas k USING (dim)
-    JOIN (SELECT dim, round(avg(abs(judge - human)), 4) AS mean_absolute_error FROM ratings GROUP BY dim) m USING (dim)
+    JOIN (SELECT dim, round_even(avg(abs(judge - human)), 4) AS mean_absolute_error FROM ratings GROUP BY dim) m USING (dim)
     JOIN ({_EXACT}) e USING (dim) WHERE r.n >= 5"""
 
 

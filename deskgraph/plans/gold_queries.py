@@ -59,7 +59,7 @@ _VIEWS = {
 
 def _kappa_sql(a: str, b: str, source: str) -> str:
     labels = f"(SELECT {a} AS v FROM {source} UNION SELECT {b} FROM {source})"
-    return f"""(SELECT CASE WHEN pe = 1 THEN NULL ELSE round((po - pe) / (1 - pe), 4) END FROM (SELECT
+    return f"""(SELECT CASE WHEN pe = 1 THEN NULL ELSE round_even((po - pe) / (1 - pe), 4) END FROM (SELECT
         (SELECT CAST(count(*) FILTER ({a} = {b}) AS DOUBLE) / count(*) FROM {source}) AS po,
         (SELECT sum(CAST((SELECT count(*) FROM {source} WHERE {a} = v) AS DOUBLE) * (SELECT count(*) FROM {source} WHERE {b} = v)) FROM {labels})
         / (SELECT CAST(count(*) AS DOUBLE) * count(*) FROM {source}) AS pe))"""
@@ -169,7 +169,7 @@ def _(spark, sf):
     "gold_audit_report",
     _sql(
         f"""SELECT (SELECT count(*) FROM audited_set) AS audit_sample_size, (SELECT count(*) FROM annotated) AS golden_set_total_size,
-        round((SELECT CAST(count(*) AS DOUBLE) FROM audited_set) / (SELECT count(*) FROM annotated) * 100.0::DOUBLE, 1) AS audit_fraction_pct,
+        round_even((SELECT CAST(count(*) AS DOUBLE) FROM audited_set) / (SELECT count(*) FROM annotated) * 100.0::DOUBLE, 1) AS audit_fraction_pct,
         intent_agreement_pct AS intent_raw_agreement_pct, {_kappa_sql('pass1_intent', 'pass2_intent', 'audited_set')} AS intent_cohens_kappa,
         routing_agreement_pct AS routing_raw_agreement_pct, {_kappa_sql('pass1_routing', 'pass2_routing', 'audited_set')} AS routing_cohens_kappa,
         (SELECT count(*) FROM audited_set WHERE {_DISAGREE}) AS disagreement_count FROM agreed"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from deskgraph import defaults as D
 from deskgraph.functions import text as T
 from deskgraph.operators import grounding, intent, replies, retrieval, routing, threads
-from deskgraph.operators.vectors import Centroids
+from deskgraph.operators.vectors import Centroids, usable_vector
 
 OUTPUT = (
     "execution_id",
@@ -42,9 +42,11 @@ class ScoringSettings:
     policy: routing.RoutingPolicy = routing.RoutingPolicy()
 
 
-def invalid_reason(columns: Sequence[str] = ("input_text", "embedding")):
-    """Text of the first missing input, null for a usable row."""
+def invalid_reason(columns: Sequence[str] = ("input_text", "embedding"), width: int | None = None):
+    """Text of the first input that is missing or a vector of no use, null for a usable row."""
     checks = [(F.col(c).isNull(), F.lit(f"missing {c}")) for c in columns]
+    if "embedding" in columns:
+        checks.append((~usable_vector("embedding", width), F.lit("unusable embedding")))
     chain = F.when(*checks[0])
     for check in checks[1:]:
         chain = chain.when(*check)
@@ -57,11 +59,11 @@ def score_messages(
     """Score ``messages(example_id, input_text, prior_turns, edge_category, embedding)``.
 
     ``corpus`` holds ``case_id, customer_text, brand_resolution, embedding``.  A row without text
-    or vector becomes an error row instead of failing the job.  The shuffles are those of
+    or usable vector becomes an error row instead of failing the job.  The shuffles are those of
     the case search; everything else is narrow.
     """
     s = settings or ScoringSettings()
-    checked = messages.withColumn("error", invalid_reason()).withColumn(
+    checked = messages.withColumn("error", invalid_reason(width=model.values.shape[1])).withColumn(
         "clean_text", T.normalize_message(F.col("input_text"), s.brand)
     )
     usable = checked.where(F.col("error").isNull())

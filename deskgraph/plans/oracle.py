@@ -58,7 +58,7 @@ def seeded(seed: int, expr: str) -> str:
 
 
 def pct(num: str, den: str, digits: int) -> str:
-    return f"CASE WHEN {den} = 0 THEN 0.0::DOUBLE ELSE round(CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) * 100.0::DOUBLE, {digits}) END"
+    return f"CASE WHEN {den} = 0 THEN 0.0::DOUBLE ELSE round_even(CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) * 100.0::DOUBLE, {digits}) END"
 
 
 def lookup_case(key: str, table: dict[str, str], default: str) -> str:
@@ -165,7 +165,7 @@ VIEWS = {
                CASE WHEN t + p = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * tp / (t + p) END AS f1
         FROM label_counts""",
     "macro": """
-        SELECT system_name, round(sum(tp) / sum(t), 4) AS accuracy, round(avg(f1), 4) AS macro_f1 FROM f1s GROUP BY system_name""",
+        SELECT system_name, round_even(sum(tp) / sum(t), 4) AS accuracy, round_even(avg(f1), 4) AS macro_f1 FROM f1s GROUP BY system_name""",
     "esc": """
         SELECT system_name, tp, fp, fn, tn, prec, rec,
                CASE WHEN prec + rec = 0 THEN 0.0::DOUBLE ELSE (2.0::DOUBLE * (prec * rec)) / (prec + rec) END AS f1
@@ -178,32 +178,32 @@ VIEWS = {
                            count(*) FILTER (true_action <> 'escalate' AND pred_action <> 'escalate') AS tn
                     FROM joined GROUP BY system_name))""",
     "grounded": """
-        SELECT system_name, round(CAST(count(*) FILTER (grounding_pass) AS DOUBLE) / count(*), 4) AS grounding_pass_rate,
-               round(avg(grounding_score), 4) AS mean_grounding_score
+        SELECT system_name, round_even(CAST(count(*) FILTER (grounding_pass) AS DOUBLE) / count(*), 4) AS grounding_pass_rate,
+               round_even(avg(grounding_score), 4) AS mean_grounding_score
         FROM joined GROUP BY system_name""",
     "autonomy": """
         SELECT system_name, total AS auto_handle_count,
                CASE WHEN total > 0 THEN valid END AS valid_resolvable_count,
                CASE WHEN total > 0 THEN total - valid END AS unsafe_auto_handled_count,
-               CASE WHEN total > 0 THEN round(CAST(valid AS DOUBLE) / total, 4) ELSE 0.0::DOUBLE END AS autonomy_resolvability_rate
+               CASE WHEN total > 0 THEN round_even(CAST(valid AS DOUBLE) / total, 4) ELSE 0.0::DOUBLE END AS autonomy_resolvability_rate
         FROM (SELECT system_name, count(*) FILTER (pred_action = 'auto_handle') AS total,
                      count(*) FILTER (pred_action = 'auto_handle' AND true_action = 'auto_handle') AS valid
               FROM joined GROUP BY system_name)""",
     "latency": """
-        SELECT system_name, round(sum(latency_ms) / count(*), 2) AS mean_ms,
-               round(quantile_cont(latency_ms, 0.5), 2) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 2) AS p95_ms
+        SELECT system_name, round_even(sum(latency_ms) / count(*), 2) AS mean_ms,
+               round_even(quantile_cont(latency_ms, 0.5), 2) AS p50_ms, round_even(quantile_cont(latency_ms, 0.95), 2) AS p95_ms
         FROM joined GROUP BY system_name""",
     "report": """
         SELECT e.system_name, e.tp + e.fp + e.fn + e.tn AS sample_count, m.accuracy, m.macro_f1,
-               round(CAST(e.tp + e.tn AS DOUBLE) / (e.tp + e.fp + e.fn + e.tn), 4) AS escalation_accuracy,
-               round(e.prec, 4) AS escalation_precision, round(e.rec, 4) AS escalation_recall, round(e.f1, 4) AS escalation_f1,
+               round_even(CAST(e.tp + e.tn AS DOUBLE) / (e.tp + e.fp + e.fn + e.tn), 4) AS escalation_accuracy,
+               round_even(e.prec, 4) AS escalation_precision, round_even(e.rec, 4) AS escalation_recall, round_even(e.f1, 4) AS escalation_f1,
                e.tp, e.fp, e.fn, e.tn, a.auto_handle_count, a.valid_resolvable_count, a.unsafe_auto_handled_count,
                a.autonomy_resolvability_rate, g.grounding_pass_rate, g.mean_grounding_score,
                l.mean_ms, l.p50_ms, l.p95_ms,
-               round(0.35::DOUBLE * m.macro_f1 + 0.35::DOUBLE * round(e.f1, 4) + 0.3::DOUBLE * g.grounding_pass_rate, 4) AS composite_reliability
+               round_even(0.35::DOUBLE * m.macro_f1 + 0.35::DOUBLE * round_even(e.f1, 4) + 0.3::DOUBLE * g.grounding_pass_rate, 4) AS composite_reliability
         FROM esc e JOIN macro m USING (system_name) JOIN autonomy a USING (system_name) JOIN grounded g USING (system_name) JOIN latency l USING (system_name)""",
     "judge_wide": """
-        SELECT *, round(CAST(grounding + relevance + helpfulness + tone_fit + conciseness AS DOUBLE) / 5.0::DOUBLE, 2) AS overall_score
+        SELECT *, round_even(CAST(grounding + relevance + helpfulness + tone_fit + conciseness AS DOUBLE) / 5.0::DOUBLE, 2) AS overall_score
         FROM (SELECT example_id, 1 + example_id % 5 AS grounding, 1 + (example_id + n_chars) % 5 AS relevance,
                      CAST(4 AS BIGINT) AS helpfulness, 5 - example_id % 2 AS tone_fit, 1 + n_chars % 5 AS conciseness FROM gold)""",
     "human_wide": """
@@ -227,9 +227,9 @@ VIEWS = {
                rank() OVER (PARTITION BY dim ORDER BY human) + (count(*) OVER (PARTITION BY dim, human) - 1) / 2.0::DOUBLE AS rh
         FROM ratings""",
     "rho": """
-        SELECT dim, count(*) AS n, CASE WHEN stddev_pop(rj) > 0 AND stddev_pop(rh) > 0 THEN round(corr(rj, rh), 4) END AS raw FROM ranked GROUP BY dim""",
+        SELECT dim, count(*) AS n, CASE WHEN stddev_pop(rj) > 0 AND stddev_pop(rh) > 0 THEN round_even(corr(rj, rh), 4) END AS raw FROM ranked GROUP BY dim""",
     "kappas": """
-        SELECT dim, CASE WHEN pe = 1 THEN 0.6::DOUBLE ELSE round((po - pe) / (1 - pe), 4) END AS kappa
+        SELECT dim, CASE WHEN pe = 1 THEN 0.6::DOUBLE ELSE round_even((po - pe) / (1 - pe), 4) END AS kappa
         FROM (SELECT dim, avg(CASE WHEN (judge >= 4) = (human >= 4) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS po,
                      avg(CASE WHEN judge >= 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * avg(CASE WHEN human >= 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
                    + avg(CASE WHEN judge < 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * avg(CASE WHEN human < 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pe
@@ -242,7 +242,8 @@ VIEWS = {
         SELECT a.doc_id, concat(a.text, ' We refund $', CAST(a.n_chars % 7 AS VARCHAR)) AS reply_text,
                CASE WHEN b.doc_id IS NULL THEN '' ELSE concat(b.text, ' Past case $', CAST(b.doc_id % 7 AS VARCHAR), ' and 5 dollars') END AS evidence_text,
                CASE WHEN a.n_chars % 4 <> 0 THEN concat('{"grounding_pass": ', CASE WHEN a.n_chars % 3 = 0 THEN 'false' ELSE 'true' END,
-                    ', "grounding_score": 0.', CAST(a.n_chars % 40 + 60 AS VARCHAR), '}') END AS answer
+                    ', "grounding_score": 0.', CAST(a.n_chars % 40 + 60 AS VARCHAR), '}')
+                    ELSE [NULL, 'not json', '[1, 2]', '{"grounding_score": "high"}', '{"grounding_score": null}'][(a.doc_id % 5 + 1)::INT] END AS answer
         FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id - 1""",
 }
 

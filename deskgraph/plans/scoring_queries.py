@@ -11,6 +11,7 @@ from deskgraph.operators import grounding, replies, routing, threads
 from deskgraph.plans import message_scoring
 from deskgraph.plans import tables as t
 from deskgraph.plans.oracle import clean, has_word, lookup_case, q, sql, strip, word_count
+from deskgraph.plans import registry
 from deskgraph.plans.registry import query
 from deskgraph.plans.vector_queries import THRESHOLD, _BEST, fitted
 
@@ -225,14 +226,19 @@ def _(spark, sf):
 
 
 def verdict_sql(source: str, key: str, reply: str, evidence: str, answer: str) -> str:
-    score = f"coalesce(CAST(json_extract({answer}, '$.grounding_score') AS DOUBLE), 1.0::DOUBLE)"
-    passed = f"coalesce(CAST(json_extract({answer}, '$.grounding_pass') AS BOOLEAN), true)"
-    return f"""SELECT {key}, CASE WHEN amount IS NOT NULL OR phone IS NOT NULL THEN false WHEN {answer} IS NOT NULL THEN {passed} AND {score} >= 0.75::DOUBLE ELSE true END AS grounding_pass,
-        CASE WHEN amount IS NOT NULL THEN 0.2::DOUBLE WHEN phone IS NOT NULL THEN 0.1::DOUBLE WHEN {answer} IS NOT NULL THEN {score} ELSE 0.85::DOUBLE END AS grounding_score,
+    score = f"coalesce(TRY_CAST(json_extract_string({answer}, '$.grounding_score') AS DOUBLE), 1.0::DOUBLE)"
+    passed = f"coalesce(TRY_CAST(json_extract_string({answer}, '$.grounding_pass') AS BOOLEAN), true)"
+    given = (
+        f"CASE WHEN NOT coalesce(json_valid({answer}), false) THEN false WHEN json_type({answer}) <> 'OBJECT' THEN false "
+        f"ELSE coalesce(json_type({answer}, '$.grounding_score') IN ('DOUBLE', 'UBIGINT', 'BIGINT'), true) END"
+    )
+    score, passed = (f"CASE WHEN {given} THEN {x} END" for x in (score, passed))
+    return f"""SELECT {key}, CASE WHEN amount IS NOT NULL OR phone IS NOT NULL THEN false WHEN {given} THEN {passed} AND {score} >= 0.75::DOUBLE ELSE true END AS grounding_pass,
+        CASE WHEN amount IS NOT NULL THEN 0.2::DOUBLE WHEN phone IS NOT NULL THEN 0.1::DOUBLE WHEN {given} THEN {score} ELSE 0.85::DOUBLE END AS grounding_score,
         CASE WHEN amount IS NOT NULL THEN concat('Fabricated currency amount ''', amount, ''' not present in historical evidence.')
              WHEN phone IS NOT NULL THEN concat('Fabricated contact phone number ''', phone, ''' not present in historical evidence.') ELSE '' END AS unsupported_claims,
         CASE WHEN amount IS NOT NULL THEN {q(D.CURRENCY_JUSTIFICATION)} WHEN phone IS NOT NULL THEN {q(D.PHONE_JUSTIFICATION)}
-             WHEN {answer} IS NOT NULL THEN {q(D.AUDITED_JUSTIFICATION)} ELSE {q(D.UNAVAILABLE_JUSTIFICATION)} END AS justification
+             WHEN {given} THEN {q(D.AUDITED_JUSTIFICATION)} ELSE {q(D.UNAVAILABLE_JUSTIFICATION)} END AS justification
         FROM (SELECT *, {currency_sql(reply, evidence)} AS amount, {phone_sql(reply, evidence)} AS phone FROM {source})"""
 
 
@@ -277,7 +283,7 @@ def _(spark, sf):
 
 # --------------------------------------------------------------------- routing
 
-_COMPOSITE = "round(0.3::DOUBLE * intent_confidence + 0.35::DOUBLE * {sim} + 0.35::DOUBLE * grounding_score, 4)"
+_COMPOSITE = "round_even(0.3::DOUBLE * intent_confidence + 0.35::DOUBLE * {sim} + 0.35::DOUBLE * grounding_score, 4)"
 
 
 @query(
@@ -394,9 +400,9 @@ _SCORING_VIEWS = {
         (conv_id * 8 + turn) % (SELECT count(*) FROM embeddings) AS vec_id, {message_sql('text')} AS clean_text
         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations) WHERE role = 'user'""",
     "labelled": f"""SELECT vec_id, CASE WHEN s < {THRESHOLD}::DOUBLE THEN 'Other_Or_Unclear' ELSE CAST(label AS VARCHAR) END AS intent,
-        CASE WHEN s < {THRESHOLD}::DOUBLE THEN round(1.0::DOUBLE - p, 4) ELSE round(p, 4) END AS intent_confidence FROM ({_BEST})""",
-    "hits": """SELECT vec_id, rank, case_id, round(s, 4) + 0.0::DOUBLE AS similarity FROM (
-        SELECT vec_id, case_id, s, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, case_id) AS rank FROM (
+        CASE WHEN s < {THRESHOLD}::DOUBLE THEN round_even(1.0::DOUBLE - p, 4) ELSE round_even(p, 4) END AS intent_confidence FROM ({_BEST})""",
+    "hits": """SELECT vec_id, rank, case_id, round_even(s, 4) + 0.0::DOUBLE AS similarity FROM (
+        SELECT vec_id, case_id, s, row_number() OVER (PARTITION BY vec_id ORDER BY round_even(s, 9) DESC, case_id) AS rank FROM (
             SELECT a.vec_id, b.vec_id AS case_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a, embeddings b)) WHERE rank <= 3""",
     "gathered": """SELECT vec_id, string_agg(CAST(h.case_id AS VARCHAR), ',' ORDER BY rank) AS ids, max(CASE WHEN rank = 1 THEN similarity END) AS similarity,
         max(CASE WHEN rank = 1 THEN c.brand_resolution END) AS resolution,
@@ -470,3 +476,7 @@ def _(spark, sf):
 
     return message_scoring.with_cached_predictions(gold, cache, score)
 
+
+
+for _name, _same in (("pipeline_output", "scored_messages"), ("pipeline_error_rows", "scored_error_rows")):
+    query(_name, registry.ORACLES[_same])(registry.QUERIES[_same])

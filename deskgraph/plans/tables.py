@@ -9,15 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgraph.session import materialise, spread
-
-
-LONG_TEXTS = ("documents", "pages", "conversations")
+from deskgraph.session import materialise
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
-    return spread(rows) if name in LONG_TEXTS else rows
+    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
 def _string(value) -> Column:
@@ -193,10 +189,13 @@ def route_inputs(gold_rows: DataFrame) -> DataFrame:
     )
 
 
+MALFORMED = (None, "not json", "[1, 2]", '{"grounding_score": "high"}', '{"grounding_score": null}')
+
+
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     """Replies and evidence with amounts; the documents hold real phone numbers.
 
-    Verdicts of an outside auditor come as JSON text and are missing for some rows.
+    Verdicts of an outside auditor come as JSON text and are missing or malformed for some rows.
     """
     docs = table(spark, sf, "documents")
     a = docs.select("doc_id", F.concat("text", F.lit(" We refund $"), _string(F.col("n_chars") % 7)).alias("reply_text"), "n_chars")
@@ -213,7 +212,7 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
             _string(F.col("n_chars") % 40 + 60),
             F.lit("}"),
         ),
-    )
+    ).otherwise(F.element_at(F.array(*[F.lit(v) for v in MALFORMED]), (F.col("doc_id") % len(MALFORMED) + 1).cast("int")))
     return a.join(b, "doc_id", "left").select(
         "doc_id", "reply_text", F.coalesce("evidence_text", F.lit("")).alias("evidence_text"), answer.alias("answer")
     )

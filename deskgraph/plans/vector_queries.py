@@ -45,7 +45,7 @@ def fitted(spark, sf) -> vectors.Centroids:
 @query(
     "prototype_centroids",
     sql(
-        "SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(x, 6) + 0.0::DOUBLE AS value FROM "
+        "SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round_even(x, 6) + 0.0::DOUBLE AS value FROM "
         "(SELECT label, unnest(centroid) AS x, generate_subscripts(centroid, 1) AS pos FROM centroids)"
     ),
 )
@@ -56,7 +56,7 @@ def _(spark, sf):
     )
 
 
-@query("cosine_scores", sql("SELECT vec_id, label, round(sim, 4) + 0.0::DOUBLE AS similarity FROM sims"))
+@query("cosine_scores", sql("SELECT vec_id, label, round_even(sim, 4) + 0.0::DOUBLE AS similarity FROM sims"))
 def _(spark, sf):
     rows = t.vectors(spark, sf).select("vec_id", "embedding")
     return intent.cosine_scores(rows, fitted(spark, sf)).select(
@@ -66,10 +66,10 @@ def _(spark, sf):
 
 _PROBS = "SELECT vec_id, label, sim, exp(sim * 5.0::DOUBLE) / sum(exp(sim * 5.0::DOUBLE)) OVER (PARTITION BY vec_id) AS p FROM sims"
 _BEST = f"""SELECT vec_id, max(sim) AS s, arg_max(label, sim) AS label, arg_max(p, sim) AS p,
-    string_agg(concat(CAST(label AS VARCHAR), '=', CAST(round(p, 4) AS VARCHAR)), ';' ORDER BY label) AS scores FROM ({_PROBS}) GROUP BY vec_id"""
+    string_agg(concat(CAST(label AS VARCHAR), '=', CAST(round_even(p, 4) AS VARCHAR)), ';' ORDER BY label) AS scores FROM ({_PROBS}) GROUP BY vec_id"""
 
 
-@query("softmax_calibration", sql(f"SELECT vec_id, label, round(p, 4) AS probability FROM ({_PROBS})"))
+@query("softmax_calibration", sql(f"SELECT vec_id, label, round_even(p, 4) AS probability FROM ({_PROBS})"))
 def _(spark, sf):
     rows = t.vectors(spark, sf).select("vec_id", "embedding")
     scored = intent.softmax_calibration(rows, fitted(spark, sf))
@@ -80,7 +80,7 @@ def _(spark, sf):
     "nearest_centroid_classify",
     sql(
         f"""SELECT vec_id, CASE WHEN s < {THRESHOLD}::DOUBLE THEN 'Other_Or_Unclear' ELSE CAST(label AS VARCHAR) END AS intent,
-        CASE WHEN s < {THRESHOLD}::DOUBLE THEN round(1.0::DOUBLE - p, 4) ELSE round(p, 4) END AS intent_confidence,
+        CASE WHEN s < {THRESHOLD}::DOUBLE THEN round_even(1.0::DOUBLE - p, 4) ELSE round_even(p, 4) END AS intent_confidence,
         s < {THRESHOLD}::DOUBLE AS is_fallback, label AS nearest_intent FROM ({_BEST})"""
     ),
 )
@@ -95,7 +95,7 @@ def _(spark, sf):
     "centroid_batch_label",
     sql(
         f"""SELECT vec_id, CASE WHEN s >= {THRESHOLD}::DOUBLE THEN CAST(label AS VARCHAR) ELSE 'Other_Or_Unclear' END AS mapped_intent,
-        CAST(label AS VARCHAR) AS nearest_intent, round(s, 4) + 0.0::DOUBLE AS similarity_score FROM ({_BEST})"""
+        CAST(label AS VARCHAR) AS nearest_intent, round_even(s, 4) + 0.0::DOUBLE AS similarity_score FROM ({_BEST})"""
     ),
 )
 def _(spark, sf):
@@ -120,7 +120,7 @@ _SAMPLE_VECS = f"""(SELECT vec_id, CASE WHEN s < {THRESHOLD}::DOUBLE THEN 'Other
 def _coverage_sql(sample: str) -> str:
     other = "count(*) FILTER (label = 'Other_Or_Unclear')"
     return f"""SELECT count(*) AS sample_size, {other} AS other_count, {pct(other, 'count(*)', 1)} AS other_pct,
-        round(100.0::DOUBLE - {pct(other, 'count(*)', 1)}, 1) AS coverage_rate FROM {sample}"""
+        round_even(100.0::DOUBLE - {pct(other, 'count(*)', 1)}, 1) AS coverage_rate FROM {sample}"""
 
 
 def _doc_coverage(spark, sf):
@@ -150,7 +150,7 @@ def _(spark, sf):
 @query(
     "semantic_coverage_examples",
     sql(
-        f"""SELECT vec_id, label AS assigned_intent, nearest AS nearest_intent, round(s, 4) + 0.0::DOUBLE AS similarity_score
+        f"""SELECT vec_id, label AS assigned_intent, nearest AS nearest_intent, round_even(s, 4) + 0.0::DOUBLE AS similarity_score
         FROM {_SAMPLE_VECS} ORDER BY {seeded(123, 'vec_id')}, vec_id LIMIT 25"""
     ),
 )
@@ -182,8 +182,8 @@ def _(spark, sf):
 @query(
     "cluster_representatives",
     sql(
-        """SELECT cluster, rank, vec_id, round(d, 4) AS distance FROM (
-        SELECT cluster, vec_id, d, CAST(row_number() OVER (PARTITION BY cluster ORDER BY round(d, 9), vec_id) AS INTEGER) AS rank FROM (
+        """SELECT cluster, rank, vec_id, round_even(d, 4) AS distance FROM (
+        SELECT cluster, vec_id, d, CAST(row_number() OVER (PARTITION BY cluster ORDER BY round_even(d, 9), vec_id) AS INTEGER) AS rank FROM (
             SELECT e.label AS cluster, e.vec_id, sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))
                 - 2 * list_inner_product(CAST(e.embedding AS DOUBLE[]), c.m) + list_inner_product(c.m, c.m)) AS d
             FROM embeddings e JOIN (SELECT label, list(m ORDER BY pos) AS m FROM (
@@ -224,7 +224,7 @@ def weight_views(rows: str, features: int, prefix: str, ngrams: int = 1) -> dict
 @query(
     "tfidf_weights",
     sql(
-        "SELECT id AS doc_id, term, round(w, 6) AS weight FROM dweights",
+        "SELECT id AS doc_id, term, round_even(w, 6) AS weight FROM dweights",
         **weight_views("SELECT doc_id AS id, text FROM documents", 1000, "d"),
     ),
 )
@@ -236,8 +236,8 @@ def _(spark, sf):
 @query(
     "cluster_keywords",
     sql(
-        """SELECT cluster, rank, term, round(m, 6) AS mean_weight FROM (
-        SELECT cluster, term, m, CAST(row_number() OVER (PARTITION BY cluster ORDER BY round(m, 9) DESC, term) AS INTEGER) AS rank FROM (
+        """SELECT cluster, rank, term, round_even(m, 6) AS mean_weight FROM (
+        SELECT cluster, term, m, CAST(row_number() OVER (PARTITION BY cluster ORDER BY round_even(m, 9) DESC, term) AS INTEGER) AS rank FROM (
             SELECT d.lang AS cluster, term, sum(w) / (SELECT count(*) FROM documents x WHERE x.lang = d.lang) AS m
             FROM dweights JOIN documents d ON d.doc_id = id GROUP BY d.lang, term)) WHERE rank <= 8""",
         **weight_views("SELECT doc_id AS id, text FROM documents", 500, "d"),
@@ -266,8 +266,8 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- retrieval
 
-_TOPK = """SELECT query_id, rank, case_id, round(s, 4) + 0.0::DOUBLE AS similarity FROM (
-    SELECT query_id, case_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, case_id) AS rank FROM (
+_TOPK = """SELECT query_id, rank, case_id, round_even(s, 4) + 0.0::DOUBLE AS similarity FROM (
+    SELECT query_id, case_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round_even(s, 9) DESC, case_id) AS rank FROM (
         SELECT a.vec_id AS query_id, b.vec_id AS case_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
         FROM embeddings a, embeddings b)) WHERE rank <= 3"""
 
@@ -344,7 +344,7 @@ _NEAREST_VIEWS = {
     "qcounts": f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({terms_sql('text')}) AS term FROM asked) GROUP BY id, term",
     "qweights": "SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM qcounts JOIN cvocab USING (term)",
     "nearest": """SELECT id, case_id, s FROM (
-        SELECT id, case_id, s, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, case_id) AS rn FROM (
+        SELECT id, case_id, s, row_number() OVER (PARTITION BY id ORDER BY round_even(s, 9) DESC, case_id) AS rn FROM (
             SELECT a.id, b.id AS case_id, sum(a.w * b.w) AS s FROM qweights a JOIN cweights b USING (term) GROUP BY a.id, b.id)) WHERE rn = 1""",
 }
 
@@ -365,7 +365,7 @@ def text_corpus(spark, sf):
 @query(
     "verbatim_nearest_reply",
     sql(
-        """SELECT a.id AS tweet_id, coalesce(n.case_id, (SELECT min(case_id) FROM tcases)) AS case_id, round(coalesce(n.s, 0.0::DOUBLE), 4) AS similarity,
+        """SELECT a.id AS tweet_id, coalesce(n.case_id, (SELECT min(case_id) FROM tcases)) AS case_id, round_even(coalesce(n.s, 0.0::DOUBLE), 4) AS similarity,
         c.brand_resolution AS generated_reply
         FROM asked a LEFT JOIN nearest n ON n.id = a.id JOIN tcases c ON c.case_id = coalesce(n.case_id, (SELECT min(case_id) FROM tcases))""",
         **_NEAREST_VIEWS,

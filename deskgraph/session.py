@@ -53,12 +53,3 @@ def materialise(rows: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(rows.sparkSession, purpose)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Use every core for a scan that has fewer splits than cores, such as one row group of long texts.
-
-    A scan with enough splits is returned as it is, so a large table is never shuffled for this.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

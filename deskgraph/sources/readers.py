@@ -38,13 +38,17 @@ GOLD_SCHEMA = T.StructType(
 
 
 def scan_csv_messages(
-    spark: SparkSession, path: str, schema: T.StructType = MESSAGE_SCHEMA, max_rows: int | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType = MESSAGE_SCHEMA, max_rows: int | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """Messages from CSV.
 
-    Quoted line breaks need ``multi_line``, which reads each file as one split: keep files
-    small, or pass ``False`` for texts without line breaks, and store Parquet for repeated use.
+    Files are read in splits, unless a quoted text holds a line break: then Spark must read each file as one.
+    ``None`` finds out in one pass over the lines, some of which then have an odd number of quotes.
+    Keep such files small, and store Parquet for repeated use.
     """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
     rows = (
         spark.read.schema(schema)
         .option("header", True)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deskgraph import defaults as D
+from deskgraph.functions.numeric import round_dp
 from deskgraph.operators import grounding, replies, routing
 from deskgraph.plans import message_scoring
 
@@ -121,3 +122,17 @@ def test_prompts_fill_blank_columns(spark):
     rows = spark.createDataFrame([(" ctx\n", "  ", "100% sure")], "c string, e string, r string")
     got = replies.prompt_rows(rows, "C: %s\nE: %s\nR: %s (1%%)", ["c", "e", "r"], strip=True, when_blank={"e": "None provided."})
     assert got.first()["prompt"] == "C: ctx\nE: None provided.\nR: 100% sure (1%)"
+
+
+def test_malformed_verdicts_count_as_unavailable(spark):
+    answers = ["not json", "[1,2]", '{"grounding_score":"high"}', '{"grounding_score":null}', None, '{"grounding_pass":true}', '{"grounding_score":0.5}', "{}"]
+    rows = spark.createDataFrame([(i, "fine", "", a) for i, a in enumerate(answers)], "i int, generated_reply string, evidence_text string, answer string")
+    done = grounding.grounding_verdict(rows, verdict=grounding.parse_verdict(F.col("answer")))
+    assert [r["grounding_score"] for r in done.orderBy("i").collect()] == [0.85] * 5 + [1.0, 0.5, 1.0]
+
+
+def test_rounding_is_half_to_even(spark):
+    values = [0.125, 0.375, 2.5, 6.25, -0.125]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in rows.select(round_dp(F.col("v"), 2)).collect()] == [0.12, 0.38, 2.5, 6.25, -0.12]
+    assert [r[0] for r in rows.select(round_dp(F.col("v"), 0)).collect()] == [0.0, 0.0, 2.0, 6.0, 0.0]

@@ -20,7 +20,7 @@ def test_spread_join_equals_plain_join(spark):
     unique = spark.range(0, 400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left"):
         plain = sorted(map(tuple, rows.join(unique, "k", how).select("id", "k", "v").collect()))
-        salted = skew.join_to_unique(rows, unique, "k", ["id"], how, salts=8, hot_rows=0)
+        salted = skew.join_to_unique(rows, unique, "k", ["id"], how, hot_rows=0)
         assert sorted(map(tuple, salted.select("id", "k", "v").collect())) == plain
 
 
@@ -38,7 +38,7 @@ def test_spread_rows_of_a_hot_key_leave_one_partition(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = skew.join_to_unique(rows, unique, "k", ["id"], salts=16, hot_rows=0)
+        joined = skew.join_to_unique(rows, unique, "k", ["id"], hot_rows=0)
         used = joined.select(F.spark_partition_id().alias("p")).distinct().count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -111,3 +111,22 @@ def test_quota_sample(spark):
     rows = spark.range(90).select("id", F.when(F.col("id") < 60, F.lit("a")).when(F.col("id") < 85, F.lit("b")).otherwise(F.lit("c")).alias("g"))
     got = sampling.quota_sample(rows, "g", {"a": 10, "c": 10}, 1, "id").groupBy("g").count().collect()
     assert {(r["g"], r["count"]) for r in got} == {("a", 10), ("c", 5)}
+
+
+def test_every_one_of_many_hot_keys_is_split(spark):
+    rows = spark.range(60_000).select("id", (F.col("id") % 240).alias("k"))  # 240 keys of 250 rows, 0.42 % each
+    assert skew.hot_keys(rows, "k", hot_rows=100).count() == 240
+    unique = spark.range(240).select(F.col("id").alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        joined = skew.join_to_unique(rows, unique, "k", ["id"], hot_rows=100)
+        placed = joined.select("k", F.spark_partition_id().alias("p")).groupBy("k").agg(F.countDistinct("p").alias("n"), F.count("*").alias("rows"))
+        got = placed.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == 240 and all(r["rows"] == 250 for r in got)
+    assert sum(r["n"] > 1 for r in got) > 230  # three salts each; a few may share a partition by chance

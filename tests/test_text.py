@@ -104,5 +104,5 @@ def test_keyword_escalation(spark):
 def test_rounding_follows_the_binary_value(spark):
     rows = spark.createDataFrame([(0.285,), (0.125,), (12.25,), (-0.00001,)], "x double")
     got = rows.select(round_dp(F.col("x"), 2).alias("r"), fixed(F.col("x"), 2).alias("f")).collect()
-    assert [r["r"] for r in got] == [0.28, 0.13, 12.25, 0.0]
+    assert [r["r"] for r in got] == [0.28, 0.12, 12.25, 0.0]
     assert [r["f"] for r in got][:3] == ["0.28", "0.12", "12.25"]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,23 @@ def test_cluster_scan_picks_the_first_best_silhouette(space):
     assert [r["k"] for r in got] == [2, 3] and sum(r["is_best"] for r in got) == 1
     best = max(got, key=lambda r: r["silhouette_score"])
     assert best["is_best"] or best["silhouette_score"] == next(r for r in got if r["is_best"])["silhouette_score"]
+
+
+def test_vectors_of_other_lengths_or_with_bad_values_are_left_out(spark):
+    good, bad = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]], [[1.0, 2.0], [1.0, 2.0, float("nan")], [1.0, None, 0.0], None, [1.0, 0.0, float("inf")]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(good + bad)], "query_id long, embedding array<double>")
+    cases = rows.withColumnRenamed("query_id", "case_id")
+    model = vectors.Centroids(["a", "b"], np.eye(3)[:2])
+    sims = {r["query_id"]: r["sims"] for r in vectors.centroid_products(rows, model).collect()}
+    assert sims[0] == [1.0, 0.0] and sims[1] == [0.0, 1.0] and all(sims[i] is None for i in range(2, 7))
+    found = vectors.topk_similar(rows, cases, 3).collect()
+    assert {r["query_id"] for r in found} == {0, 1} and {r["case_id"] for r in found} == {0, 1}
+    with pytest.raises(ValueError):
+        vectors.matrix(pa.array([[1.0, 2.0, 3.0], [1.0]]))
+
+
+def test_blocks_without_a_case_find_nothing(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "query_id long, embedding array<double>")
+    cases = rows.withColumnRenamed("query_id", "case_id")
+    one = sorted(map(tuple, vectors.topk_similar(rows, cases, 3).collect()))
+    assert sorted(map(tuple, vectors.topk_similar(rows, cases, 3, block_rows=1, broadcast_bytes=0).collect())) == one
