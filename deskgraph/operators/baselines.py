@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +14,7 @@ from deskgraph.functions.numeric import round_dp
 from deskgraph.functions.rules import keyword_escalation
 from deskgraph.operators.replies import canned_reply
 from deskgraph.operators.retrieval import verbatim_nearest_reply
-from deskgraph.operators.tfidf import tfidf_stages
+from deskgraph.operators.tfidf import fit_tfidf
 
 OUTPUT = (
     "system_name",
@@ -80,7 +80,7 @@ def logistic_intent(
         standardization=False,
     )
     back = IndexToString(inputCol="_prediction", outputCol="predicted_intent", labels=indexer.labels)
-    vectors = Pipeline(stages=tfidf_stages(text, features, output="_tfidf")).fit(train)
+    vectors = fit_tfidf(train, text, features, output="_tfidf")
     fitted = regression.fit(indexer.transform(vectors.transform(train)))
     return PipelineModel(stages=[vectors, fitted, back])
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
+    CountVectorizerModel,
+    ElementwiseProduct,
     HashingTF,
     NGram,
     Normalizer,
@@ -16,6 +17,7 @@ from pyspark.ml.feature import (
     SQLTransformer,
     StopWordsRemover,
 )
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,31 +146,41 @@ def cluster_keywords(
     return top_n_per_group(means, [cluster], [F.desc("mean_weight"), F.col("term")], n, rank="rank")
 
 
-def tfidf_stages(
-    text: str, features: int = D.TFIDF_FEATURES, output: str = "features", stops: Sequence[str] | None = None
-) -> list:
-    """ML stages from text to an L2-normalised vector of one- and two-word terms.
+def fit_tfidf(
+    rows: DataFrame, text: str, features: int = D.TFIDF_FEATURES, output: str = "features", stops: Sequence[str] | None = None
+) -> PipelineModel:
+    """Fitted ML stages from text to an L2-normalised vector of one- and two-word terms.
 
-    Every stage maps rows where they are; fitting takes two passes and a vocabulary of
-    at most ``features`` terms.
+    Terms and weights are those of :func:`vocabulary`, so ties at its end fall alike in both forms.  The
+    vocabulary has at most ``features`` terms; every stage maps rows where they are.
     """
-    return [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=TOKEN, gaps=False),
-        StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=stop_words() if stops is None else list(stops)),
-        NGram(n=2, inputCol="_kept", outputCol="_pairs"),
-        SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=features),
-        IDF(inputCol="_counts", outputCol="_weighted"),
-        Normalizer(inputCol="_weighted", outputCol=output),
-        SQLTransformer(
-            statement=f"SELECT * EXCEPT (_words, _kept, _pairs, _terms, _counts, _weighted) FROM __THIS__"
-        ),
-    ]
-
-
-def tfidf_features(rows: DataFrame, text: str, features: int = D.TFIDF_FEATURES) -> DataFrame:
-    """Fit and apply :func:`tfidf_stages`."""
-    return Pipeline(stages=tfidf_stages(text, features)).fit(rows).transform(rows)
+    stops = stop_words() if stops is None else list(stops)
+    counts = term_counts(rows.withColumn("_row", F.monotonically_increasing_id()), "_row", text, stops, ngrams=2)
+    documents = rows.agg(F.count(F.lit(1))).scalar()
+    # bounded by ``features``
+    known = vocabulary(counts, documents, features).orderBy("term").select("term", "idf").collect()
+    if not known:
+        raise ValueError("no text has a term to fit on")
+    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in known], inputCol="_terms", outputCol="_counts")
+    return PipelineModel(
+        stages=[
+            RegexTokenizer(inputCol=text, outputCol="_words", pattern=TOKEN, gaps=False),
+            StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=stops, caseSensitive=True),
+            NGram(n=2, inputCol="_kept", outputCol="_pairs"),
+            SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),
+            counter,
+            ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in known]), inputCol="_counts", outputCol="_weighted"),
+            Normalizer(inputCol="_weighted", outputCol=output),
+            SQLTransformer(statement="SELECT * EXCEPT (_words, _kept, _pairs, _terms, _counts, _weighted) FROM __THIS__"),
+        ]
+    )
+
+
+def tfidf_features(
+    rows: DataFrame, text: str, features: int = D.TFIDF_FEATURES, stops: Sequence[str] | None = None
+) -> DataFrame:
+    """Fit and apply :func:`fit_tfidf`."""
+    return fit_tfidf(rows, text, features, stops=stops).transform(rows)
 
 
 Encoder = Callable[[pd.Series], "pd.Series"]

@@ -126,14 +126,18 @@ def _(spark, sf):
     return spark.read.schema(schema).json(path)
 
 
-@query("model_persist")
+@query("model_persist", sql("SELECT brand_tweet_id AS case_id, true AS same FROM clean_pairs"))
 def _(spark, sf):
     path = shared_folder(spark, "model")
     train = _labelled_pairs(spark, sf)
-    writers.save_model(baselines.logistic_intent(train, features=500, max_iter=50), f"{path}/model")
+    model = baselines.logistic_intent(train)
+    writers.save_model(model, f"{path}/model")
     train.drop("pseudo_intent").write.parquet(f"{path}/corpus")
     rows = spark.read.parquet(f"{path}/corpus")
-    return baselines.classify_logistic(readers.load_model(f"{path}/model"), rows).select("case_id", "predicted_intent")
+    fresh = baselines.classify_logistic(model, rows).select("case_id", F.col("predicted_intent").alias("_fresh"))
+    loaded = baselines.classify_logistic(readers.load_model(f"{path}/model"), rows)
+    return loaded.join(fresh, "case_id").select("case_id", (F.col("predicted_intent") == F.col("_fresh")).alias("same"))
+
 
 
 # --------------------------------------------------------------------- streams

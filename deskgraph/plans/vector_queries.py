@@ -225,11 +225,11 @@ def weight_views(rows: str, features: int, prefix: str, ngrams: int = 1) -> dict
     "tfidf_weights",
     sql(
         "SELECT id AS doc_id, term, round_even(w, 6) AS weight FROM dweights",
-        **weight_views("SELECT doc_id AS id, text FROM documents", 1000, "d"),
+        **weight_views("SELECT doc_id AS id, text FROM documents", 5000, "d"),
     ),
 )
 def _(spark, sf):
-    weights = tfidf.tfidf_weights(t.table(spark, sf, "documents"), "doc_id", "text", 1000, STOPS)
+    weights = tfidf.tfidf_weights(t.table(spark, sf, "documents"), "doc_id", "text", stops=STOPS)
     return weights.withColumn("weight", round_dp(F.col("weight"), 6))
 
 
@@ -250,18 +250,26 @@ def _(spark, sf):
 
 @query("text_vectorize")
 def _(spark, sf):
-    done = tfidf.text_vectorize(t.table(spark, sf, "documents").select("doc_id", "text"), "text", 64)
+    done = tfidf.text_vectorize(t.table(spark, sf, "documents").select("doc_id", "text"), "text")
     return done.select("doc_id", F.size("embedding").alias("dimensions"), F.array_max("embedding").alias("largest"))
 
 
-@query("tfidf_features")
+@query(
+    "tfidf_features",
+    sql(
+        """SELECT r.id AS doc_id, count(w) AS non_zero, round_even(coalesce(sum(w), 0.0::DOUBLE), 4) + 0.0::DOUBLE AS total
+        FROM frows r LEFT JOIN fweights w ON w.id = r.id GROUP BY r.id""",
+        **weight_views("SELECT doc_id AS id, text FROM documents", 5000, "f", 2),
+    ),
+)
 def _(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    done = tfidf.tfidf_features(t.table(spark, sf, "documents").select("doc_id", "text"), "text", 1000)
-    return done.select(
-        "doc_id", F.size(F.filter(vector_to_array("features"), lambda x: x != 0)).cast("bigint").alias("non_zero")
-    )
+    done = tfidf.tfidf_features(t.table(spark, sf, "documents").select("doc_id", "text"), "text", stops=STOPS)
+    values = done.select("doc_id", F.filter(vector_to_array("features"), lambda x: x != 0).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return values.select("doc_id", F.size("v").cast("bigint").alias("non_zero"), round_dp(total, 4).alias("total"))
+
 
 
 # ---------------------------------------------------------------- retrieval
@@ -386,7 +394,7 @@ def _labelled_pairs(spark, sf):
 
 @query("logistic_intent")
 def _(spark, sf):
-    model = baselines.logistic_intent(_labelled_pairs(spark, sf), features=500, max_iter=100)
+    model = baselines.logistic_intent(_labelled_pairs(spark, sf))
     asked = t.messages(spark, sf).where("inbound").select("tweet_id", F.col("text").alias("customer_text"))
     return baselines.classify_logistic(model, asked).select("tweet_id", "predicted_intent", "intent_confidence")
 
@@ -394,7 +402,7 @@ def _(spark, sf):
 @query("simple_ml_baseline")
 def _(spark, sf):
     train = _labelled_pairs(spark, sf)
-    model = baselines.logistic_intent(train, features=500, max_iter=100)
+    model = baselines.logistic_intent(train)
     asked = t.messages(spark, sf).where("inbound").select(
         F.col("tweet_id").alias("example_id"), F.col("text").alias("customer_text")
     )
