@@ -4,10 +4,10 @@
 2. Nodes that share a band of registers meet in a bucket.  In every bucket each node is compared with one pivot: a
    number of pairs that grows with the nodes, never with the square of a bucket.
 3. Pairs that pass the sketches' likelihood are confirmed on the full sets; links give components.
-4. Where a bucket still holds more than one component, its nodes of different components are compared by sketch inside
-   tasks, a large bucket in a grid of cells.  First only each node's most likely partners are confirmed, which joins nearly
-   all that belongs together; the last round confirms every pair that the likelihood leaves, so no link that
-   would join two components is lost.  Links inside a component change nothing and are not looked for.
+4. Where a bucket still holds more than one component, its nodes of different components are compared inside tasks, a large
+   bucket in a grid of cells: by sketch, and what the likelihood leaves on the full sets, the likeliest first.  Only
+   links leave the task, and every link that would join two components is found; those inside a component
+   change nothing and are not looked for.  A pair that shares several buckets is compared in the first.
 
 Intermediate tables are written to the cluster's shared folder.  Only counts reach the driver.
 """
@@ -15,21 +15,21 @@ Intermediate tables are written to the cluster's shared folder.  Only counts rea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskgraph.llm.common import stored, worker_cache
+from deskgraph.llm.common import fresh, stored, worker_cache
 from deskgraph.llm.setsketch import REGISTERS, may_reach, mix, sketches
 
 WORDS = 3
 SIMILARITY = 0.85
 BAND = 5
 CELL_ROWS = 2_000
-PIVOTS = 4
-PARTNERS = (2, 16, None)
+PIVOTS = 8
 BROADCAST_ROWS = 1_000_000
 CACHED_WORDS = 1_000_000
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -43,23 +43,28 @@ def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> list[np.ndarr
     known = worker_cache("word-digests")
     if len(known) > CACHED_WORDS:
         known.clear()
-    out = []
-    for text in texts:
-        own = (text or b"").translate(_UPPER).split()
-        for w in own:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
-        if not len(h):
-            out.append(h)
-            continue
-        size = min(words, len(h))
-        total = np.full(len(h) - size + 1, size, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(size):
-                total = mix(total * np.uint64(_FACTORS[k % 5]) + h[k : len(h) - size + 1 + k])
-        out.append(np.unique(total))
-    return out
+    split = [(text or b"").translate(_UPPER).split() for text in texts]
+    counts = np.array([len(own) for own in split], np.int64)
+    for w in set(chain.from_iterable(split)).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, int(counts.sum()))
+    # all places at once; those that reach into the next text are not looked at
+    by_size = {size: _shingles(h, size) for size in {min(words, int(n)) for n in counts if n}}
+    ends = np.cumsum(counts)
+    none = np.zeros(0, np.uint64)
+    return [
+        np.unique(by_size[min(words, n)][end - n : end - min(words, n) + 1]) if n else none
+        for n, end in zip(counts.tolist(), ends.tolist(), strict=True)
+    ]
+
+
+def _shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """Digests of every ``size`` word digests in a row; runs of other sizes get other digests."""
+    total = np.full(max(0, len(h) - size + 1), size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            total = mix(total * np.uint64(_FACTORS[k % 5]) + h[k : len(h) - size + 1 + k])
+    return total
 
 
 def documents(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
@@ -92,19 +97,19 @@ def documents(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFr
 
 
 def buckets(nodes: DataFrame, band: int = BAND, pivots: int = PIVOTS) -> DataFrame:
-    """(bucket, node, pivot) of all buckets with two nodes or more; the bands take turns among ``pivots`` orders of nodes."""
+    """(bucket, band, node, pivot) of all buckets with two nodes or more; the bands take turns among ``pivots`` orders of nodes."""
     bands = REGISTERS // band
     keys = F.array(
-        *[F.struct(F.xxhash64(F.lit(b), F.substring("registers", 1 + 2 * band * b, 2 * band)).alias("bucket"), F.lit(b % pivots).alias("turn")) for b in range(bands)]
+        *[F.struct(F.xxhash64(F.lit(b), F.substring("registers", 1 + 2 * band * b, 2 * band)).alias("bucket"), F.lit(b).alias("band")) for b in range(bands)]
     )
     spread = nodes.select("node", F.inline(keys))
     shared = (
         spread.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "turn").alias("h"), "node"))["node"].alias("pivot"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.col("band") % pivots).alias("h"), "node"))["node"].alias("pivot"))
         .where(F.col("n") > 1)
         .select("bucket", "pivot")
     )
-    return stored(spread.select("bucket", "node").join(shared, "bucket"), "buckets")
+    return stored(spread.join(shared, "bucket"), "buckets")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -124,19 +129,14 @@ def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(sift, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, words: int, text: str) -> DataFrame:
-    """The stored ``pairs`` (a, b) whose full shingle sets are at least ``similarity`` alike.
-
-    The sets are made again, for the nodes of these pairs only, from whole texts.
-    """
-    hundred = round(similarity * 100)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "digest"), "wanted")
-    ids = wanted.select("doc_id").distinct()
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, text: str) -> DataFrame:
+    """(node, shingles), stored: the full sets of the ``wanted`` nodes, made again from whole texts."""
+    chosen = stored(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "digest"), "wanted")
+    ids = chosen.select("doc_id").distinct()
     # 8 bytes each: sent to the tasks while they are few, shuffled with the texts beyond that
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
+    ids = F.broadcast(ids) if chosen.count() <= BROADCAST_ROWS else ids
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
@@ -147,16 +147,27 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: f
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "digest", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where(F.col(text).isNotNull())
-    sets = texts.join(ids, "doc_id").mapInArrow(sets_of, "doc_id long, digest binary, shingles binary")
-    sets = wanted.join(sets, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "shingles")
+    made = texts.join(ids, "doc_id").mapInArrow(make, "doc_id long, digest binary, shingles binary")
+    return stored(chosen.join(made, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
+
+
+def alike(p: np.ndarray, q: np.ndarray, hundred: int) -> bool:
+    """Whether two sorted sets share at least ``hundred`` hundredths of their union."""
+    if len(p) > len(q):
+        p, q = q, p
+    place = np.minimum(q.searchsorted(p), len(q) - 1)
+    both = int((q[place] == p).sum())
+    return 100 * both >= hundred * (len(p) + len(q) - both)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose full sets are at least ``similarity`` alike, stored."""
+    hundred = round(similarity * 100)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(s.as_py(), "<u8") for s in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * both >= hundred * (len(p) + len(q) - both))
+            columns = (([np.frombuffer(s.as_py(), "<u8") for s in batch.column(k)]) for k in (2, 3))
+            good = [alike(p, q, hundred) for p, q in zip(*columns, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s_{name}"))
@@ -184,12 +195,13 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def across(members: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float, partners: int | None) -> DataFrame:
-    """Likely pairs (a, b) of nodes that share a bucket but no component yet; the best ``partners`` of each node, or all.
+def across(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, band: int) -> DataFrame:
+    """Links (a, b) between nodes that share a bucket but no component yet; enough of them to join all that is linked.
 
     Only buckets with two components or more are looked at.  A bucket of more than CELL_ROWS nodes becomes a grid of cells.
     """
-    rows = members.select("bucket", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hundred = round(similarity * 100)
+    rows = members.select("bucket", "band", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") < F.col("high"))
     cuts = mixed.select("bucket", F.ceil(F.col("n") / F.lit(CELL_ROWS)).cast("int").alias("cuts"))
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
@@ -197,42 +209,53 @@ def across(members: DataFrame, nodes: DataFrame, labels: DataFrame, similarity:
     dealt = (
         rows.join(cuts, "bucket")
         .withColumn("own", own)
-        .select("bucket", "node", "root", "own", F.inline(cells))
-        .join(nodes.select("node", "n_shingles", "registers"), "node")
+        .select("bucket", "band", "node", "root", "own", F.inline(cells))
+        .join(nodes.select("node", "n_shingles", "registers").join(sets, "node"), "node")
     )
 
     def cell(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         node, root, size, part = (table[c].to_numpy() for c in ("node", "root", "n_shingles", "own"))
         registers = np.frombuffer(b"".join(table["registers"].to_pylist()), "<u2").reshape(len(node), -1)
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        i, j, turn = table["i"][0].as_py(), table["j"][0].as_py(), table["band"][0].as_py()
+        shingles = [np.frombuffer(s, "<u8") for s in table["shingles"].to_pylist()]
+        joined: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := joined.get(x, x)) != x:
+                joined[x] = joined.get(up, up)
+                x = up
+            return x
+
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        found_a, found_b = [], []
+        links = []
         step = max(1, 4_000_000 // (max(1, len(right)) * registers.shape[1]))
         for low in range(0, len(left), step):
             x = left[low : low + step]
             open_ = (root[x][:, None] != root[right][None]) & ((x[:, None] < right[None]) | (i != j))
             open_ &= np.minimum(size[x][:, None], size[right][None]) >= similarity * np.maximum(size[x][:, None], size[right][None])
             p, q = np.nonzero(open_)
-            if not len(p):
-                continue
-            equal = (registers[x[p]] == registers[right[q]]).sum(1)
-            few = equal >= 0.4 * registers.shape[1]  # far below what the likelihood lets pass
-            p, q, equal = p[few], q[few], equal[few]
-            good = may_reach(registers[x[p]], registers[right[q]], size[x[p]], size[right[q]], similarity) if len(p) else np.zeros(0, bool)
-            p, q, equal = p[good], q[good], equal[good]
-            if partners is not None:
-                order = np.lexsort((q, -equal, p))
-                p, q = p[order], q[order]
-                place = np.arange(len(p)) - np.searchsorted(p, p)
-                p, q = p[place < partners], q[place < partners]
-            found_a.append(node[x[p]])
-            found_b.append(node[right[q]])
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(cell, "a long, b long").distinct()
+            p, q = x[p], right[q]
+            same = registers[p] == registers[q]
+            equal = same.sum(1)
+            few = np.flatnonzero(equal >= 0.4 * registers.shape[1])  # far below what the likelihood lets pass
+            p, q, same, equal = p[few], q[few], same[few], equal[few]
+            bands = registers.shape[1] // band
+            first = same[:, : bands * band].reshape(len(p), bands, band).all(2).argmax(1)
+            good = np.flatnonzero(first == turn)
+            good = good[may_reach(registers[p[good]], registers[q[good]], size[p[good]], size[q[good]], similarity)] if len(good) else good
+            for k in good[np.argsort(-equal[good], kind="stable")]:
+                a, b = int(p[k]), int(q[k])
+                u, v = find(int(root[a])), find(int(root[b]))
+                if u != v and alike(shingles[a], shingles[b], hundred):
+                    joined[max(u, v)] = min(u, v)
+                    links.append((int(node[a]), int(node[b])))
+        ends = np.array(links, np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], names=["a", "b"]) if len(ends) else pa.table(
+            {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())}
+        )
+
+    return stored(dealt.groupBy("bucket", "i", "j").applyInArrow(cell, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(
@@ -261,18 +284,10 @@ def near_duplicates(
     members = buckets(nodes, band)
     star = members.where(F.col("node") != F.col("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     tried = stored(likely(star, nodes, similarity), "tried")
-    links = confirmed(tried, nodes, docs, similarity, words, text)
+    sets = sets_of(members.select("node").distinct(), nodes, docs, words, text)
+    links = confirmed(tried, sets, similarity)
     labels = components(links)
-    for partners in PARTNERS:
-        new = across(members, nodes, labels, similarity, partners).join(tried, ["a", "b"], "left_anti")
-        new = stored(new, "tried")
-        if not new.limit(1).count():
-            if partners is None:
-                break
-            continue
-        more = confirmed(new, nodes, docs, similarity, words, text)
-        links, tried = links.union(more), tried.union(new)
-        labels = components(links)
+    labels = components(links.union(across(members, nodes, sets, labels, similarity, band)))
     named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("n"))
     groups = named.join(least.where(F.col("n") > 1), "root").select("digest", "component_id")
@@ -289,12 +304,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat both the doc_id and the text are copies, of which one stays.  A null doc_id stays if its text is like no other.
     """
-    judged = near_duplicates(docs, **options).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    marked = stored(judged.where(~F.col("kept") | (F.col("n") > 1)), "marked").withColumnRenamed("doc_id", "_id")
+    key, keep, copies = (fresh(name) for name in ("id", "keep", "copies"))
+    judged = near_duplicates(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(F.min("kept").alias(keep), F.count(F.lit(1)).alias(copies))
+    marked = stored(judged.where(~F.col(keep) | (F.col(copies) > 1)), "marked")
     if marked.count() <= BROADCAST_ROWS:
         marked = F.broadcast(marked)  # ids and counts; beyond this many they are shuffled with the documents
-    joined = docs.join(marked, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    columns = docs.columns
-    single = joined.where(F.col("n").isNull()).select(*columns)
-    repeated = joined.where(F.col("kept") & (F.col("n") > 1)).dropDuplicates(["doc_id", options.get("text", "text")]).select(*columns)
-    return single.unionByName(repeated)
+    joined = docs.join(marked, docs["doc_id"].eqNullSafe(F.col(key)), "left")
+    single = joined.where(F.col(copies).isNull()).select(*docs.columns)
+    repeated = joined.where(F.col(keep) & (F.col(copies) > 1)).dropDuplicates(["doc_id", options.get("text", "text")])
+    return single.unionByName(repeated.select(*docs.columns))
