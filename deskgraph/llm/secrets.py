@@ -28,7 +28,8 @@ LEAST_VALUE = 6
 #: Tokens that the model judges.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_-"
-THRESHOLD = 1.5
+THRESHOLD = 1.2
+LEAST_DISTINCT = 8
 SAMPLE_ROWS = 4000
 SMOOTHING = 0.5
 
@@ -85,8 +86,8 @@ def labelled_samples(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(token, random): strings made from digests, and plain words of at most ``rows`` documents.
 
     Random strings are hexadecimal, base 64 and upper-case digests of numbers, so their labels are sure.
-    Ordinary tokens are the words of 8 letters or more, also joined by an underscore or hyphen with the
-    next word, or capitalised together as identifiers are.  ``rows`` bounds what the fit reads; scoring reads everything.
+    Ordinary tokens are words of 4 letters or more, also doubled with an underscore, hyphen, slash or capitals in between,
+    in upper case or with a digit, as identifiers and paths are.  ``rows`` bounds what the fit reads; scoring reads everything.
     """
     spark = docs.sparkSession
     n = F.col("id").cast("string")
@@ -103,10 +104,10 @@ def labelled_samples(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
         F.lit(True).alias("random"),
     )
     words = F.regexp_extract_all(text_of(), F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{4,}(?![A-Za-z0-9])"), F.lit(0))
-    plain = F.transform(
-        F.slice(words, 1, 200),
-        lambda w, i: F.when(i % 3 == 0, F.concat(w, F.lit("_"), w)).when(i % 3 == 1, F.concat(F.initcap(w), F.initcap(w))).otherwise(F.upper(w)),
+    forms = lambda w: F.array(
+        F.concat(w, F.lit("_"), w), F.concat(F.initcap(w), F.initcap(w)), F.upper(w), F.concat(w, F.lit("/"), w), F.concat(w, F.lit("-"), w), F.concat(w, F.lit("2"))
     )
+    plain = F.transform(F.slice(words, 1, 200), lambda w, i: F.element_at(forms(w), i % 6 + 1))
     # the first ids by a hash: a bounded list, so a bounded broadcast, and no text is gathered
     chosen = docs.select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string"))).limit(rows)
     ordinary = docs.join(F.broadcast(chosen), "doc_id").select(F.explode(F.concat(F.slice(words, 1, 200), plain)).alias("token"), F.lit(False).alias("random"))
@@ -148,7 +149,8 @@ def scan(docs: DataFrame, model: MarkovModel, threshold: float = THRESHOLD, text
     """
     t = fresh("text")
     value = lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_VALUE
-    likely = lambda m: model.score(m) >= threshold
+    # rules and fillers repeat few characters, which 20 random ones hardly do
+    likely = lambda m: (F.size(F.array_distinct(F.split(m, ""))) >= LEAST_DISTINCT) & (model.score(m) >= threshold)
     base = F.array_sort(
         F.concat(
             _places(F.col(t), ASSIGN, "assign", value),
