@@ -40,7 +40,9 @@ def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker process, across its tasks.
 
     Task functions are shipped by value, so a plain module variable would start empty in each task.
-    Only values that any task may compute anew belong here.
+    Only values that any task may compute anew belong here.  A worker keeps one cache: another name drops it.
     """
     module = sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache"))
-    return module.__dict__.setdefault(name, {})
+    if getattr(module, "name", None) != name:
+        module.name, module.held = name, {}
+    return module.held

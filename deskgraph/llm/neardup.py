@@ -31,7 +31,7 @@ BAND = 5
 CELL_ROWS = 2_000
 PIVOTS = 8
 BROADCAST_ROWS = 1_000_000
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
