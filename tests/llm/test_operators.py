@@ -211,6 +211,10 @@ def test_page_blocks():
         '<aside>side</aside><p>q<br>r <div id="user-comments"><p>no</div><form>f</form>end</article><footer>f'
     )
     assert " ".join(t for k, t in extraction.page_blocks(page) if k == extraction.TEXT) == "T foobar & q r end"
+    odd = "<article><p title=\"x>one <i class='y>two</i> a < b &lt;p&gt; &nbsp; three<br/>four</p"
+    assert [t for k, t in extraction.page_blocks(odd) if k == extraction.TEXT]
+    assert not any("title" in t for _, t in extraction.page_blocks(odd))
+    assert extraction.page_blocks("") == [] and extraction.page_blocks("plain") == [(extraction.OPEN, "plain")]
 
 
 def test_suffix_array_orders_suffixes():
