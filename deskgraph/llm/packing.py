@@ -25,7 +25,7 @@ from deskgraph.llm.common import stored, worker_cache
 WINDOW = 2048
 END_ID = 1
 GROUP_ROWS = 50_000
-CACHED_WORDS = 700_000
+CACHED_WORDS = 300_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece_key long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
