@@ -105,7 +105,7 @@ def centroid_products(rows: DataFrame, model: Centroids, vector: str = "embeddin
                 dots = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * dots + squares, 0.0))
             out[valid] = dots
         offsets = np.arange(len(column) + 1, dtype=np.int32) * len(centroids)
-        return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~valid, False)), pa.array(out.ravel()))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()), mask=pa.array(~valid))
 
     score.__annotations__ = {"column": pa.Array, "return": pa.Array}
     fitting = F.when(usable_vector(vector, centroids.shape[1]), F.col(vector))
