@@ -24,15 +24,16 @@ def topk_similar_cases(
     vector: str = "embedding",
     text: str | None = None,
     min_similarity: float | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """Ranked cases of every query: ``query_id, rank, case_id, similarity`` and the case's other columns.
 
-    A blank ``text`` finds nothing.  ``min_similarity`` is off unless given.  Few cases are
+    A blank ``text`` finds nothing.  ``min_similarity`` is off unless given; ``width`` is the length of usable vectors.  Few cases are
     chosen by very many queries, so the case columns come in through the spread join; the ids
     found are written first, so that looking for hot cases does not repeat the search.
     """
     asked = queries if text is None else queries.where(~T.is_blank(F.col(text)))
-    found = topk_similar(asked, corpus, k, query_id=query_id, vector=vector)
+    found = topk_similar(asked, corpus, k, query_id=query_id, vector=vector, width=width)
     if min_similarity is not None:
         found = found.where(F.col("similarity") >= F.lit(min_similarity))
     found = found.withColumn("similarity", round_dp(F.col("similarity"), 4))

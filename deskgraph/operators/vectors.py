@@ -193,6 +193,7 @@ def topk_similar(
     vector: str = "embedding",
     block_rows: int = BLOCK_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
+    width: int | None = None,
 ) -> DataFrame:
     """Exact inner-product top ``k`` of every query: ``query_id, case_id, similarity, rank``.
 
@@ -202,13 +203,12 @@ def topk_similar(
     past it without a shuffle.  A larger one is cut into blocks of about ``block_rows``; every
     (query block, corpus block) cell is one balanced task that keeps only its own top ``k``,
     and a window merges the cells.  Rows without a vector find nothing, nor do vectors with null, NaN or infinite
-    values or of another length than the corpus's longest.
+    values or of another length than ``width``, without it the length of the most (query, case) pairs.
     """
     is_sparse = corpus.schema[vector].dataType.typeName() == "struct"
     fits = F.col(vector).isNotNull()
     if not is_sparse:
-        longest = corpus.where(usable_vector(vector)).agg(F.max(F.size(vector))).first()[0]
-        fits = usable_vector(vector, longest)
+        fits = usable_vector(vector, _common_width(queries, corpus, vector) if width is None else width)
     left = queries.where(fits).select(
         F.col(query_id).alias("query_id"), F.col(vector).alias("_vector")
     )
@@ -233,6 +233,18 @@ def topk_similar(
     return found
 
 
+def _common_width(queries: DataFrame, corpus: DataFrame, vector: str) -> int | None:
+    """The length that the most pairs of a query and a case share; without any pair the corpus's most frequent."""
+
+    def lengths(rows: DataFrame, count: str) -> DataFrame:
+        return rows.where(usable_vector(vector)).groupBy(F.size(vector).alias("width")).agg(F.count(F.lit(1)).cast("double").alias(count))
+
+    both = lengths(corpus, "cases").join(lengths(queries, "asked"), "width", "left")
+    pairs = F.coalesce(F.col("cases") * F.col("asked"), F.lit(0.0))
+    first = both.orderBy(pairs.desc(), F.desc("cases"), F.desc("width")).first()
+    return first and first["width"]
+
+
 def _search_broadcast(queries: DataFrame, corpus: DataFrame, k: int, shape: str) -> DataFrame:
     shared = queries.sparkSession.sparkContext.broadcast(corpus.toArrow())
 

@@ -69,7 +69,7 @@ def score_messages(
     usable = checked.where(F.col("error").isNull())
 
     found = retrieval.topk_similar_cases(
-        usable, corpus, s.top_k, query_id="example_id", text="clean_text"
+        usable, corpus, s.top_k, query_id="example_id", text="clean_text", width=model.values.shape[1]
     )
     labelled = intent.nearest_centroid_classify(
         usable, model, text="clean_text", threshold=s.intent_threshold

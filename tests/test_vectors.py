@@ -168,3 +168,14 @@ def test_blocks_without_a_case_find_nothing(spark):
     cases = rows.withColumnRenamed("query_id", "case_id")
     one = sorted(map(tuple, vectors.topk_similar(rows, cases, 3).collect()))
     assert sorted(map(tuple, vectors.topk_similar(rows, cases, 3, block_rows=1, broadcast_bytes=0).collect())) == one
+
+
+def test_one_overlong_vector_leaves_the_others_in_the_search(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0, 0.0]) for i in range(5)], "query_id long, embedding array<double>")
+    cases = rows.withColumnRenamed("query_id", "case_id").union(spark.createDataFrame([(9, [9.0] * 4)], "case_id long, embedding array<double>"))
+    for options in ({}, {"width": 3}, {"broadcast_bytes": 0, "block_rows": 2}):
+        found = vectors.topk_similar(rows, cases, 5, **options).collect()
+        assert {(r["query_id"], r["case_id"]) for r in found} == {(i, j) for i in range(5) for j in range(5)}
+    mostly_other = cases.union(spark.createDataFrame([(20 + i, [1.0] * 4) for i in range(9)], "case_id long, embedding array<double>"))
+    assert {r["query_id"] for r in vectors.topk_similar(rows, mostly_other, 1).collect()} == set(range(5))
+    assert vectors.topk_similar(rows, cases.where("case_id = 9"), 1).count() == 0
