@@ -30,7 +30,8 @@ PART_WORDS = 400_000
 
 # HTML elements by what they do.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|svg|math|canvas|object|audio|video|textarea|select|title"
+RAW = "script|style|textarea|title"  # without an end tag they run to the end of the page
+EMBEDDED = "noscript|template|iframe|svg|math|canvas|object|audio|video|select"  # dropped up to their end tag, if there is one
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 LEAVES = set("p li dt dd tr td th option b i em strong small u s tt font br".split())
 FURNITURE = set("nav aside footer form button menu dialog head".split())
@@ -46,10 +47,12 @@ NAMES = set(
 PAGE_NAMES = {"header"}
 
 TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/a-zA-Z][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    rf"|<(?P<odd>{EMBEDDED})(?=[\s/>])(?P<rest>[^>]*)>|<[!?/a-zA-Z][^>]*>",
     re.S | re.I,
 )
+EMBEDDED_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in EMBEDDED.split("|")}
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 FURNISHED, TEXT, OPEN = 0, 1, 2
 
@@ -71,6 +74,7 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
     blocks: list[tuple[int, str]] = []
     stack: list[tuple[str, bool, bool]] = []
     furniture, article, parts, at = False, False, [], 0
+    endless: set[str] = set()  # names without an end tag in the rest of the page
 
     def close() -> None:
         text = " ".join(html_module.unescape("".join(parts)).split())
@@ -78,14 +82,21 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
         if text:
             blocks.append((FURNISHED if furniture else TEXT if article else OPEN, text))
 
-    for tag in TAG.finditer(page):
+    while tag := TAG.search(page, at):
         if tag.start() > at:
             parts.append(page[at : tag.start()])
         at = tag.end()
-        name = (tag["name"] or "").lower()
+        name, attributes = (tag["name"] or tag["odd"] or "").lower(), tag["attributes"] or tag["rest"] or ""
         if not name:
             continue
-        marks = not tag["end"] and "=" in tag["attributes"] and _furniture(name, tag["attributes"], article)
+        if name in EMBEDDED_END and not tag["end"] and name not in endless:
+            if attributes.endswith("/"):
+                continue
+            if found := EMBEDDED_END[name].search(page, tag.start()):
+                at = found.end()
+                continue
+            endless.add(name)
+        marks = not tag["end"] and "=" in attributes and _furniture(name, attributes, article)
         if name in INLINE and not marks and not (tag["end"] and stack and stack[-1][0] == name):
             continue
         close()
@@ -95,7 +106,7 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
                     _, furniture, article = stack[depth]
                     del stack[depth:]
                     break
-        elif name not in VOID and not tag["attributes"].endswith("/") and (name not in LEAVES or marks):
+        elif name not in VOID and not attributes.endswith("/") and (name not in LEAVES or marks):
             if name in ARTICLE or name == "body":
                 # an article does not stand in a menu: the menu's end tag is missing
                 for depth, (opened, before, _) in enumerate(stack):

@@ -217,6 +217,20 @@ def test_page_blocks():
     assert extraction.page_blocks("") == [] and extraction.page_blocks("plain") == [(extraction.OPEN, "plain")]
 
 
+def test_embedded_elements_and_custom_names_keep_what_follows():
+    def text(inside):
+        return " ".join(t for _, t in extraction.page_blocks(f"<article><p>a</p>{inside}<p>b</p></article>"))
+
+    gone = ("<svg/>", '<svg viewBox="0 > 1" />', "<math />", '<object data="x"/>', "<svg>x<path/>y</svg>", "<SVG a='>'>x</Svg >", "<iframe src=x></iframe>", "<video>x</video>", "<svg a=\"x>y</svg>", "<script>x</script>", "<title>x</title>")
+    custom = ("<svg-icon></svg-icon>", "<video-player></video-player>", "<title-bar></title-bar>", "<object-fit/>", "<select-box></select-box>", "<script-x></script-x>")
+    for form in (*gone, *custom, "<svg>", "<video src=x>", "<canvas id=c>", "</svg>"):
+        assert text(form) == "a b", form
+    assert text("<title-bar>x</title-bar><svg-icon>y</svg-icon>") == "a x y b"
+    assert text("<video>" * 3 + "x") == "a x b"
+    for name in ("script", "style", "textarea", "title"):
+        assert text(f"<{name}>x") == "a"
+
+
 def test_suffix_array_orders_suffixes():
     rng = np.random.default_rng(2)
     tokens = rng.integers(0, 3, 300)
