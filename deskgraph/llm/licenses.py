@@ -1,6 +1,7 @@
 """Find license notices: fixed phrases, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a line, or a window of a long line; windows overlap so that any run of ``STEP`` words lies in one.
+A block is a line, or a window of a long line or of the words of the whole text, whatever its line ends; windows overlap so
+that any run of ``STEP`` words lies in one.
 A block matches a template if it holds at least ``threshold`` of the template's distinct words.
 
 Only words of some template can add to an overlap, so blocks are reduced to these when the text is
@@ -81,7 +82,7 @@ def scan(
     vocabulary = sorted({w for _, ws in sets for w in ws})
     least = min(math.ceil(threshold * len(ws)) for _, ws in sets)
     known = F.array(*[F.lit(w) for w in vocabulary])
-    low, lines, words = fresh("low"), fresh("lines"), fresh("words")
+    low, lines, words, held = fresh("low"), fresh("lines"), fresh("words"), fresh("held")
     any_phrase = "|".join(GAP.join(p.split(" ")) for p, _ in phrases)
     has = F.rlike(F.col(low), F.lit(any_phrase))
     starts = [F.when(has, _phrase_starts(F.col(words), p)).otherwise(F.array().cast("array<int>")) for p, _ in phrases]
@@ -96,11 +97,20 @@ def scan(
             F.array().cast("array<array<string>>")
         )
 
+    # a notice may be broken over lines
+    wrapped = F.when(F.size(lines) > 1, windows(F.col(words))).otherwise(F.array().cast("array<array<string>>"))
+    # no block holds more of a template than its text does
+    needs = [(F.array(*[F.lit(w) for w in ws]), math.ceil(threshold * len(ws))) for _, ws in sets]
+    possible = F.exists(
+        F.array(*[F.struct(ws.alias("words"), F.lit(need).alias("need")) for ws, need in needs]),
+        lambda t: F.size(F.array_intersect(F.col(held), t["words"])) >= t["need"],
+    )
     numbered = lambda b: F.transform(b, lambda w: F.array_position(known, w).cast("int"))
     rows = (
         docs.select("doc_id", F.lower(text_of(text)).alias(low))
         .withColumn(lines, F.transform(F.split(low, "\n"), lambda line: _words(line)))
         .withColumn(words, F.flatten(lines))
+        .withColumn(held, F.array_intersect(words, known))
         .withColumns({f"_p{k}": s for k, s in enumerate(starts)})
         .select(
             "doc_id",
@@ -110,7 +120,9 @@ def scan(
             F.array_min(every).cast("long").alias("first_word"),
             F.array_max(every).cast("long").alias("last_word"),
             F.array_sort(F.array_compact(found)).alias("base"),
-            F.transform(F.flatten(F.transform(lines, windows)), numbered).alias("blocks"),
+            F.when(possible, F.transform(F.array_distinct(F.concat(F.flatten(F.transform(lines, windows)), wrapped)), numbered))
+            .otherwise(F.array().cast("array<array<int>>"))
+            .alias("blocks"),
         )
     )
     rows = stored(rows, "license-blocks")

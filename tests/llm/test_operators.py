@@ -132,6 +132,21 @@ def test_license_join_equals_all_pairs(spark):
         assert want <= set(got[i]["labels"].split(","))
 
 
+def test_license_notices_broken_over_lines_equal_all_windows(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following"
+    filler = "\n".join(f"line{i} x{i} y{i}" for i in range(40))
+    texts = [mit, bsd, f"{filler}\n{mit}\r\n\n{filler}\n{bsd}\n{filler}", f"{filler} {bsd}", mit.replace("\n", f"\n{filler}\n"), "Released\nunder\nthe\nMIT\nLicense"]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    sets, step = licenses.template_sets(), licenses.STEP
+    for i, t in enumerate(texts):
+        ws = re.findall(licenses.WORD, t.lower())
+        blocks = [set(ws[k : k + 2 * step]) for k in range(0, len(ws), step)] + [set(re.findall(licenses.WORD, line)) for line in t.lower().split("\n")]
+        want = {label for label, x in sets for b in blocks if len(b & set(x)) >= licenses.THRESHOLD * len(x)}
+        assert set(filter(None, got[i]["labels"].split(","))) == want
+    assert [got[i]["labels"] for i in range(6)] == ["mit", "bsd", "bsd,mit", "bsd", "", "mit"]
+
+
 # ------------------------------------------------------------------ near duplicates
 
 
