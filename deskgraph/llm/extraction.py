@@ -1,7 +1,7 @@
 """Main text of web pages: marked-up page furniture goes, and so do long runs that a host repeats across its pages.
 
 1. A page is cut into blocks.  A block in an article or main element is text; one in an element that names itself
-   furniture (menus, footers, adverts, forms, comments, ...) is not; any other is open, if its page has no article.
+   furniture (menus, footers, adverts, forms, comments, ...) is not; any other is open, also on a page with an article.
 2. The words of all blocks outside the article are the page's stream.  The streams of a host's pages are concatenated, in
    several parts for a host with many, and each part gets a suffix array.  Suffixes that share their first ``run`` words are
    neighbours in it; each such group is one row with its smallest and largest page.  Groups of the host's parts are
@@ -185,7 +185,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                 for page in part.column(3).to_pylist():
                     found = page_blocks(page or "")
                     texts.append(" ".join(t for k, t in found if k == TEXT))
-                    undecided = not texts[-1] and any(k == OPEN for k, _ in found)
+                    undecided = any(k == OPEN for k, _ in found)
                     blocks.append([{"kind": k, "text": t} for k, t in found] if undecided else None)
                     streams.append(" ".join(t for k, t in found if k != TEXT))
                 yield pa.RecordBatch.from_arrays(
@@ -247,6 +247,9 @@ def main_text(pages: DataFrame, run: int = RUN, part_words: int = PART_WORDS) ->
                 at, kept = 0, []
                 for block in row["blocks"]:
                     words = block["text"].split(" ")
+                    if block["kind"] == TEXT:  # not in the stream
+                        kept += words
+                        continue
                     if block["kind"] == OPEN:
                         kept += [w for i, w in enumerate(words, at) if i not in hit]
                     at += len(words)

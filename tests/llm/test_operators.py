@@ -268,6 +268,15 @@ def test_main_text_without_marks_loses_what_the_host_repeats(spark):
     assert extraction.main_text(rows.where("false")).count() == 0
 
 
+def test_open_blocks_beside_an_article_and_copies_keep_their_text(spark):
+    many = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    foot = f"<div>{many('foot', 12)}</div>"
+    pages = [(i, f"http://a.x/{i}", f"<article><h1>t{i}</h1></article><div>{many(f'b{i}x', 20)}</div>{foot}") for i in range(5)]
+    want = {i: f"t{i} {many(f'b{i}x', 20)}" for i in range(5)}
+    got = extraction.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 # ------------------------------------------------------------------ secrets
 
 
