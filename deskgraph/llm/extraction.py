@@ -4,9 +4,11 @@
    furniture (menus, footers, adverts, forms, comments, ...) is not; any other is open, also on a page with an article.
 2. The words of all blocks outside the article are the page's stream.  The streams of a host's pages are concatenated, in
    several parts for a host with many, and each part gets a suffix array.  Suffixes that share their first ``run`` words are
-   neighbours in it; each such group is one row with its smallest and largest page.  Groups of the host's parts are
-   merged by a digest of these words, so a run that two parts hold once each is found as well.
-3. A run of ``run`` or more words on two pages or more is boilerplate.  Open blocks lose the words it covers and keep the rest.
+   neighbours in it; each such group is one row with its number of distinct pages.  Groups of the host's parts are
+   merged by a digest of these words, so a run that several parts hold is counted over all of them.
+3. Equal pages count once, and so do near copies among the pages with open blocks; copies stand in one part.
+4. A run of ``run`` or more words on ``LEAST`` distinct pages or more, and as many as the share ``SHARE`` of the host's distinct pages with
+   open blocks, is boilerplate.  Open blocks lose the words it covers and keep the rest.
 
 Text in an explicit article stays whatever it repeats: the same paragraph may well stand in the articles of many pages, and
 the suffix array alone would cut it out of all of them.
@@ -24,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskgraph.llm.common import stored
+from deskgraph.llm.neardup import near_duplicates
 
 RUN = 8
 PART_WORDS = 400_000
+LEAST = 3
+SHARE = 0.5
 
 # HTML elements by what they do.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -144,14 +149,15 @@ def _digests(words: list[str], starts: np.ndarray, run: int) -> list[int]:
     return [xxhash.xxh64_intdigest(" ".join(words[s : s + run]).encode()) - (1 << 63) for s in starts]
 
 
-def part_runs(rows: np.ndarray, streams: list[str], opened: np.ndarray, run: int) -> list[tuple]:
-    """(digest, smallest page, largest page, None) of every run in a part, and (digest, page, page, place) for pages with open blocks."""
+def part_runs(rows: np.ndarray, streams: list[str], opened: np.ndarray, votes: np.ndarray, run: int) -> list[tuple]:
+    """(digest, distinct votes, None, None) of every run in a part, and (digest, None, page, place) for pages with open blocks."""
     words: list[str] = []
-    page, place = [], []
-    for row, stream in zip(rows, streams, strict=True):
+    page, place, vote = [], [], []
+    for row, key, stream in zip(rows, np.unique(votes, return_inverse=True)[1], streams, strict=True):
         own = stream.split(" ") if stream else []
         page += [row] * len(own)
         place += range(len(own))
+        vote += [key] * len(own)
         words += own
     if not words:
         return []
@@ -165,11 +171,12 @@ def part_runs(rows: np.ndarray, streams: list[str], opened: np.ndarray, run: int
     first = np.append(True, rank[order][1:] != rank[order][:-1])
     begin = np.flatnonzero(first)
     digest = _digests(words, order[begin], run)
-    low, high = np.minimum.reduceat(pages[order], begin), np.maximum.reduceat(pages[order], begin)
-    out = [(d, int(a), int(b), None) for d, a, b in zip(digest, low, high, strict=True)]
-    group = np.cumsum(first) - 1
+    group, ballot = np.cumsum(first) - 1, np.array(vote, np.int64)[order]
+    cast = np.lexsort((ballot, group))
+    new = np.append(True, (group[cast][1:] != group[cast][:-1]) | (ballot[cast][1:] != ballot[cast][:-1]))
+    out = [(d, int(n), None, None) for d, n in zip(digest, np.bincount(group[cast][new]), strict=True)]
     with_open = np.isin(pages[order], rows[opened])
-    out += [(digest[group[k]], int(pages[order[k]]), int(pages[order[k]]), int(places[order[k]])) for k in np.flatnonzero(with_open)]
+    out += [(digest[group[k]], None, int(pages[order[k]]), int(places[order[k]])) for k in np.flatnonzero(with_open)]
     return out
 
 
@@ -202,39 +209,55 @@ def parsed(pages: DataFrame) -> DataFrame:
     return stored(made, "pages")
 
 
-def repeated_runs(pages: DataFrame, run: int = RUN, part_words: int = PART_WORDS) -> DataFrame:
-    """(row, place) where a run of ``run`` words begins that stands on two pages of the host, for pages with open blocks."""
+def voted(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``vote``: equal for pages of equal words, and for near copies among the pages with open blocks."""
+    votes = pages.withColumn("vote", F.xxhash64("text", "stream"))
+    opened = votes.where(F.col("blocks").isNotNull())
+    if opened.isEmpty():
+        return votes
+    docs = opened.select(F.col("row").alias("doc_id"), F.concat_ws(" ", "text", "stream").alias("text"))
+    groups = near_duplicates(stored(docs, "open-pages")).where(F.col("component_id") != F.col("doc_id"))
+    heads = votes.select(F.col("row").alias("component_id"), F.col("vote").alias("_vote"))
+    moved = groups.select("doc_id", "component_id").join(heads, "component_id").select(F.col("doc_id").alias("row"), "_vote")
+    return votes.join(moved, "row", "left").withColumn("vote", F.coalesce("_vote", "vote")).drop("_vote")
+
+
+def repeated_runs(pages: DataFrame, run: int = RUN, part_words: int = PART_WORDS, least: int = LEAST, share: float = SHARE) -> DataFrame:
+    """(row, place) where a run of ``run`` words begins that enough distinct pages of the host hold, for pages with open blocks."""
 
     def find(table: pa.Table) -> pa.Table:
         table = table.sort_by("row")
         opened = np.array(table["opened"].to_pylist(), bool)
-        found = part_runs(table["row"].to_numpy(), table["stream"].to_pylist(), opened, run)
+        found = part_runs(table["row"].to_numpy(), table["stream"].to_pylist(), opened, table["vote"].to_numpy(), run)
         columns = list(zip(*found, strict=True)) if found else [[], [], [], []]
         return pa.Table.from_arrays(
             [pa.array([table["host"][0].as_py()] * len(found), pa.string()), *[pa.array(c, pa.int64()) for c in columns]],
-            names=["host", "digest", "low", "high", "place"],
+            names=["host", "digest", "votes", "page", "place"],
         )
 
-    streams = pages.where(F.col("stream") != "").select("row", "host", "stream", F.col("blocks").isNotNull().alias("opened"))
+    streams = voted(pages).where(F.col("stream") != "").select("row", "host", "stream", "vote", F.col("blocks").isNotNull().alias("opened"))
     sizes = streams.groupBy("host").agg(F.sum(F.size(F.split("stream", " "))).alias("words"))
     parts = sizes.select("host", F.ceil(F.col("words") / F.lit(part_words)).cast("int").alias("parts"))
-    dealt = streams.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).repartition("host", "part")
-    runs = stored(dealt.groupBy("host", "part").applyInArrow(find, "host string, digest long, low long, high long, place long"), "page-runs")
+    dealt = streams.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("vote"), F.col("parts"))).repartition("host", "part")
+    runs = stored(dealt.groupBy("host", "part").applyInArrow(find, "host string, digest long, votes long, page long, place long"), "page-runs")
+    asked = streams.where("opened").select("host", "vote").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     common = (
         runs.where(F.col("place").isNull())
         .groupBy("host", "digest")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        .where(F.col("low") < F.col("high"))
+        .agg(F.sum("votes").alias("votes"))
+        .where(F.col("votes") >= F.lit(least))
+        .join(asked, "host")
+        .where(F.col("votes") >= F.col("of") * F.lit(share))
         .select("host", "digest")
     )
-    return runs.where(F.col("place").isNotNull()).join(common, ["host", "digest"]).select(F.col("low").alias("row"), "place")
+    return runs.where(F.col("place").isNotNull()).join(common, ["host", "digest"]).select(F.col("page").alias("row"), "place")
 
 
 def main_text(pages: DataFrame, run: int = RUN, part_words: int = PART_WORDS) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     Null and empty pages have the text "" and 0 characters; a null or odd url belongs to the host "".  Copies of a page are
-    pages of their own.  Nothing is cut short, whatever a page's length.
+    rows of their own.  Nothing is cut short, whatever a page's length.
     """
     rows = parsed(pages)
     covered = repeated_runs(rows, run, part_words).groupBy(F.col("row").alias("_row")).agg(F.collect_set("place").alias("places"))

@@ -273,6 +273,12 @@ def test_open_blocks_beside_an_article_and_copies_keep_their_text(spark):
     foot = f"<div>{many('foot', 12)}</div>"
     pages = [(i, f"http://a.x/{i}", f"<article><h1>t{i}</h1></article><div>{many(f'b{i}x', 20)}</div>{foot}") for i in range(5)]
     want = {i: f"t{i} {many(f'b{i}x', 20)}" for i in range(5)}
+    same = many("same", 40)
+    pages += [(10 + i, f"http://b.x/{i}", f"<p>{same}") for i in range(4)]  # equal pages
+    pages += [(20 + i, f"http://c.x/{i}", f"<p>{many('near', 60)} z{i}") for i in range(4)]  # near copies
+    pages += [(30 + i, f"http://d.x/{i}", f"<p>{many(f'd{i}x', 30)}</p><p>{many('quote', 10)}</p>" if i < 2 else f"<p>{many(f'd{i}x', 30)}") for i in range(8)]
+    want |= {10 + i: same for i in range(4)} | {20 + i: f"{many('near', 60)} z{i}" for i in range(4)}
+    want |= {30 + i: many(f"d{i}x", 30) + (f" {many('quote', 10)}" if i < 2 else "") for i in range(8)}
     got = extraction.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r["page_id"]: r["text"] for r in got} == want
 
