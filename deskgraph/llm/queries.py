@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgraph.llm import extraction, graph, licenses, mixing, neardup, packing, quality, secrets, topk, warc
+from deskgraph.llm import alignment, extraction, graph, language, lexical, licenses, mixing, neardup, packing, quality, secrets, topk, warc
 from deskgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,12 +152,65 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op10_pack_sequences")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = alignment.scored_links(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+LEXICAL_SQL = """
+WITH doc_terms AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts
+  FROM documents),
+item_terms AS MATERIALIZED (
+  SELECT q, item_id, t, count(*)::BIGINT AS times
+  FROM (SELECT q, item_id, unnest(ts) AS t
+        FROM (SELECT row_number() OVER () AS q, item_id,
+                     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts
+              FROM benchmark))
+  GROUP BY q, item_id, t),
+corpus AS MATERIALIZED (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS l FROM doc_terms WHERE len(ts) > 0),
+counted AS MATERIALIZED (
+  SELECT r, doc_id, t, count(*)::BIGINT AS tf, (100 - 75 + (75 * any_value(n) * any_value(n_docs)) // any_value(l))::BIGINT AS m
+  FROM (SELECT r, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS t FROM doc_terms), corpus
+  WHERE t IN (SELECT t FROM item_terms)
+  GROUP BY r, doc_id, t),
+weighted AS (
+  SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM counted, corpus GROUP BY t),
+scored AS (
+  SELECT q, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM item_terms JOIN weighted USING (t) JOIN counted USING (t)
+  GROUP BY q, item_id, r, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_lexical_search", LEXICAL_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = language.train(docs.select("doc_id", "text", "lang"))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
