@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from deskgraph import defaults as D
 from deskgraph.functions import text as T
 from deskgraph.functions.numeric import fixed, round_dp
-from deskgraph.operators import tfidf
+from deskgraph.operators.case_index import CaseIndex, topk_similar
 from deskgraph.operators.skew import join_to_unique
-from deskgraph.operators.vectors import topk_similar
+from deskgraph.operators.text_index import TextIndex
 from deskgraph.session import materialise
 
 
 def topk_similar_cases(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | CaseIndex,
     k: int = D.TOP_K,
     query_id: str = "query_id",
     vector: str = "embedding",
@@ -28,7 +28,7 @@ def topk_similar_cases(
 ) -> DataFrame:
     """Ranked cases of every query: ``query_id, rank, case_id, similarity`` and the case's other columns.
 
-    A blank ``text`` finds nothing.  ``min_similarity`` is off unless given; ``width`` is the length of usable vectors.  Few cases are
+    ``corpus`` is an index with its cases, or the cases, of which an index is built for this call.  A blank ``text`` finds nothing.  ``min_similarity`` is off unless given; ``width`` is the length of usable vectors.  Few cases are
     chosen by very many queries, so the case columns come in through the spread join; the ids
     found are written first, so that looking for hot cases does not repeat the search.
     """
@@ -37,7 +37,7 @@ def topk_similar_cases(
     if min_similarity is not None:
         found = found.where(F.col("similarity") >= F.lit(min_similarity))
     found = found.withColumn("similarity", round_dp(F.col("similarity"), 4))
-    cases = corpus.drop(vector)
+    cases = corpus.cases() if isinstance(corpus, CaseIndex) else corpus.drop(vector)
     if cases.columns == ["case_id"]:
         return found
     return join_to_unique(materialise(found, "found"), cases, "case_id", ["query_id"]).select(
@@ -77,7 +77,7 @@ def with_evidence(queries: DataFrame, found: DataFrame, query_id: str = "query_i
 
 def topk_by_text(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | TextIndex,
     k: int = 1,
     query_id: str = "query_id",
     text: str = "text",
@@ -87,15 +87,12 @@ def topk_by_text(
     stops: Sequence[str] | None = None,
     ngrams: int = 1,
 ) -> DataFrame:
-    """Exact top ``k`` cases by TF-IDF cosine: ``query_id, case_id, similarity, rank``.
+    """Exact top ``k`` cases by TF-IDF cosine that share a term with the query: ``query_id, case_id, similarity, rank``.
 
-    The vocabulary and idf come from the corpus.  Queries and cases become sparse vectors of
-    at most ``features`` columns and meet in block products; they are never joined on
-    shared terms, so a common word costs no more than a rare one.
+    ``corpus`` is an index, or the cases, of which an index is built for this call from the further arguments.
     """
-    vocab, cases = tfidf.text_index(corpus, case_id, case_text, features, stops, ngrams)
-    asked = tfidf.sparse_vectors(tfidf.term_counts(queries, query_id, text, stops, ngrams), vocab, query_id)
-    return topk_similar(asked, cases, k, query_id=query_id, case_id=case_id)
+    index = corpus if isinstance(corpus, TextIndex) else TextIndex.build(corpus, None, case_id, case_text, features, stops, ngrams)
+    return index.search(queries, k, query_id, text)
 
 
 def verbatim_nearest_reply(
@@ -106,14 +103,14 @@ def verbatim_nearest_reply(
     features: int = D.TFIDF_FEATURES,
     stops: Sequence[str] | None = None,
     ngrams: int = 1,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """Each query with the reply of its most similar case, word for word.
 
-    A query that shares no term with any case gets the reply of the lowest case id.
+    A query that shares no term with any case gets the reply of the lowest case id.  An ``index`` of the cases' texts is
+    used as it is; without one it is built for this call.
     """
-    nearest = topk_by_text(queries, corpus, 1, query_id, text, features=features, stops=stops, ngrams=ngrams).where(
-        F.col("similarity") > 0
-    ).select(
+    nearest = topk_by_text(queries, index or corpus, 1, query_id, text, features=features, stops=stops, ngrams=ngrams).select(
         F.col("query_id").alias(query_id), F.col("case_id").alias("_found"), F.col("similarity").alias("_similarity")
     )
     lowest = corpus.agg(F.min("case_id")).scalar()

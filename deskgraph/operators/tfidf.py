@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from deskgraph import defaults as D
 from deskgraph.operators.skew import top_n_per_group
-from deskgraph.session import materialise
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -94,38 +93,6 @@ def tfidf_weights(
     return weigh(counts, vocabulary(counts, rows.agg(F.count(F.lit(1))).scalar(), features), row_id)
 
 
-def numbered(vocab: DataFrame) -> DataFrame:
-    """The bounded vocabulary with a column number per term."""
-    return vocab.withColumn("index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-
-
-def sparse_vectors(counts: DataFrame, vocab: DataFrame, row_id: str) -> DataFrame:
-    """``row_id, embedding`` with sparse rows over a numbered vocabulary.
-
-    Rows without any known term get no vector.
-    """
-    weights = weigh(counts, vocab, row_id, keep=["index"])
-    entry = F.collect_list(F.struct("index", "weight"))
-    return weights.groupBy(row_id).agg(entry.alias("_e")).select(
-        row_id, F.struct(F.col("_e.index").alias("indices"), F.col("_e.weight").alias("values")).alias("embedding")
-    )
-
-
-def text_index(
-    corpus: DataFrame,
-    case_id: str,
-    text: str,
-    features: int = D.TFIDF_FEATURES,
-    stops: Sequence[str] | None = None,
-    ngrams: int = 1,
-) -> tuple[DataFrame, DataFrame]:
-    """Numbered vocabulary and case vectors of a corpus, written once as the search index."""
-    counts = materialise(term_counts(corpus, case_id, text, stops, ngrams), "term-counts")
-    documents = corpus.agg(F.count(F.lit(1))).scalar()
-    vocab = materialise(numbered(vocabulary(counts, documents, features)), "vocabulary")
-    return vocab, materialise(sparse_vectors(counts, vocab, case_id), "case-vectors")
-
-
 def cluster_keywords(
     rows: DataFrame,
     row_id: str,

@@ -1,12 +1,11 @@
-"""Vector operators: centroids, block products and exact top-k search.
+"""Vector operators: centroids and block products.
 
-Vectors are ``array<float>`` or ``array<double>`` columns, or sparse structs.  Products run as blocks inside
+Vectors are ``array<float>`` or ``array<double>`` columns.  Products run as blocks inside
 tasks on Arrow batches; Spark does the partitioning, shuffling and merging.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,11 +17,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskgraph.operators.skew import top_n_per_group
-
 MAX_CENTROIDS = 4096
-BROADCAST_BYTES = 128 * 1024 * 1024
-BLOCK_ROWS = 4096
 SCORE_CELLS = 4_000_000
 TIE_DIGITS = 9
 
@@ -47,13 +42,6 @@ def usable_vector(vector: str, width: int | None = None) -> Column:
     return good if width is None else good & F.coalesce(F.size(vector) == width, F.lit(False))
 
 
-def sparse_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row ends, column numbers and values of a struct column of ``indices`` and ``values``."""
-    indices, values = column.field("indices"), column.field("values")
-    ends = np.concatenate([[0], np.cumsum(np.diff(indices.offsets.to_numpy()))])
-    return ends, indices.flatten().to_numpy(), values.flatten().to_numpy()
-
-
 def prototype_centroids(rows: DataFrame, label: str = "label", vector: str = "embedding", unit: bool = True) -> DataFrame:
     """Mean vector of each label, scaled to unit length: ``label, centroid``.
 
@@ -82,7 +70,7 @@ class Centroids:
     def fit(centroids: DataFrame, limit: int = MAX_CENTROIDS) -> "Centroids":
         table = centroids.select("label", "centroid").orderBy("label").limit(limit + 1).toArrow()
         if table.num_rows > limit:
-            raise ValueError(f"more than {limit} centroids; search them with topk_similar instead")
+            raise ValueError(f"more than {limit} centroids; search them with a case index instead")
         return Centroids(table.column("label").to_pylist(), matrix(table.column("centroid")))
 
 
@@ -112,15 +100,16 @@ def centroid_products(rows: DataFrame, model: Centroids, vector: str = "embeddin
     return rows.withColumn("sims", arrow_udf(score, "array<double>")(fitting))
 
 
-class _Block:
-    """Corpus rows of one task, ordered by case id so that ties fall to the lower id."""
+class Block:
+    """Cases of one task, ordered by case id so that ties fall to the lower id."""
 
     def __init__(self, corpus: pa.Table):
         ids = corpus.column("case_id").combine_chunks()
         order = pc.sort_indices(ids)
         self.ids = ids.take(order)
         vectors = corpus.column("_vector").combine_chunks().take(order)
-        self.scores = _sparse_scorer(vectors) if pa.types.is_struct(vectors.type) else _dense_scorer(vectors)
+        columns = np.ascontiguousarray(matrix(vectors).T) if len(vectors) else np.zeros((0, 0))
+        self.scores = lambda queries: matrix(queries) @ columns
 
     def search(self, ids: pa.Array, vectors: pa.Array, k: int) -> pa.RecordBatch:
         """Top ``k`` for every query row, a slice of queries at a time to bound memory."""
@@ -145,33 +134,6 @@ class _Block:
         )
 
 
-def _dense_scorer(corpus: pa.Array):
-    columns = np.ascontiguousarray(matrix(corpus).T)
-    return lambda queries: matrix(queries) @ columns
-
-
-def _sparse_scorer(corpus: pa.Array):
-    """Scores from the block's own postings: the work per query is the postings of its terms."""
-    ends, terms, weights = sparse_parts(corpus)
-    rows = np.repeat(np.arange(len(corpus)), np.diff(ends))
-    order = np.argsort(terms, kind="stable")
-    rows, weights = rows[order], weights[order]
-    starts = np.searchsorted(terms[order], np.arange(terms.max() + 2 if len(terms) else 1))
-
-    def score(queries: pa.Array) -> np.ndarray:
-        bounds, asked, values = sparse_parts(queries)
-        known = asked < len(starts) - 1
-        query = np.repeat(np.arange(len(queries)), np.diff(bounds))[known]
-        wanted, factor = asked[known], values[known]
-        first, length = starts[wanted], starts[wanted + 1] - starts[wanted]
-        places = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        cells = np.repeat(query, length) * len(corpus) + rows[places]
-        total = np.bincount(cells, weights[places] * np.repeat(factor, length), len(queries) * len(corpus))
-        return total.reshape(len(queries), len(corpus))
-
-    return score
-
-
 def _best_columns(scores: np.ndarray, width: int) -> np.ndarray:
     """Column numbers of the ``width`` highest scores per row, lower number first among equals."""
     if width == scores.shape[1]:
@@ -184,56 +146,7 @@ def _best_columns(scores: np.ndarray, width: int) -> np.ndarray:
     return column[place < width].reshape(len(scores), width)
 
 
-def topk_similar(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int = 3,
-    query_id: str = "query_id",
-    case_id: str = "case_id",
-    vector: str = "embedding",
-    block_rows: int = BLOCK_ROWS,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    width: int | None = None,
-) -> DataFrame:
-    """Exact inner-product top ``k`` of every query: ``query_id, case_id, similarity, rank``.
-
-    Vectors are arrays, or sparse structs of ``indices`` and ``values``.
-
-    A corpus measured to fit ``broadcast_bytes`` is sent to the tasks once and queries stream
-    past it without a shuffle.  A larger one is cut into blocks of about ``block_rows``; every
-    (query block, corpus block) cell is one balanced task that keeps only its own top ``k``,
-    and a window merges the cells.  Rows without a vector find nothing, nor do vectors with null, NaN or infinite
-    values or of another length than ``width``, without it the length of the most (query, case) pairs.
-    """
-    is_sparse = corpus.schema[vector].dataType.typeName() == "struct"
-    fits = F.col(vector).isNotNull()
-    if not is_sparse:
-        fits = usable_vector(vector, _common_width(queries, corpus, vector) if width is None else width)
-    left = queries.where(fits).select(
-        F.col(query_id).alias("query_id"), F.col(vector).alias("_vector")
-    )
-    right = corpus.where(fits).select(
-        F.col(case_id).alias("case_id"), F.col(vector).alias("_vector")
-    )
-    shape = (
-        f"query_id {left.schema['query_id'].dataType.simpleString()}, "
-        f"case_id {right.schema['case_id'].dataType.simpleString()}, similarity double, rank bigint"
-    )
-    entries = F.sum(F.size("_vector.indices" if is_sparse else "_vector"))
-    size = right.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(entries, F.lit(0)).alias("entries")).first()
-    if size["rows"] == 0:
-        found = queries.sparkSession.createDataFrame([], shape)
-    elif size["entries"] * (16 if is_sparse else 8) <= broadcast_bytes:
-        found = _search_broadcast(left, right, k, shape)
-    else:
-        cells = _search_grid(left, right, k, shape, block_rows, size["rows"]).drop("rank")
-        order = [F.desc("similarity"), F.col("case_id")]
-        found = top_n_per_group(cells, ["query_id"], order, k, rank="rank")
-        found = found.withColumn("rank", F.col("rank").cast("bigint"))
-    return found
-
-
-def _common_width(queries: DataFrame, corpus: DataFrame, vector: str) -> int | None:
+def common_width(queries: DataFrame, corpus: DataFrame, vector: str) -> int | None:
     """The length that the most pairs of a query and a case share; without any pair the corpus's most frequent."""
 
     def lengths(rows: DataFrame, count: str) -> DataFrame:
@@ -243,38 +156,3 @@ def _common_width(queries: DataFrame, corpus: DataFrame, vector: str) -> int | N
     pairs = F.coalesce(F.col("cases") * F.col("asked"), F.lit(0.0))
     first = both.orderBy(pairs.desc(), F.desc("cases"), F.desc("width")).first()
     return first and first["width"]
-
-
-def _search_broadcast(queries: DataFrame, corpus: DataFrame, k: int, shape: str) -> DataFrame:
-    shared = queries.sparkSession.sparkContext.broadcast(corpus.toArrow())
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = None
-        for batch in batches:
-            if batch.num_rows:
-                block = block or _Block(shared.value)
-                yield block.search(batch.column(0), batch.column(1), k)
-
-    return queries.mapInArrow(search, shape)
-
-
-def _search_grid(
-    queries: DataFrame, corpus: DataFrame, k: int, shape: str, block_rows: int, corpus_rows: int
-) -> DataFrame:
-    corpus_blocks = max(1, -(-corpus_rows // block_rows))
-    query_blocks = max(1, -(-queries.count() // block_rows))
-
-    def block(column: str, blocks: int):
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
-
-    def every(blocks: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = queries.select("*", block("query_id", query_blocks).alias("qb")).withColumn("cb", every(corpus_blocks))
-    right = corpus.select("*", block("case_id", corpus_blocks).alias("cb")).withColumn("qb", every(query_blocks))
-
-    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        ids, vectors = (q.column(n).combine_chunks() for n in ("query_id", "_vector"))
-        return pa.Table.from_batches([_Block(c).search(ids, vectors, k)])
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(cell, shape)

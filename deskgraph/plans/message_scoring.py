@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from deskgraph import defaults as D
 from deskgraph.functions import text as T
 from deskgraph.operators import grounding, intent, replies, retrieval, routing, threads
+from deskgraph.operators.case_index import CaseIndex
 from deskgraph.operators.vectors import Centroids, usable_vector
+from deskgraph.session import materialise
 
 OUTPUT = (
     "execution_id",
@@ -54,11 +56,11 @@ def invalid_reason(columns: Sequence[str] = ("input_text", "embedding"), width:
 
 
 def score_messages(
-    messages: DataFrame, model: Centroids, corpus: DataFrame, settings: ScoringSettings | None = None
+    messages: DataFrame, model: Centroids, corpus: DataFrame | CaseIndex, settings: ScoringSettings | None = None
 ) -> DataFrame:
     """Score ``messages(example_id, input_text, prior_turns, edge_category, embedding)``.
 
-    ``corpus`` holds ``case_id, customer_text, brand_resolution, embedding``.  A row without text
+    ``corpus`` is a stored index with its cases, or holds ``case_id, customer_text, brand_resolution, embedding``.  A row without text
     or usable vector becomes an error row instead of failing the job.  The shuffles are those of
     the case search; everything else is narrow.
     """
@@ -66,6 +68,7 @@ def score_messages(
     checked = messages.withColumn("error", invalid_reason(width=model.values.shape[1])).withColumn(
         "clean_text", T.normalize_message(F.col("input_text"), s.brand)
     )
+    checked = materialise(checked, "checked")  # read by the search, the classifier and the error rows
     usable = checked.where(F.col("error").isNull())
 
     found = retrieval.topk_similar_cases(

@@ -32,5 +32,6 @@ def load_all() -> None:
         gold_queries,
         scoring_queries,
         source_queries,
+        stream_queries,
         vector_queries,
     )

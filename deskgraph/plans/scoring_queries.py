@@ -430,12 +430,16 @@ SETTINGS = message_scoring.ScoringSettings(
 )
 
 
-def scored(spark, sf):
-    done = message_scoring.score_messages(scoring_input(spark, sf), fitted(spark, sf), t.cases(spark, sf), SETTINGS)
+def output_text(done):
+    """The output with its list of case ids as text, so that it compares with SQL."""
     ids = F.array_join(F.transform("retrieved_case_ids", lambda i: i.cast("string")), ",")
     return done.withColumn("retrieved_case_ids", ids).select(*message_scoring.OUTPUT)
 
 
+def scored(spark, sf):
+    return output_text(message_scoring.score_messages(scoring_input(spark, sf), fitted(spark, sf), t.cases(spark, sf), SETTINGS))
+
+
 @query("scored_messages", sql(f"SELECT {_OUT} FROM outputs", **_SCORING_VIEWS))
 def _(spark, sf):
     return scored(spark, sf)

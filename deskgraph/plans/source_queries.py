@@ -162,25 +162,3 @@ def _(spark, sf):
     )
     stream.stream_telemetry(scored, f"{path}/log", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema(scored.schema).json(f"{path}/log")
-
-
-@query(
-    "stream_score_messages",
-    _STREAMED.replace(
-        "edge_category\n    FROM (SELECT conv_id, turn,",
-        "edge_category, total_turns\n    FROM (SELECT conv_id, turn, CAST(least(4, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) + 1 AS BIGINT) AS total_turns,",
-    ),
-)
-def _(spark, sf):
-    path = shared_folder(spark, "stream")
-    history = t.table(spark, sf, "conversations")
-
-    def score(batch):
-        with_context = stream.context_from_history(batch, history)
-        done = stream.stream_score_messages(with_context, patterns=PATTERNS)
-        return done.select("conv_id", "turn", "clean_text", "predicted_intent", "edge_category", "total_turns")
-
-    stream.stream_batches(_incoming(spark, sf), score, f"{path}/scored", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/scored").drop("batch_id")
-
-

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from deskgraph.functions import rules
 from deskgraph.functions.numeric import round_dp
-from deskgraph.operators import baselines, intent, retrieval, tfidf, vectors
+from deskgraph.operators import baselines, case_index, intent, retrieval, tfidf, vectors
 from deskgraph.plans import tables as t
 from deskgraph.plans.oracle import has_word, has_words_in_line, pct, q, seeded, sql
 from deskgraph.plans.registry import query
-from deskgraph.session import materialise
+from deskgraph.session import materialise, shared_folder
 
 # Settings that fit the invented vectors and prose, so that every branch is taken.
 THRESHOLD = 0.25
@@ -298,15 +298,25 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = t.vectors(spark, sf)
-    found = vectors.topk_similar(
+    found = case_index.topk_similar(
         rows.select(F.col("vec_id").alias("query_id"), "embedding"),
         rows.select(F.col("vec_id").alias("case_id"), "embedding"),
-        block_rows=512,
-        broadcast_bytes=0,
+        cell_rows=64,
     )
     return found.select("query_id", "rank", "case_id", round_dp(F.col("similarity"), 4).alias("similarity"))
 
 
+@query("case_index_roundtrip", sql(_TOPK))
+def _(spark, sf):
+    """An index written by one program and opened by another finds what a search without one finds."""
+    path = shared_folder(spark, "case-index")
+    rows = t.vectors(spark, sf)
+    case_index.CaseIndex.build(rows, path, case_id="vec_id", cell_rows=256, with_cases=True)
+    index = case_index.CaseIndex.open(spark, path)
+    found = retrieval.topk_similar_cases(rows.select(F.col("vec_id").alias("query_id"), "embedding"), index)
+    return found.select("query_id", "rank", "case_id", "similarity")
+
+
 @query("max_similarity", sql(f"SELECT query_id, similarity AS max_similarity FROM ({_TOPK}) WHERE rank = 1"))
 def _(spark, sf):
     queries = t.vectors(spark, sf).select(F.col("vec_id").alias("query_id"))

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from deskgraph.operators import intent, retrieval, tfidf, vectors
+from deskgraph.operators import case_index, intent, retrieval, tfidf, vectors
 
 
 @pytest.fixture(scope="module")
@@ -39,27 +39,27 @@ def ranked(found):
     return {q: [(c, s) for _, c, s in sorted(v)] for q, v in got.items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "block_rows": 64}, {"broadcast_bytes": 0}])
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 64}, {"cell_rows": 7}])
 @pytest.mark.parametrize("k", [1, 3, 5])
-def test_topk_is_exact_in_both_plans(space, options, k):
+def test_topk_is_exact_for_any_number_of_cells(space, options, k):
     rows, x = space
-    found = vectors.topk_similar(rows, rows, k, query_id="id", case_id="id", **options)
+    found = case_index.topk_similar(rows, rows, k, query_id="id", case_id="id", **options)
     assert ranked(found) == brute(x, range(700), list(range(700)), k)
 
 
 def test_topk_with_more_k_than_cases_and_string_ids(space):
     rows, x = space
     named = rows.withColumn("id", F.concat(F.lit("q"), F.col("id").cast("string")))
-    found = vectors.topk_similar(named, rows.where("id < 2"), 5, query_id="id", case_id="id")
+    found = case_index.topk_similar(named, rows.where("id < 2"), 5, query_id="id", case_id="id")
     assert found.count() == 1400
     assert found.where("query_id = 'q0' and rank = 1").first()["case_id"] == 0
 
 
 def test_empty_corpus_and_missing_vectors_find_nothing(space):
     rows, _ = space
-    assert vectors.topk_similar(rows, rows.where("id < 0"), 3, query_id="id", case_id="id").count() == 0
+    assert case_index.topk_similar(rows, rows.where("id < 0"), 3, query_id="id", case_id="id").count() == 0
     blank = rows.withColumn("embedding", F.when(F.col("id") > 0, F.col("embedding")))
-    found = vectors.topk_similar(blank, rows, 1, query_id="id", case_id="id")
+    found = case_index.topk_similar(blank, rows, 1, query_id="id", case_id="id")
     assert found.where("query_id = 0").count() == 0 and found.count() == 699
 
 
@@ -157,7 +157,7 @@ def test_vectors_of_other_lengths_or_with_bad_values_are_left_out(spark):
     model = vectors.Centroids(["a", "b"], np.eye(3)[:2])
     sims = {r["query_id"]: r["sims"] for r in vectors.centroid_products(rows, model).collect()}
     assert sims[0] == [1.0, 0.0] and sims[1] == [0.0, 1.0] and all(sims[i] is None for i in range(2, 7))
-    found = vectors.topk_similar(rows, cases, 3).collect()
+    found = case_index.topk_similar(rows, cases, 3).collect()
     assert {r["query_id"] for r in found} == {0, 1} and {r["case_id"] for r in found} == {0, 1}
     with pytest.raises(ValueError):
         vectors.matrix(pa.array([[1.0, 2.0, 3.0], [1.0]]))
@@ -166,16 +166,16 @@ def test_vectors_of_other_lengths_or_with_bad_values_are_left_out(spark):
 def test_blocks_without_a_case_find_nothing(spark):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "query_id long, embedding array<double>")
     cases = rows.withColumnRenamed("query_id", "case_id")
-    one = sorted(map(tuple, vectors.topk_similar(rows, cases, 3).collect()))
-    assert sorted(map(tuple, vectors.topk_similar(rows, cases, 3, block_rows=1, broadcast_bytes=0).collect())) == one
+    one = sorted(map(tuple, case_index.topk_similar(rows, cases, 3).collect()))
+    assert sorted(map(tuple, case_index.topk_similar(rows, cases, 3, cell_rows=1).collect())) == one
 
 
 def test_one_overlong_vector_leaves_the_others_in_the_search(spark):
     rows = spark.createDataFrame([(i, [float(i), 1.0, 0.0]) for i in range(5)], "query_id long, embedding array<double>")
     cases = rows.withColumnRenamed("query_id", "case_id").union(spark.createDataFrame([(9, [9.0] * 4)], "case_id long, embedding array<double>"))
-    for options in ({}, {"width": 3}, {"broadcast_bytes": 0, "block_rows": 2}):
-        found = vectors.topk_similar(rows, cases, 5, **options).collect()
+    for options in ({}, {"width": 3}, {"cell_rows": 2}):
+        found = case_index.topk_similar(rows, cases, 5, **options).collect()
         assert {(r["query_id"], r["case_id"]) for r in found} == {(i, j) for i in range(5) for j in range(5)}
     mostly_other = cases.union(spark.createDataFrame([(20 + i, [1.0] * 4) for i in range(9)], "case_id long, embedding array<double>"))
-    assert {r["query_id"] for r in vectors.topk_similar(rows, mostly_other, 1).collect()} == set(range(5))
-    assert vectors.topk_similar(rows, cases.where("case_id = 9"), 1).count() == 0
+    assert {r["query_id"] for r in case_index.topk_similar(rows, mostly_other, 1).collect()} == set(range(5))
+    assert case_index.topk_similar(rows, cases.where("case_id = 9"), 1).count() == 0
