@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskgraph.sources import csv_records
+
 MESSAGE_SCHEMA = T.StructType(
     [
         T.StructField("tweet_id", T.LongType()),
@@ -40,16 +42,19 @@ GOLD_SCHEMA = T.StructType(
 def scan_csv_messages(
     spark: SparkSession, path: str, schema: T.StructType = MESSAGE_SCHEMA, max_rows: int | None = None, multi_line: bool | None = None
 ) -> DataFrame:
-    """Messages from CSV.
+    """Messages from CSV with a header.
 
-    Files are read in splits, unless a quoted text holds a line break: then Spark must read each file as one.
-    ``None`` finds out in one pass over the lines, some of which then have an odd number of quotes.
-    Keep such files small, and store Parquet for repeated use.
+    Files are read in splits, also where a quoted text holds a line break (see :mod:`deskgraph.sources.csv_records`);
+    one pass over the lines finds that out.  With ``multi_line`` Spark reads each file as one.
     """
-    if multi_line is None:
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        multi_line = bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
-    rows = (
+    rows = csv_records.read_records(spark, path, schema) if multi_line is None else None
+    if rows is None:
+        rows = _csv(spark, path, schema, bool(multi_line))
+    return rows if max_rows is None else rows.limit(max_rows)
+
+
+def _csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    return (
         spark.read.schema(schema)
         .option("header", True)
         .option("multiLine", multi_line)
@@ -58,7 +63,6 @@ def scan_csv_messages(
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    return rows if max_rows is None else rows.limit(max_rows)
 
 
 def scan_pruned(rows: DataFrame, columns: Sequence[str], max_rows: int | None = None) -> DataFrame:
