@@ -25,15 +25,17 @@ from deskgraph.llm.common import stored
 
 #: A shard holds at most so many documents, and is closed by the document that takes it to so many terms.
 SHARD_DOCS = 8192
-SHARD_TERMS = 2_000_000
+SHARD_TERMS = 500_000
 #: A block of queries that meets the index at once holds about so many distinct terms.
 BLOCK_TERMS = 200_000
 K = 10
 
+#: Arrays of a shard, each stored compressed: lists of lists as sizes, which take less room than starts.
 INDEX = {
-    "ids": "<i8", "unnamed": "|u1", "m": "<i8", "stratum_docs": "<i4", "term_segments": "<i4",
+    "ids": "<i8", "unnamed": "|u1", "m": "<i8", "term_segments": "<i4",
     "segment_stratum": "<i4", "segment_runs": "<i4", "run_tf": "<i4", "run_postings": "<i4", "postings": "<i4", "df": "<i4",
 }
+SIZES = ("term_segments", "segment_runs", "run_postings")
 SHAPE = "terms binary, " + ", ".join(f"{n} binary" for n in INDEX)
 
 
@@ -55,6 +57,17 @@ def terms(text: str | None) -> list[bytes]:
     return text.encode().translate(LETTERS).split() if text else []
 
 
+def packed(values: np.ndarray | bytes, kind: str = "|u1") -> bytes:
+    """Bytes of an array, compressed, after their number."""
+    raw = values if isinstance(values, bytes) else np.ascontiguousarray(values, kind).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(body: pa.Buffer | bytes) -> bytes:
+    view = memoryview(body)
+    return pa.decompress(view[8:], int.from_bytes(view[:8], "little"), codec="zstd", asbytes=True)
+
+
 def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """N, the documents with a term, and L, all terms with repeats."""
 
@@ -90,10 +103,9 @@ def build(ids: np.ndarray, unnamed: np.ndarray, sizes: np.ndarray, words: np.nda
     change = lambda *keys: np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
     runs, segments = change(term, stratum, tf), change(term, stratum)
     return {
-        "ids": ids[order], "unnamed": unnamed[order], "m": strata, "stratum_docs": np.append(starts, len(ids)),
-        "term_segments": np.searchsorted(term[segments], np.arange(vocabulary + 1)),
-        "segment_stratum": stratum[segments], "segment_runs": np.append(np.searchsorted(runs, segments), len(runs)),
-        "run_tf": tf[runs], "run_postings": np.append(runs, len(tf)), "postings": doc, "df": np.bincount(term, minlength=vocabulary),
+        "ids": ids[order], "unnamed": unnamed[order], "m": strata, "term_segments": np.bincount(term[segments], minlength=vocabulary),
+        "segment_stratum": stratum[segments], "segment_runs": np.diff(np.append(np.searchsorted(runs, segments), len(runs))),
+        "run_tf": tf[runs], "run_postings": np.diff(np.append(runs, len(tf))), "postings": doc, "df": np.bincount(term, minlength=vocabulary),
     }
 
 
@@ -107,8 +119,8 @@ def index(docs: DataFrame, documents: int, length: int, text: str = "text") -> D
             named = np.array([0 if i is None else i for i in ids], np.int64)
             unnamed = np.array([i is None for i in ids], np.uint8)
             made = build(named, unnamed, np.array(sizes, np.int64), np.concatenate(words), len(held), documents, length)
-            columns = [pa.array([np.ascontiguousarray(made[n], t).tobytes()], pa.binary()) for n, t in INDEX.items()]
-            return pa.RecordBatch.from_arrays([pa.array([b" ".join(held)], pa.binary()), *columns], names=["terms", *INDEX])
+            columns = [packed(b" ".join(held)), *(packed(made[n], kind) for n, kind in INDEX.items())]
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["terms", *INDEX])
 
         for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -132,12 +144,13 @@ def index(docs: DataFrame, documents: int, length: int, text: str = "text") -> D
 
 
 class Shard:
-    """One row of the index."""
+    """One row of the index, opened.  Only the numbers of terms that are ``wanted`` are kept."""
 
-    def __init__(self, row: dict[str, bytes]):
+    def __init__(self, row: dict[str, pa.Buffer | bytes], wanted: set[bytes]):
         for name, kind in INDEX.items():
-            setattr(self, name, np.frombuffer(row[name], kind).astype(np.int64))
-        self.number = {t: i for i, t in enumerate(row["terms"].split(b" "))}
+            values = np.frombuffer(unpacked(row[name]), kind)
+            setattr(self, name, np.concatenate([[0], np.cumsum(values, dtype=np.int64)]) if name in SIZES else values)
+        self.number = {t: i for i, t in enumerate(unpacked(row["terms"]).split(b" ")) if t in wanted}
 
     def search(self, asked: list[tuple[bytes, int]], best: np.ndarray) -> np.ndarray:
         """``best`` (score, unnamed, id; highest first) improved by this shard's documents.  ``asked``: terms with their weights times repeats."""
@@ -150,7 +163,7 @@ class Shard:
         segment, factor = spread(low, count), np.repeat(factor, count)
         stratum, first = self.segment_stratum[segment], self.segment_runs[segment]
         bound = np.zeros(len(self.m), np.int64)
-        np.add.at(bound, stratum, factor * impact(self.run_tf[first], self.m[stratum]))
+        np.add.at(bound, stratum, factor * impact(self.run_tf[first].astype(np.int64), self.m[stratum]))
         order = np.argsort(-bound, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -171,10 +184,12 @@ class Shard:
 
     def score(self, segment: np.ndarray, factor: np.ndarray, best: np.ndarray) -> np.ndarray:
         """``best`` with the documents of whole strata, given by their segments."""
-        low, count = self.segment_runs[segment], self.segment_runs[segment + 1] - self.segment_runs[segment]
+        low = self.segment_runs[segment]
+        count = self.segment_runs[segment + 1] - low
         run = spread(low, count)
-        gain = np.repeat(factor, count) * impact(self.run_tf[run], np.repeat(self.m[self.segment_stratum[segment]], count))
-        low, count = self.run_postings[run], self.run_postings[run + 1] - self.run_postings[run]
+        gain = np.repeat(factor, count) * impact(self.run_tf[run].astype(np.int64), np.repeat(self.m[self.segment_stratum[segment]], count))
+        low = self.run_postings[run]
+        count = self.run_postings[run + 1] - low
         doc, place = np.unique(self.postings[spread(low, count)], return_inverse=True)
         score = np.zeros(len(doc), np.int64)
         np.add.at(score, place, np.repeat(gain, count))
@@ -215,8 +230,8 @@ def document_frequencies(shards: DataFrame, asked: set[bytes]) -> dict[bytes, in
         total: Counter = Counter()
         for batch in batches:
             for names, counts in zip(batch.column(0), batch.column(1), strict=True):
-                df = np.frombuffer(counts.as_py(), INDEX["df"])
-                total.update({t: int(df[i]) for i, t in enumerate(names.as_py().split(b" ")) if t in sent.value})
+                df = np.frombuffer(unpacked(counts.as_buffer()), INDEX["df"])
+                total.update({t: int(df[i]) for i, t in enumerate(unpacked(names.as_buffer()).split(b" ")) if t in sent.value})
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "df"])
 
     found = shards.select("terms", "df").mapInArrow(count, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
@@ -240,9 +255,10 @@ def search(shards: DataFrame, queries: DataFrame, documents: int, k: int = K, bl
         def best_rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             asked, names = sent.value
             best = [np.tile(np.array([0, 1, 0], np.int64), (k, 1)) for _ in asked]
+            wanted = {t for one in asked for t, _ in one}
             for batch in batches:
-                for row in batch.to_pylist():
-                    shard = Shard(row)
+                for i in range(batch.num_rows):
+                    shard = Shard({n: batch.column(c)[i].as_buffer() for c, n in enumerate(batch.schema.names)}, wanted)
                     best = [shard.search(a, b) if a else b for a, b in zip(asked, best, strict=True)]
             rows = [b[b[:, 0] > 0] for b in best]
             number = pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows]))

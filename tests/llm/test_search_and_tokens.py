@@ -214,7 +214,7 @@ def test_lexical_search_visits_few_strata():
     held = {"rare": 0, "common": 1, "filler": 2}
     sizes = np.array([len(d) for d in docs])
     made = lexical.build(np.arange(len(docs)), np.zeros(len(docs), np.uint8), sizes, np.array([held[t] for d in docs for t in d]), 3, len(docs), sizes.sum())
-    shard = lexical.Shard({n: np.ascontiguousarray(made[n], t).tobytes() for n, t in lexical.INDEX.items()} | {"terms": b"rare common filler"})
+    shard = lexical.Shard({n: lexical.packed(made[n], t) for n, t in lexical.INDEX.items()} | {"terms": lexical.packed(b"rare common filler")}, {b"rare"})
     scored = []
     shard.score = lambda segment, factor, best, real=shard.score: scored.append(len(segment)) or real(segment, factor, best)
     best = shard.search([(b"rare", 1000)], np.array([[0, 1, 0]]))
