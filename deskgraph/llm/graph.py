@@ -25,7 +25,7 @@ ENTRIES = 64
 ALPHA = 1.2
 BATCH = 512
 EXPAND = 4
-INDEX = {"ids": "<i8", "group": "<i4", "vectors": "<f4", "edges": "<i4"}
+INDEX = {"ids": "<i8", "group": "<i4", "vectors": "<f8", "edges": "<i4"}
 
 
 def _near(x: np.ndarray, square: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -105,12 +105,13 @@ def prune(x: np.ndarray, square: np.ndarray, rows: np.ndarray, candidates: np.nd
 
 def build(ids: np.ndarray, vectors: np.ndarray, degree: int = DEGREE, width: int = BUILD_BEAM, alpha: float = ALPHA) -> dict[str, np.ndarray]:
     """The graph of one shard over its distinct vectors.  Deterministic."""
-    distinct, group = np.unique(vectors.astype(np.float32), axis=0, return_inverse=True)
+    distinct, group = np.unique(vectors, axis=0, return_inverse=True)
     n = len(distinct)
     mix = np.random.default_rng(n).permutation(n)
     place = np.empty(n, np.int64)
     place[mix] = np.arange(n)
-    x, group = distinct[mix], place[group.reshape(-1)]
+    exact, group = distinct[mix], place[group.reshape(-1)]
+    x = centred(exact, *frame(exact))
     square = (x * x).sum(1)
     edges = np.full((n, degree), -1, np.int32)
     done = min(n, 2 * degree)
@@ -122,7 +123,18 @@ def build(ids: np.ndarray, vectors: np.ndarray, degree: int = DEGREE, width: int
         edges[batch] = prune(x, square, batch, near, degree, alpha)
         _back(x, square, edges, batch, degree, alpha)
         done = int(batch[-1]) + 1
-    return {"ids": ids, "group": group, "vectors": x, "edges": edges}
+    return {"ids": ids, "group": group, "vectors": exact, "edges": edges}
+
+
+def frame(vectors: np.ndarray) -> tuple[np.ndarray, float]:
+    """Mean and largest deviation of a shard's vectors."""
+    middle = vectors.mean(0) if len(vectors) else np.zeros(vectors.shape[1])
+    return middle, float(np.abs(vectors - middle).max(initial=0)) or 1.0
+
+
+def centred(vectors: np.ndarray, middle: np.ndarray, scale: float) -> np.ndarray:
+    """Single-precision vectors in which the graph is searched: what is lost by rounding is relative to the shard's spread."""
+    return ((vectors - middle) / scale).astype(np.float32)
 
 
 def _back(x: np.ndarray, square: np.ndarray, edges: np.ndarray, batch: np.ndarray, degree: int, alpha: float) -> None:
@@ -148,19 +160,21 @@ def search(index: dict[str, bytes], query_ids: np.ndarray, queries: np.ndarray,
     """(query number, id, distance) of the ``k`` nearest rows that the graph of one shard finds for each query."""
     ids, group = np.frombuffer(index["ids"], "<i8"), np.frombuffer(index["group"], "<i4")
     n = int(group.max()) + 1
-    x = np.frombuffer(index["vectors"], "<f4").reshape(n, -1)
+    exact = np.frombuffer(index["vectors"], "<f8").reshape(n, -1)
     edges = np.frombuffer(index["edges"], "<i4").reshape(n, -1)
-    wide = max(x.shape[1], queries.shape[1])
-    x, queries = np.pad(x, ((0, 0), (0, wide - x.shape[1]))), np.pad(queries, ((0, 0), (0, wide - queries.shape[1])))
+    wide = max(exact.shape[1], queries.shape[1])
+    exact, queries = np.pad(exact, ((0, 0), (0, wide - exact.shape[1]))), np.pad(queries, ((0, 0), (0, wide - queries.shape[1])))
+    middle, scale = frame(exact)
+    x = centred(exact, middle, scale)
     square = (x * x).sum(1)
     order = np.lexsort((ids, group))
     begin = np.searchsorted(group[order], np.arange(n + 1))
     number, found, score = [], [], []
     for low in range(0, len(queries), BATCH):
         q = queries[low : low + BATCH]
-        near, _ = beam(x, square, edges, np.arange(min(ENTRIES, n)), q.astype(np.float32), max(width, k + 1))
+        near, _ = beam(x, square, edges, np.arange(min(ENTRIES, n)), centred(q, middle, scale), max(width, k + 1))
         near = near[:, : k + 8]
-        gap = np.sqrt(((x[near].astype(np.float64) - q[:, None]) ** 2).sum(2))
+        gap = np.sqrt(((exact[near] - q[:, None]) ** 2).sum(2))
         gap[near < 0] = np.inf
         for j in range(len(q)):
             # copies of a vector are equally far: their k + 1 smallest ids are enough

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from deskgraph.llm.common import stored
 
 QUERY_ROWS = 2048
-FOUND = "query_row long, query_id long, vec_id long, score double"
+FOUND = "query_row long, query_id long, vec_id long, score "
 
 
 def usable(vector: str, zero: bool) -> Column:
@@ -64,24 +64,26 @@ def meet(
     k: int,
     descending: bool,
     query_rows: int = QUERY_ROWS,
+    score: str = "double",
 ) -> DataFrame:
     """The ``k`` best rows of every query: query_id, rank, vec_id, score; ties go to the smaller vec_id.
 
     ``search`` gets a shard's columns and a block's query ids and vectors, and returns (query number, vec_id, score)
-    arrays with at least the query's k best rows of the shard.
+    arrays with at least the query's k best rows of the shard; scores are of type ``score``, double or long.
     """
+    kind = pa.int64() if score == "long" else pa.float64()
     queries = stored(queries.withColumn("query_row", F.monotonically_increasing_id()), "queries")
     blocks = max(1, -(-queries.count() // query_rows))
     names = [c for c in index.columns if c != "shard"]
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.Table.from_arrays([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())], names=["query_row", "query_id", "vec_id", "score"])
+        empty = pa.Table.from_arrays([pa.array([], pa.int64())] * 3 + [pa.array([], kind)], names=["query_row", "query_id", "vec_id", "score"])
         if not left.num_rows or not right.num_rows:
             return empty
         ids = right["vec_id"].to_numpy()
-        number, found, score = search({n: left[n][0].as_py() for n in names}, ids, matrix(right["vector"]))
+        number, found, scores = search({n: left[n][0].as_py() for n in names}, ids, matrix(right["vector"]))
         return pa.Table.from_arrays(
-            [pa.array(right["query_row"].to_numpy()[number]), pa.array(ids[number]), pa.array(found), pa.array(score.astype(np.float64))],
+            [pa.array(right["query_row"].to_numpy()[number]), pa.array(ids[number]), pa.array(found), pa.array(scores, kind)],
             names=["query_row", "query_id", "vec_id", "score"],
         )
 
@@ -91,7 +93,7 @@ def meet(
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shard_count - 1))))
         .groupBy("shard", "block")
     )
-    found = left.cogroup(right).applyInArrow(cell, FOUND)
+    found = left.cogroup(right).applyInArrow(cell, FOUND + score)
     best = Window.partitionBy("query_row").orderBy(F.desc("score") if descending else F.asc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

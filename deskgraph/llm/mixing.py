@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskgraph.llm.common import SPACE_WORD, stored, text_of
+from deskgraph.llm.common import SPACE_WORD, fresh, stored, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -114,20 +114,21 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     source has exactly its words.  Documents without words take up none of the budget and stay as they are.
     Rows that repeat an id, its source and its size share what they take.
     """
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_size")).agg(
-        F.sum("taken").alias("_sum"), F.count(F.lit(1)).alias("_n")
+    id_, s_, size_, sum_, n_, words_, epoch_ = (fresh(name) for name in ("id", "source", "size", "sum", "n", "words", "epoch"))
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias(id_), F.col("source").alias(s_), F.col("size").alias(size_)).agg(
+        F.sum("taken").alias(sum_), F.count(F.lit(1)).alias(n_)
     )
     columns = [F.col(c) for c in docs.columns]
-    sized = docs.withColumn("_words", F.regexp_count(text_of(text), F.lit(SPACE_WORD)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_words") == F.col("_size"))
+    sized = docs.withColumn(words_, F.regexp_count(text_of(text), F.lit(SPACE_WORD)).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(s_)) & (F.col(words_) == F.col(size_))
     joined = sized.join(taken, same)
-    share = F.floor(F.col("_sum") / F.col("_n")).cast("long")
-    epochs = F.when(F.col("_words") == 0, F.lit(1)).otherwise(F.ceil(share / F.col("_words")).cast("int"))
-    left = share - F.col("_epoch") * F.col("_words")
+    share = F.floor(F.col(sum_) / F.col(n_)).cast("long")
+    epochs = F.when(F.col(words_) == 0, F.lit(1)).otherwise(F.ceil(share / F.col(words_)).cast("int"))
+    left = share - F.col(epoch_) * F.col(words_)
     words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + SPACE_WORD), F.lit(0))
     cut = F.array_join(F.slice(words, F.lit(1), left.cast("int")), "")
-    spread = joined.where(epochs > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    partial = (F.col("_words") > 0) & (left < F.col("_words"))
+    spread = joined.where(epochs > 0).withColumn(epoch_, F.explode(F.sequence(F.lit(0), epochs - 1)))
+    partial = (F.col(words_) > 0) & (left < F.col(words_))
     result = spread.withColumn(text, F.when(partial, cut).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         result = result.withColumn("n_chars", F.when(partial, F.char_length(text).cast("long")).otherwise(F.col("n_chars")))

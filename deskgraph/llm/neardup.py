@@ -19,7 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskgraph.llm.common import fresh, stored, worker_cache
@@ -68,7 +68,7 @@ def _shingles(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def documents(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
-    """Per row: row, doc_id, n_shingles, digest of the set (null: empty), registers."""
+    """Per row: row, doc_id, n_shingles, digest of the set (null: empty), registers, and a digest of the text (null: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -86,14 +86,20 @@ def documents(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFr
                         pa.array(counts, pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([r.tobytes() if n else None for r, n in zip(found, counts, strict=True)], pa.binary()),
+                        part.column(3),
                     ],
-                    names=["row", "doc_id", "n_shingles", "digest", "registers"],
+                    names=["row", "doc_id", "n_shingles", "digest", "registers", "text_key"],
                 )
 
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), text_key(text).alias("text_key")
     )
-    return stored(rows.mapInArrow(run, "row long, doc_id long, n_shingles long, digest binary, registers binary"), "shingled")
+    return stored(rows.mapInArrow(run, "row long, doc_id long, n_shingles long, digest binary, registers binary, text_key binary"), "shingled")
+
+
+def text_key(text: str = "text") -> Column:
+    """A digest of 128 bits that tells texts apart."""
+    return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
 def buckets(nodes: DataFrame, band: int = BAND, pivots: int = PIVOTS) -> DataFrame:
@@ -146,9 +152,10 @@ def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, te
                 digests = [xxhash.xxh3_128_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "digest", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where(F.col(text).isNotNull())
-    made = texts.join(ids, "doc_id").mapInArrow(make, "doc_id long, digest binary, shingles binary")
-    return stored(chosen.join(made, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    texts = docs.where(F.col(text).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    ids = ids.withColumnRenamed("doc_id", "wanted_id")  # null for sets that stand under no id only
+    made = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").mapInArrow(make, "doc_id long, digest binary, shingles binary")
+    return stored(chosen.select("node", "digest").join(made, "digest").dropDuplicates(["node"]).select("node", "shingles"), "sets")
 
 
 def alike(p: np.ndarray, q: np.ndarray, hundred: int) -> bool:
@@ -265,9 +272,18 @@ def near_duplicates(
 
     Two documents are linked if their sets of distinct shingles of ``words`` words overlap by ``similarity`` of their union or more.  A text
     with fewer words is one shingle; null and empty texts have none and are linked with nothing.  Rows that repeat a doc_id
-    are judged by their own texts.  An empty table gives no rows.  ``band`` registers must agree for two nodes to meet;
-    fewer miss less and propose more.
+    are judged by their own texts.  A row without a doc_id has links like any other, is kept only where no row of its component has an
+    id, and a component_id of null then.  Very long texts are whole.  An empty table gives no rows.  ``band`` registers must
+    agree for two nodes to meet; fewer miss less and propose more.
     """
+    rows, groups = grouped(docs, similarity, words, text, band)
+    named = rows.select("doc_id", "n_shingles", "digest").join(groups.select("digest", "component_id"), "digest", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def grouped(docs: DataFrame, similarity: float, words: int, text: str, band: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`documents`, and (digest, root, component_id) of all sets in components of two rows or more."""
     rows = documents(docs, words, text)
     nodes = stored(
         rows.where(F.col("digest").isNotNull())
@@ -290,26 +306,29 @@ def near_duplicates(
     labels = components(links.union(across(members, nodes, sets, labels, similarity, band)))
     named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("n"))
-    groups = named.join(least.where(F.col("n") > 1), "root").select("digest", "component_id")
-    return rows.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
+    return rows, named.join(least.where(F.col("n") > 1), "root").select("digest", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id.  Columns stay as they are.
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, text: str = "text", band: int = BAND) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest doc_id, a row without one last.  Columns stay as they are.
 
-    Rows that repeat both the doc_id and the text are copies, of which one stays.  A null doc_id stays if its text is like no other.
+    Rows are judged by their own texts, whatever ids they repeat or lack.  Of rows with the same id (or none) and the same text one
+    stays; an empty or null text is like no other.
     """
-    key, keep, copies = (fresh(name) for name in ("id", "keep", "copies"))
-    judged = near_duplicates(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(F.min("kept").alias(keep), F.count(F.lit(1)).alias(copies))
-    marked = stored(judged.where(~F.col(keep) | (F.col(copies) > 1)), "marked")
+    key, keep, copies, body = (fresh(name) for name in ("id", "keep", "copies", "text_key"))
+    rows, groups = grouped(docs, similarity, words, text, band)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    placed = rows.select("doc_id", "text_key", "digest").join(groups.select("digest", "root"), "digest", "left")
+    first = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(order).alias("first"))
+    judged = placed.groupBy("doc_id", "text_key", "root").agg(F.count(F.lit(1)).alias(copies)).join(first, "root", "left")
+    judged = judged.withColumn(keep, F.col("root").isNull() | F.col("first").eqNullSafe(order))
+    marked = judged.where(~F.col(keep) | (F.col(copies) > 1)).select(F.col("doc_id").alias(key), F.col("text_key").alias(body), keep, copies)
+    marked = stored(marked, "marked")
     if marked.count() <= BROADCAST_ROWS:
-        marked = F.broadcast(marked)  # ids and counts; beyond this many they are shuffled with the documents
-    joined = docs.join(marked, docs["doc_id"].eqNullSafe(F.col(key)), "left")
+        marked = F.broadcast(marked)  # ids and digests; beyond this many they are shuffled with the documents
+    own = fresh("own")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & F.col(own).eqNullSafe(F.col(body))
+    joined = docs.withColumn(own, text_key(text)).join(marked, same, "left")
     single = joined.where(F.col(copies).isNull()).select(*docs.columns)
-    repeated = joined.where(F.col(keep) & (F.col(copies) > 1)).dropDuplicates(["doc_id", options.get("text", "text")])
+    repeated = joined.where(F.col(keep) & (F.col(copies) > 1)).dropDuplicates(["doc_id", own])
     return single.unionByName(repeated.select(*docs.columns))

@@ -31,6 +31,10 @@ ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/
 THRESHOLD = 1.2
 LEAST_DISTINCT = 8
 SAMPLE_ROWS = 4000
+#: Of each sampled document the model learns so many words, those first by a hash, from anywhere in the text.
+SAMPLE_WORDS = 200
+#: Columns that a scan adds.
+PLACES = ("base_places", "markov_places", "secret_places")
 SMOOTHING = 0.5
 
 
@@ -82,12 +86,13 @@ class MarkovModel:
         return F.aggregate(chars, begin, step, lambda s: s["sum"]) / F.greatest(F.size(chars), F.lit(1))
 
 
-def labelled_samples(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(token, random): strings made from digests, and plain words of at most ``rows`` documents.
+def labelled_samples(docs: DataFrame, rows: int = SAMPLE_ROWS, words_each: int = SAMPLE_WORDS) -> DataFrame:
+    """(token, random): strings made from digests, and plain words of at most ``rows`` documents, ``words_each`` of each.
 
     Random strings are hexadecimal, base 64 and upper-case digests of numbers, so their labels are sure.
     Ordinary tokens are words of 4 letters or more, also doubled with an underscore, hyphen, slash or capitals in between,
-    in upper case or with a digit, as identifiers and paths are.  ``rows`` bounds what the fit reads; scoring reads everything.
+    in upper case or with a digit, as identifiers and paths are.  A document's words are chosen by a hash over the whole
+    text.  ``rows`` and ``words_each`` bound what the fit reads; scoring reads everything.
     """
     spark = docs.sparkSession
     n = F.col("id").cast("string")
@@ -107,10 +112,12 @@ def labelled_samples(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     forms = lambda w: F.array(
         F.concat(w, F.lit("_"), w), F.concat(F.initcap(w), F.initcap(w)), F.upper(w), F.concat(w, F.lit("/"), w), F.concat(w, F.lit("-"), w), F.concat(w, F.lit("2"))
     )
-    plain = F.transform(F.slice(words, 1, 200), lambda w, i: F.element_at(forms(w), i % 6 + 1))
+    by_hash = F.sort_array(F.transform(words, lambda w, i: F.struct(F.xxhash64(w, i).alias("h"), w.alias("w"))))
+    words = F.transform(F.slice(by_hash, 1, words_each), lambda s: s["w"])
+    plain = F.transform(words, lambda w, i: F.element_at(forms(w), i % 6 + 1))
     # the first ids by a hash: a bounded list, so a bounded broadcast, and no text is gathered
     chosen = docs.select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string"))).limit(rows)
-    ordinary = docs.join(F.broadcast(chosen), "doc_id").select(F.explode(F.concat(F.slice(words, 1, 200), plain)).alias("token"), F.lit(False).alias("random"))
+    ordinary = docs.join(F.broadcast(chosen), "doc_id").select(F.explode(F.concat(words, plain)).alias("token"), F.lit(False).alias("random"))
     return random.unionByName(ordinary)
 
 
@@ -141,10 +148,10 @@ def train(samples: DataFrame, smoothing: float = SMOOTHING) -> MarkovModel:
     return MarkovModel(ratios=tuple(x for row in ratio[1:] for x in row), first=tuple(ratio[0]))
 
 
-def scan(docs: DataFrame, model: MarkovModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """``docs`` with three more columns: base_places, markov_places and secret_places, arrays of (start, kind, end).
+def scan(docs: DataFrame, model: MarkovModel, threshold: float = THRESHOLD, text: str = "text", names: tuple[str, str, str] = PLACES) -> DataFrame:
+    """``docs`` with three more columns, in place of any of these ``names``: base, model's and all places, arrays of (start, kind, end).
 
-    Null texts are empty and hold nothing.  Places are code points, ends exclusive, sorted by start, then kind
+    Null texts are empty and hold nothing.  Texts are read whole, however long.  Places are code points, ends exclusive, sorted by start, then kind
     as in KINDS.  A token of the model that lies inside a base span adds nothing new and is left out.
     """
     t = fresh("text")
@@ -158,12 +165,13 @@ def scan(docs: DataFrame, model: MarkovModel, threshold: float = THRESHOLD, text
             _places(F.col(t), HEX, "hex"),
         )
     )
-    inside = lambda s: F.exists(F.col("base_places"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    bases, markov, secret = names
+    inside = lambda s: F.exists(F.col(bases), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     return (
         docs.withColumn(t, text_of(text))
-        .withColumn("base_places", base)
-        .withColumn("markov_places", F.filter(_places(F.col(t), TOKEN, "markov", likely), lambda s: ~inside(s)))
-        .withColumn("secret_places", F.array_sort(F.concat("base_places", "markov_places")))
+        .withColumn(bases, base)
+        .withColumn(markov, F.filter(_places(F.col(t), TOKEN, "markov", likely), lambda s: ~inside(s)))
+        .withColumn(secret, F.array_sort(F.concat(bases, markov)))
         .drop(t)
     )
 
@@ -182,8 +190,8 @@ def count_of(places: str, kind: str) -> Column:
     return F.size(F.filter(F.col(places), lambda s: s["kind"] == KINDS.index(kind))).cast("long")
 
 
-def redacted(found: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """The texts of ``scan`` with every span replaced by ``mask``; overlapping spans are masked once."""
+def redacted(found: DataFrame, text: str = "text", mask: str = "[SECRET]", places: str = PLACES[2]) -> DataFrame:
+    """The texts of ``scan`` with every span of ``places`` replaced by ``mask``; overlapping spans are masked once."""
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -192,9 +200,9 @@ def redacted(found: DataFrame, text: str = "text", mask: str = "[SECRET]") -> Da
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), masked.alias("out"))
 
     new = F.aggregate(
-        "secret_places", begin, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.char_length(F.col(text))))
+        places, begin, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.char_length(F.col(text))))
     )
-    return found.withColumn(text, F.when(F.size("secret_places") > 0, new).otherwise(F.col(text)))
+    return found.withColumn(text, F.when(F.size(places) > 0, new).otherwise(F.col(text)))
 
 
 def fitted(spark: SparkSession, docs: DataFrame) -> MarkovModel:
