@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskgraph.llm import mixing, neardup, packing, quality, secrets
-from deskgraph.llm.common import stored, table
+from deskgraph.llm.common import fresh, stored, table
 from deskgraph.llm.queries import tokenizer_path
 
 #: Near-duplicates of this pipeline: five-word shingles, four fifths of the union shared.
@@ -22,7 +22,8 @@ BAND = 4
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score passes; the classifier is fitted on labelled rows of this input."""
     field = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, field, into="_score").where(F.col("_score") >= quality.PASS_SCORE).drop("_score")
+    score = fresh("score")
+    return quality.score(docs, field, into=score).where(F.col(score) >= quality.PASS_SCORE).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in their texts masked and n_chars counted again."""
-    found = secrets.redacted(secrets.scan(docs, secrets.fitted(spark, docs)))
-    chars = F.when(F.size("secret_places") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    names = tuple(fresh(name) for name in secrets.PLACES)
+    found = secrets.redacted(secrets.scan(docs, secrets.fitted(spark, docs), names=names), places=names[2])
+    chars = F.when(F.size(names[2]) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", chars).select(*docs.columns)
 
 
