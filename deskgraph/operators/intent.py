@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,41 +157,6 @@ def semantic_coverage(
     }
 
 
-def with_features(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Add the ML vector column ``features``."""
-    return rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-
-
-def fit_kmeans(rows: DataFrame, k: int, seed: int = 42, starts: int = 1, max_iter: int = 20) -> KMeansModel:
-    """Best of ``starts`` KMeans fits by training cost; ``rows`` needs ``features``."""
-    fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(rows) for i in range(starts)]
-    return min(fits, key=lambda m: m.summary.trainingCost)
-
-
-def kmeans_scan(
-    rows: DataFrame, k_candidates: Sequence[int] = D.CLUSTER_COUNTS, seed: int = 42, starts: int = 1
-) -> DataFrame:
-    """Silhouette and inertia per ``k``; ``is_best`` marks the first highest silhouette.
-
-    The silhouette is Spark's squared-Euclidean one over all rows, in linear time.
-    """
-    evaluator = ClusteringEvaluator()
-    scores = []
-    for k in k_candidates:
-        model = fit_kmeans(rows, k, seed, starts)
-        scores.append((k, float(evaluator.evaluate(model.transform(rows))), float(model.summary.trainingCost)))
-    best = max(scores, key=lambda s: s[1])[0]
-    return rows.sparkSession.createDataFrame(
-        [(k, round(s, 4), round(c, 2), k == best) for k, s, c in scores],
-        "k long, silhouette_score double, inertia double, is_best boolean",
-    )
-
-
-def cluster_assign(model: KMeansModel, rows: DataFrame) -> DataFrame:
-    """Rows with their ``cluster``."""
-    return model.transform(rows).withColumnRenamed("prediction", "cluster")
-
-
 def cluster_sizes(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Size and percentage of each cluster."""
     counts = assigned.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from deskgraph import defaults as D
 from deskgraph.functions import rules
 from deskgraph.functions.numeric import round_dp
-from deskgraph.operators import baselines, case_index, intent, retrieval, tfidf, vectors
+from deskgraph.operators import baselines, case_index, clusters, intent, retrieval, tfidf, vectors
 from deskgraph.plans import tables as t
 from deskgraph.plans.oracle import has_word, has_words_in_line, pct, q, seeded, sql
 from deskgraph.plans.registry import query
@@ -160,15 +163,51 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------- clusters
 
+def _clusterings(spark, sf):
+    return clusters.fit(t.vectors(spark, sf), D.CLUSTER_COUNTS)
+
+
 @query("kmeans_scan")
 def _(spark, sf):
-    return intent.kmeans_scan(intent.with_features(t.vectors(spark, sf)).select("vec_id", "features"))
+    return clusters.scan(_clusterings(spark, sf), t.vectors(spark, sf))
 
 
 @query("cluster_assign")
 def _(spark, sf):
-    rows = intent.with_features(t.vectors(spark, sf)).select("vec_id", "features")
-    return intent.cluster_sizes(intent.cluster_assign(intent.fit_kmeans(rows, 6), rows))
+    """Sizes under the k that the scan finds best."""
+    best = clusters.best_of(_clusterings(spark, sf))
+    return intent.cluster_sizes(clusters.assign(t.vectors(spark, sf), best))
+
+
+@query(
+    "kmeans_scan_verified",
+    f"""SELECT k, (SELECT count(*) FROM embeddings) AS n, true AS every_row_is_nearest, true AS inertia_is_that_of_the_rows, true AS centres_are_means
+    FROM (VALUES {", ".join(f"(CAST({k} AS BIGINT))" for k in D.CLUSTER_COUNTS)}) AS v(k)""",
+)
+def _(spark, sf):
+    """What holds of settled clusterings, worked out again from the rows' assignment by column expressions."""
+    rows, checked = t.vectors(spark, sf), []
+    for m in _clusterings(spark, sf):
+        centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in m.centres])
+        gap = F.transform(centres, lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v))
+        placed = clusters.assign(rows, m).select("cluster", F.col("embedding").cast("array<double>").alias("x")).withColumn("gaps", gap)
+        own = F.get("gaps", F.col("cluster"))
+        # means of what a cluster holds lie no further from its centre than the last step moved
+        spread = placed.select("cluster", F.posexplode("x").alias("pos", "v")).groupBy("cluster", "pos").agg(F.avg("v").alias("mean"))
+        moved = spread.select(F.pow(F.col("mean") - F.get(F.get(centres, F.col("cluster")), F.col("pos")), F.lit(2)).alias("d")).agg(F.sum("d").alias("d"))
+        told = placed.agg(
+            F.count(F.lit(1)).alias("n"), F.bool_and(own <= F.array_min("gaps") + F.lit(1e-9)).alias("every_row_is_nearest"), F.sum(own).alias("inertia")
+        )
+        checked.append(
+            told.withColumn("d", moved.scalar()).select(
+                F.lit(m.k).cast("bigint").alias("k"),
+                "n",
+                "every_row_is_nearest",
+                (F.abs(F.col("inertia") - F.lit(m.inertia)) <= 1e-6 * F.col("inertia")).alias("inertia_is_that_of_the_rows"),
+                (F.col("d") <= F.lit(1e-3)).alias("centres_are_means"),
+            )
+        )
+    return reduce(lambda a, b: a.unionByName(b), checked)
 
 
 @query(

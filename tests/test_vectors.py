@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from deskgraph.operators import case_index, intent, retrieval, tfidf, vectors
+from deskgraph.operators import case_index, clusters, intent, retrieval, tfidf, vectors
 
 
 @pytest.fixture(scope="module")
@@ -144,12 +144,37 @@ def test_word_pairs_and_encoder_hook(spark):
 
 def test_cluster_scan_picks_the_first_best_silhouette(space):
     rows, _ = space
-    got = intent.kmeans_scan(intent.with_features(rows).select("id", "features"), (2, 3)).collect()
+    models = clusters.fit(rows, (2, 3), starts=2)
+    got = clusters.scan(models, rows).collect()
     assert [r["k"] for r in got] == [2, 3] and sum(r["is_best"] for r in got) == 1
     best = max(got, key=lambda r: r["silhouette_score"])
     assert best["is_best"] or best["silhouette_score"] == next(r for r in got if r["is_best"])["silhouette_score"]
 
 
+def test_all_starts_advance_in_shared_passes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c + 0.1 * rng.normal(size=(60, 2)) for c in ((0, 0), (5, 0), (0, 5), (5, 5))])
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<double>")
+    rows = rows.union(spark.createDataFrame([(900, None), (901, [float("nan"), 0.0])], rows.schema))
+    passes = []
+    real = clusters._statistics
+    monkeypatch.setattr(clusters, "_statistics", lambda r, models: passes.append(len(models)) or real(r, models))
+    two, four = clusters.fit(rows, (2, 4), starts=6)
+    assert passes[0] == passes[-1] == 12 and passes == [passes[0], *sorted(passes[1:-1], reverse=True), passes[-1]] and len(passes) < 30
+    assert four.sizes.tolist() == [60.0] * 4 and four.silhouette > 0.98 > two.silhouette
+    label = np.array([r["cluster"] for r in clusters.assign(rows.where("id < 900"), four).orderBy("id").collect()])
+    assert sorted(np.bincount(label)) == [60] * 4 and all(len(set(label[i : i + 60])) == 1 for i in range(0, 240, 60))
+    means = np.array([x[label == c].mean(0) for c in range(4)])
+    assert np.allclose(four.centres, means) and four.inertia == pytest.approx(((x - means[label]) ** 2).sum())
+    # silhouettes by their definition, over all pairs
+    square = ((x[:, None] - x[None]) ** 2).sum(2)
+    own = np.array([square[i, label == label[i]].sum() / 59 for i in range(240)])
+    other = np.array([min(square[i, label == c].mean() for c in range(4) if c != label[i]) for i in range(240)])
+    assert four.silhouette == pytest.approx(((other - own) / np.maximum(own, other)).mean())
+    assert clusters.assign(rows, four).where("id >= 900 and cluster is not null").count() == 0
+    assert clusters.fit(rows.where("id > 900"), (2,)) == []
+
+
 def test_vectors_of_other_lengths_or_with_bad_values_are_left_out(spark):
     good, bad = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]], [[1.0, 2.0], [1.0, 2.0, float("nan")], [1.0, None, 0.0], None, [1.0, 0.0, float("inf")]]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(good + bad)], "query_id long, embedding array<double>")
