@@ -131,8 +131,7 @@ class TextIndex:
         path = path or shared_folder(spark, "text-index")
         stops = tfidf.stop_words() if stops is None else list(stops)
         words = corpus.select(F.col(case_id).alias("case_id"), tfidf.terms(F.col(text), stops, ngrams).alias("terms"))
-        counts = words.select("terms").mapInArrow(_count, "term string, total long, df long, cases long").groupBy("term")
-        counts = materialise(counts.agg(*[F.sum(c).alias(c) for c in ("total", "df", "cases")]), "term-counts")
+        counts = materialise(count_terms(words.select("terms")), "term-counts")
         rows = counts.where(F.col("term").isNull()).agg(F.coalesce(F.sum("cases"), F.lit(0))).first()[0]
         known = counts.where(F.col("term").isNotNull()).orderBy(F.desc("total"), "term").limit(features)
         idf = F.log((F.lit(1.0) + F.lit(rows)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
@@ -231,6 +230,15 @@ def parts(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ends, indices.flatten().to_numpy(), values.flatten().to_numpy()
 
 
+def count_terms(words: DataFrame) -> DataFrame:
+    """term, total (occurrences), df (rows) of a single column of terms; under a null term ``cases`` is the number of rows.
+
+    Tasks count before the shuffle, so a term that is in every row is one row for each batch.
+    """
+    parts = words.mapInArrow(_count, "term string, total long, df long, cases long").groupBy("term")
+    return parts.agg(*[F.sum(c).alias(c) for c in ("total", "df", "cases")])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch: each term's occurrences and cases, and under a null term the number of cases."""
     for batch in batches:

@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
-    IDF,
     CountVectorizerModel,
     ElementwiseProduct,
-    HashingTF,
     NGram,
     Normalizer,
     RegexTokenizer,
@@ -156,23 +154,16 @@ Encoder = Callable[[pd.Series], "pd.Series"]
 def text_vectorize(
     rows: DataFrame, text: str, dimensions: int = 256, encoder: Encoder | None = None, batch: int = 128
 ) -> DataFrame:
-    """Add a unit-length ``embedding``.
+    """Add a unit-length ``embedding``, null for a text without a term.
 
-    Without an ``encoder`` it hashes words into ``dimensions`` buckets and weighs them by idf.
-    An ``encoder`` takes a series of texts and returns a series of vectors; it is called on
+    Without an ``encoder`` one is fitted on these rows (:class:`deskgraph.operators.encoder.TextEncoder`, which can also be kept
+    and applied to others).  An ``encoder`` takes a series of texts and returns a series of vectors; it is called on
     batches of ``batch`` rows inside the tasks.
     """
     if encoder is None:
-        stages = [
-            RegexTokenizer(inputCol=text, outputCol="_words", pattern=TOKEN, gaps=False),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions),
-            IDF(inputCol="_counts", outputCol="_weighted"),
-            Normalizer(inputCol="_weighted", outputCol="_unit"),
-        ]
-        from pyspark.ml.functions import vector_to_array
+        from deskgraph.operators.encoder import TextEncoder
 
-        done = Pipeline(stages=stages).fit(rows).transform(rows)
-        return done.select(*rows.columns, vector_to_array("_unit").alias("embedding"))
+        return TextEncoder.fit(rows, text, dimensions).apply(rows, text)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from deskgraph.operators import grounding, intent, replies, retrieval, routing,
 from deskgraph.operators.case_index import CaseIndex
 from deskgraph.operators.vectors import Centroids, usable_vector
 from deskgraph.session import materialise
+from deskgraph.sources import writers
+from deskgraph.sources.snapshots import Snapshots
 
 OUTPUT = (
     "execution_id",
@@ -130,14 +133,34 @@ def error_rows(failed: DataFrame) -> DataFrame:
     )
 
 
-def with_cached_predictions(gold: DataFrame, cache: DataFrame, score) -> DataFrame:
+def with_cached_predictions(gold: DataFrame, cache: DataFrame | Snapshots, score) -> DataFrame:
     """Stored predictions where the id has one; ``score`` is called on the remaining rows only.
 
-    Both sides are unique by id.
+    Both sides are unique by id.  A ``cache`` of snapshots gets what was scored as a new version, so that a second call
+    scores nothing; if scoring or writing fails, the version before stays the one that counts.
     """
+    if isinstance(cache, Snapshots):
+        return _with_write_back(gold, cache, score)
     hits = cache.join(gold.select("example_id"), "example_id", "left_semi")
     misses = gold.join(cache.select("example_id"), "example_id", "left_anti")
     scored = score(misses)
     return hits.select(*scored.columns, F.lit(True).alias("cached")).unionByName(
         scored.withColumn("cached", F.lit(False))
     )
+
+
+def _with_write_back(gold: DataFrame, store: Snapshots, score) -> DataFrame:
+    version = max(store.versions(), default=0)
+    held = store.read(version) if version else None
+    misses = gold if held is None else gold.join(held.select("example_id"), "example_id", "left_anti")
+    misses = materialise(misses, "to-score")
+    fresh = None
+    if not misses.isEmpty():
+        fresh = materialise(score(misses), "scored")
+        store.write(fresh if held is None else writers.merged_predictions(held, fresh), after=version)
+    parts = [] if fresh is None else [fresh.withColumn("cached", F.lit(False))]
+    if held is not None:
+        parts.append(held.join(gold.select("example_id"), "example_id", "left_semi").withColumn("cached", F.lit(True)))
+    if not parts:  # nothing stored and nothing asked
+        return score(misses).withColumn("cached", F.lit(False))
+    return reduce(DataFrame.unionByName, parts)

@@ -14,6 +14,8 @@ from deskgraph.plans.oracle import clean, has_word, lookup_case, q, sql, strip,
 from deskgraph.plans import registry
 from deskgraph.plans.registry import query
 from deskgraph.plans.vector_queries import THRESHOLD, _BEST, fitted
+from deskgraph.session import shared_folder
+from deskgraph.sources.snapshots import Snapshots
 
 _ALIASES = list(D.MESSAGE_ALIASES)
 
@@ -475,10 +477,21 @@ def _(spark, sf):
         "example_id", F.concat(F.lit("stored "), "gold_intent").alias("predicted_intent")
     )
 
-    def score(rows):
-        return rows.select("example_id", F.concat(F.lit("fresh "), "gold_intent").alias("predicted_intent"))
+    store = Snapshots(spark, shared_folder(spark, "predictions"))
+    store.write(cache)
+    return message_scoring.with_cached_predictions(gold, store, _fresh)
 
-    return message_scoring.with_cached_predictions(gold, cache, score)
+
+def _fresh(rows):
+    return rows.select("example_id", F.concat(F.lit("fresh "), "gold_intent").alias("predicted_intent"))
+
+
+@query("prediction_cache_second_call", sql("SELECT example_id, concat('fresh ', gold_intent) AS predicted_intent, true AS cached FROM gold"))
+def _(spark, sf):
+    """What the first call scored is there for the second, which scores nothing."""
+    gold, store = t.gold(spark, sf), Snapshots(spark, shared_folder(spark, "predictions"))
+    message_scoring.with_cached_predictions(gold, store, _fresh)
+    return message_scoring.with_cached_predictions(gold, store, lambda rows: rows.select("example_id", F.lit("scored twice").alias("predicted_intent")))
 
 
 

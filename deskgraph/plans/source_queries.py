@@ -121,9 +121,10 @@ def _(spark, sf):
     done = routing.route_decision(t.route_inputs(t.gold(spark, sf)))
     standard = F.col("edge_case_category") == "standard"
     for day, rows in (("2024-01-01", done.where(standard)), ("2024-01-02", done.where(~standard))):
-        writers.sink_telemetry_append(rows.select("example_id", "routing_decision", "routing_reason"), path, day)
-    schema = "example_id bigint, routing_decision string, routing_reason string, run_date string"
-    return spark.read.schema(schema).json(path)
+        for _attempt in range(2):  # a repeated run leaves one copy
+            writers.sink_telemetry_append(rows.select("example_id", "routing_decision", "routing_reason"), path, day, "nightly")
+    schema = "example_id bigint, routing_decision string, routing_reason string, run_date string, run_id string"
+    return spark.read.schema(schema).json(path).drop("run_id")
 
 
 @query("model_persist", sql("SELECT brand_tweet_id AS case_id, true AS same FROM clean_pairs"))

@@ -10,6 +10,7 @@ from deskgraph import defaults as D
 from deskgraph.functions import rules
 from deskgraph.functions.numeric import round_dp
 from deskgraph.operators import baselines, case_index, clusters, intent, retrieval, tfidf, vectors
+from deskgraph.operators.encoder import TextEncoder
 from deskgraph.plans import tables as t
 from deskgraph.plans.oracle import has_word, has_words_in_line, pct, q, seeded, sql
 from deskgraph.plans.registry import query
@@ -287,10 +288,66 @@ def _(spark, sf):
     return tfidf.cluster_keywords(docs, "doc_id", "text", stops=STOPS).withColumn("mean_weight", round_dp(F.col("mean_weight"), 6))
 
 
-@query("text_vectorize")
+def _encoded_views(prefix: str, counts: str) -> dict[str, str]:
+    """Places and unit vectors of a table of term counts, under the idf of the documents."""
+    p = prefix
+    return {
+        f"{p}places": f"""SELECT id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 256 AS pos,
+            sum(CASE WHEN substr(md5(term), 9, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * tf * coalesce(idf, ln(1.0::DOUBLE + (SELECT count(*) FROM documents)) + 1.0::DOUBLE)) AS x
+            FROM {counts} LEFT JOIN dvocab USING (term) GROUP BY ALL""",
+        f"{p}unit": f"""SELECT id, pos, x / n AS x FROM (SELECT id, pos, x, sqrt(sum(x * x) OVER (PARTITION BY id)) AS n FROM {p}places) WHERE n > 0""",
+    }
+
+
+_ENCODED = weight_views("SELECT doc_id AS id, text FROM documents", 5000, "d") | _encoded_views("v", "dcounts")
+
+
+def _encoder(spark, sf):
+    """Fitted on the documents, stored and opened again."""
+    path = shared_folder(spark, "encoder")
+    TextEncoder.fit(t.table(spark, sf, "documents"), stops=STOPS).save(spark, path)
+    return TextEncoder.open(spark, path)
+
+
+@query(
+    "text_vectorize",
+    sql("SELECT id AS doc_id, CAST(pos AS INTEGER) AS pos, round_even(x, 6) + 0.0::DOUBLE AS value FROM vunit WHERE round_even(x, 6) <> 0", **_ENCODED),
+)
 def _(spark, sf):
-    done = tfidf.text_vectorize(t.table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return done.select("doc_id", F.size("embedding").alias("dimensions"), F.array_max("embedding").alias("largest"))
+    done = _encoder(spark, sf).apply(t.table(spark, sf, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.posexplode("embedding").alias("pos", "x")).select("doc_id", "pos", round_dp(F.col("x"), 6).alias("value")).where("value <> 0")
+
+
+_TEXT_THRESHOLD = 0.3
+
+
+@query(
+    "classify_text",
+    sql(
+        f"""SELECT conv_id * 1000 + turn AS example_id, CASE WHEN s >= {_TEXT_THRESHOLD}::DOUBLE THEN label ELSE 'Other_Or_Unclear' END AS intent,
+        CASE WHEN s IS NULL THEN 0.0::DOUBLE WHEN s >= {_TEXT_THRESHOLD}::DOUBLE THEN round_even(p, 4) ELSE round_even(1.0::DOUBLE - p, 4) END AS intent_confidence,
+        coalesce(s < {_TEXT_THRESHOLD}::DOUBLE, true) AS is_fallback
+        FROM conversations LEFT JOIN (
+            SELECT id, label, s, exp(5.0::DOUBLE * s) / sum(exp(5.0::DOUBLE * s)) OVER (PARTITION BY id) AS p, row_number() OVER (PARTITION BY id ORDER BY s DESC, label) AS rn
+            FROM (SELECT id, label, coalesce(sum(u.x * c.x), 0.0::DOUBLE) AS s
+                FROM (SELECT DISTINCT id, label FROM wunit, (SELECT DISTINCT label FROM protos)) LEFT JOIN wunit u USING (id) LEFT JOIN protos c USING (label, pos) GROUP BY id, label))
+            ON id = conv_id * 1000 + turn AND rn = 1""",
+        **_ENCODED,
+        asks="SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id % 13 <> 6 THEN text END AS text FROM conversations",
+        acounts=f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({terms_sql('text')}) AS term FROM asks) GROUP BY id, term",
+        **_encoded_views("w", "acounts"),
+        protos="""SELECT label, pos, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM (SELECT lang AS label, pos, sum(x) AS x FROM vunit JOIN documents ON doc_id = id GROUP BY lang, pos)""",
+    ),
+)
+def _(spark, sf):
+    """Raw messages to intents: encoder and centroids from documents, blank messages included."""
+    encoder = _encoder(spark, sf)
+    model = encoder.centroids(t.table(spark, sf, "documents"), "lang")
+    asked = t.table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("example_id"), F.when(F.col("conv_id") % 13 != 6, F.col("text")).alias("text")
+    )
+    done = intent.nearest_centroid_classify(encoder.apply(asked), model, text="text", threshold=_TEXT_THRESHOLD)
+    return done.select("example_id", "intent", "intent_confidence", "is_fallback")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +31,15 @@ def sink_report_json(report: DataFrame, path: str, mode: str = "overwrite") -> N
     report.coalesce(1).write.mode(mode).json(path)
 
 
-def sink_telemetry_append(rows: DataFrame, path: str, run_date: str) -> None:
-    """Append execution records under the folder of their run date."""
-    rows.withColumn("run_date", F.lit(run_date)).write.mode("append").partitionBy("run_date").json(path)
+def sink_telemetry_append(rows: DataFrame, path: str, run_date: str, run_id: str | None = None) -> None:
+    """Add execution records under the folder of their run date and run.
+
+    The same ``run_id`` on the same date replaces what an earlier attempt of that run left, so a run that is repeated leaves one
+    copy; other runs are not touched.  Without a ``run_id`` every call is a run of its own.  A repeat without rows changes nothing.
+    """
+    told = rows.withColumn("run_date", F.lit(run_date)).withColumn("run_id", F.lit(run_id or uuid.uuid4().hex))
+    writer = told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_date", "run_id").json(path)
 
 
 def merged_predictions(cached: DataFrame, scored: DataFrame) -> DataFrame:
