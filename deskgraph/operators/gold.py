@@ -13,7 +13,6 @@ from deskgraph.functions.rules import first_match, lookup
 from deskgraph.functions.text import contains_any
 from deskgraph.operators.sampling import quota_sample, seeded_key, seeded_sample, seeded_top
 from deskgraph.operators.skew import top_n_per_group
-from deskgraph.session import materialise
 
 
 def stratified_sample_edges(
@@ -126,16 +125,30 @@ def select_gold(
     per_intent: int = D.INTENT_QUOTA,
     row_id: str = "customer_tweet_id",
 ) -> DataFrame:
-    """The ``target`` pool rows that make the gold set.
+    """The ``target`` pool rows that make the gold set: every edge category to its quota, every intent to its own, then the rest.
 
-    Categories and intents are worked out once, into a narrow table of three columns; the
-    selection steps read that table several times and the pool is read again only for the
-    at most ``target`` chosen rows.
+    The pool is ranked once, in seeded order, within each edge category, within each intent and as a whole, and only ranks
+    that a step could need leave the tasks.  What each step takes then follows from ranks and counts among these few
+    rows, whose number the quotas bound.  The pool is read again only for the rows that were chosen.
     """
-    narrow = materialise(pool.select(row_id, "edge_category", "mapped_intent"), "gold-pool")
-    edges = stratified_sample_edges(narrow, edge_quotas, seed)
-    chosen = materialise(edges.unionByName(stratified_fill_quota(narrow, edges, per_intent, seed)), "gold-chosen")
-    final = sample_fill_remainder(narrow, chosen, target, seed)
+    many = sum(edge_quotas.values())
+    # edge rows may stand before the rows an intent or the remainder needs
+    most = max([*edge_quotas.values(), per_intent + many, 2 * target, 1])
+    group = lambda kind, value: F.struct(F.lit(kind).alias("kind"), F.col(value).cast("string").alias("group"))
+    whole = F.struct(F.lit("all").alias("kind"), F.lit(None).cast("string").alias("group"))
+    keyed = pool.select(row_id, "edge_category", "mapped_intent", seeded_key(seed, row_id).alias("_key"))
+    ranked = top_n_per_group(
+        keyed.select("*", F.inline(F.array(group("edge", "edge_category"), group("intent", "mapped_intent"), whole))),
+        ["kind", "group"], [F.col("_key"), F.col(row_id)], most, rank="_rank",
+    )
+    few = ranked.groupBy(row_id, "_key", "edge_category", "mapped_intent").agg(F.min(F.when(F.col("kind") == "edge", F.col("_rank"))).alias("_edge"))
+    quota = lookup(F.col("edge_category"), dict(edge_quotas), 0) if edge_quotas else F.lit(0)
+    order = ["_key", row_id]
+    placed = few.withColumn("_is_edge", F.coalesce(F.col("_edge") <= quota, F.lit(False)))
+    have = F.sum(F.col("_is_edge").cast("int")).over(Window.partitionBy("mapped_intent"))
+    turn = F.row_number().over(Window.partitionBy("mapped_intent", "_is_edge").orderBy(*order))
+    filled = placed.withColumn("_late", F.when(F.col("_is_edge") | (turn <= F.lit(per_intent) - have), 0).otherwise(1))
+    final = filled.orderBy("_late", *order).limit(target).select(row_id, "edge_category", "mapped_intent")
     return pool.drop("edge_category", "mapped_intent").join(F.broadcast(final), row_id)
 
 

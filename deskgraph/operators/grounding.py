@@ -16,21 +16,30 @@ def _found(text: Column, pattern: str, ignore_case: bool) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_regex(pattern, ignore_case)), F.lit(0))
 
 
-def _first_missing(claims: Column, known: Column, form) -> Column:
-    """First claim whose form is not among ``known``, which is worked out once per row and not once per claim."""
-    fresh = F.transform(F.array(known), lambda k: F.try_element_at(F.filter(claims, lambda c: ~F.array_contains(k, form(c))), F.lit(1)))
-    return F.when(F.size(claims) > 0, F.element_at(fresh, 1))
+def _first_missing(reply: Column, evidence: Column, pattern: str, ignore_case: bool) -> Column:
+    """First claim of the reply that the evidence lacks.
+
+    Each pattern runs once over a text: a lambda's argument holds what it found, where a column would be worked out at every
+    mention.  The evidence is searched only if the reply claims anything.
+    """
+    form = F.lower if ignore_case else (lambda c: c)
+
+    def among(claims: Column) -> Column:
+        known = F.transform(_found(evidence, pattern, ignore_case), form) if ignore_case else _found(evidence, pattern, ignore_case)
+        missing = F.transform(F.array(known), lambda k: F.try_element_at(F.filter(claims, lambda c: ~F.array_contains(k, form(c))), F.lit(1)))
+        return F.when(F.size(claims) > 0, F.element_at(missing, 1))
+
+    return F.element_at(F.transform(F.array(_found(reply, pattern, ignore_case)), among), 1)
 
 
 def currency_claims(reply: Column, evidence: Column) -> Column:
     """First amount in the reply that the evidence lacks, whatever its case; null if none."""
-    known = F.transform(_found(evidence, D.CURRENCY_PATTERN, True), F.lower)
-    return _first_missing(_found(reply, D.CURRENCY_PATTERN, True), known, F.lower)
+    return _first_missing(reply, evidence, D.CURRENCY_PATTERN, True)
 
 
 def phone_claims(reply: Column, evidence: Column) -> Column:
     """First phone number in the reply that the evidence lacks; null if none."""
-    return _first_missing(_found(reply, D.PHONE_PATTERN, False), _found(evidence, D.PHONE_PATTERN, False), lambda c: c)
+    return _first_missing(reply, evidence, D.PHONE_PATTERN, False)
 
 
 def parse_verdict(answer: Column) -> Column:

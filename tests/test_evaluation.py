@@ -150,3 +150,19 @@ def test_gold_set_keeps_quotas_and_size(spark):
     assert got.where("edge_case_category = 'safety_legal_escalate'").count() >= 16
     assert min(r["count"] for r in got.groupBy("gold_intent").count().collect()) >= 20
     assert gold.build_golden_set(pool, target=10).count() == 10
+
+
+@pytest.mark.parametrize(("target", "per_intent", "quotas"), [(30, 5, {"a": 4, "b": 7, "gone": 3}), (12, 6, {"a": 9, "b": 9}), (200, 3, {"a": 1}), (5, 0, {})])
+def test_one_ranking_pass_selects_what_the_steps_select(spark, target, per_intent, quotas):
+    pool = spark.range(150).select(
+        F.col("id").alias("customer_tweet_id"),
+        F.when(F.col("id") % 4 == 0, F.lit("a")).when(F.col("id") % 7 == 0, F.lit("b")).when(F.col("id") % 5 > 0, F.lit("standard")).alias("edge_category"),
+        F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.concat(F.lit("i"), (F.col("id") % 6).cast("string"))).alias("mapped_intent"),
+        F.lit("wide").alias("text"),
+    )
+    narrow = pool.drop("text")
+    edges = gold.stratified_sample_edges(narrow, quotas) if quotas else narrow.where("false")
+    chosen = edges.unionByName(gold.stratified_fill_quota(narrow, edges, per_intent).select(*narrow.columns))
+    want = {r["customer_tweet_id"] for r in gold.sample_fill_remainder(narrow, chosen, target).collect()}
+    got = gold.select_gold(pool, target, edge_quotas=quotas, per_intent=per_intent)
+    assert {r["customer_tweet_id"] for r in got.collect()} == want and set(got.columns) == set(pool.columns)
