@@ -9,6 +9,7 @@ from deskgraph.operators import baselines, judge, metrics
 from deskgraph.plans import tables as t
 from deskgraph.plans.oracle import q, sql, strip, word_count
 from deskgraph.plans.registry import query
+from deskgraph.session import shared_folder
 
 
 def joined(spark, sf):
@@ -74,6 +75,26 @@ def _(spark, sf):
     return metrics.latency_percentiles(joined(spark, sf))
 
 
+@query(
+    "latency_rollup",
+    sql("SELECT system_name, count(*) AS n, round_even(avg(latency_ms), 2) AS mean_ms, true AS p50_within_error, true AS p95_within_error FROM joined GROUP BY system_name"),
+)
+def _(spark, sf):
+    """Two appends of sketches, one a run that is repeated, rolled up; the quantiles' ranks are worked out from all latencies."""
+    rows, path = joined(spark, sf), shared_folder(spark, "latency-sketches")
+    for day, part in (("2024-01-01", rows.where("pmod(xxhash64(example_id), 3) = 0")), ("2024-01-02", rows.where("pmod(xxhash64(example_id), 3) > 0"))):
+        for _attempt in range(2):
+            kept = metrics.latency_sketches(part, metrics.SYSTEM).withColumn("run_date", F.lit(day))
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
+    rolled = metrics.latency_rollup(spark.read.parquet(path))
+    value = F.col("latency_ms")
+    checks = []
+    for name, share in (("p50", 0.5), ("p95", 0.95)):
+        below, upto = F.avg((value < F.col(f"{name}_ms")).cast("double")), F.avg((value <= F.col(f"{name}_ms")).cast("double"))
+        checks.append(((below <= share + metrics.SKETCH_ERROR) & (upto >= share - metrics.SKETCH_ERROR)).alias(f"{name}_within_error"))
+    return rows.join(rolled, "system_name").groupBy("system_name", "n", "mean_ms").agg(*checks)
+
+
 @query(
     "segment_breakdown",
     sql(

@@ -166,3 +166,17 @@ def test_one_ranking_pass_selects_what_the_steps_select(spark, target, per_inten
     want = {r["customer_tweet_id"] for r in gold.sample_fill_remainder(narrow, chosen, target).collect()}
     got = gold.select_gold(pool, target, edge_quotas=quotas, per_intent=per_intent)
     assert {r["customer_tweet_id"] for r in got.collect()} == want and set(got.columns) == set(pool.columns)
+
+
+def test_latency_sketches_of_days_merge_within_their_error(spark):
+    rng = np.random.default_rng(4)
+    ms = np.concatenate([rng.gamma(2.0, 40.0, 6000), rng.uniform(900, 1000, 300)])
+    rows = spark.createDataFrame([("a", f"d{i % 9}", float(v)) for i, v in enumerate(ms)] + [("a", "d0", None), ("b", "d1", 5.0)], "system_name string, run_date string, latency_ms double")
+    daily = metrics.latency_sketches(rows)
+    assert daily.count() == 10
+    got = {r["system_name"]: r for r in metrics.latency_rollup(daily).collect()}
+    assert got["a"]["n"] == len(ms) and got["a"]["mean_ms"] == pytest.approx(ms.mean(), abs=0.006)
+    for name, share in (("p50_ms", 0.5), ("p95_ms", 0.95)):
+        assert abs((ms <= got["a"][name]).mean() - share) <= metrics.SKETCH_ERROR + 1 / len(ms)
+        assert got["b"][name] == 5.0
+    assert metrics.latency_rollup(daily.where("false")).count() == 0
