@@ -14,6 +14,7 @@ from deskgraph.functions.numeric import round_dp
 from deskgraph.functions.rules import keyword_escalation
 from deskgraph.operators.replies import canned_reply
 from deskgraph.operators.retrieval import verbatim_nearest_reply
+from deskgraph.operators.text_index import TextIndex
 from deskgraph.operators.tfidf import fit_tfidf
 
 OUTPUT = (
@@ -103,10 +104,11 @@ def simple_ml_baseline(
     example_id: str = "example_id",
     text: str = "customer_text",
     features: int = D.TFIDF_FEATURES,
+    index: TextIndex | None = None,
 ) -> DataFrame:
-    """Logistic intent, reply of the nearest case, keyword routing."""
+    """Logistic intent, reply of the nearest case, keyword routing.  An ``index`` of the cases' texts is used as it is."""
     classified = classify_logistic(model, rows.select(example_id, text), text)
-    answered = verbatim_nearest_reply(classified, corpus, example_id, text, features=features, ngrams=2)
+    answered = verbatim_nearest_reply(classified, corpus, example_id, text, features=features, ngrams=2, index=index)
     return keyword_escalation(answered, text).select(
         F.lit("simple_ml_baseline").alias("system_name"),
         F.col(example_id).alias("example_id"),

@@ -30,6 +30,7 @@ def load_all() -> None:
         corpus_queries,
         evaluation_queries,
         gold_queries,
+        run_queries,
         scoring_queries,
         source_queries,
         stream_queries,
