@@ -12,7 +12,6 @@ joins with white space, white space beyond ASCII, bytes that do not come back) a
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable, Iterator
 from itertools import accumulate, pairwise
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskgraph.llm.common import stored, worker_cache
+from deskgraph.llm.merges import byte_letters, ranked
 
 CACHED_CHUNKS = 400_000
 BATCH_CHARS = 2_000_000
@@ -65,13 +65,10 @@ class Tokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
-        with open(path_a, encoding="utf-8") as file:
-            stated = json.load(file)
         size = self.a.get_vocab_size(with_added_tokens=True)
         letters = byte_letters()
         self.bytes_a = [b""] * size
@@ -87,12 +84,7 @@ class Tokens:
         joins = any("▁" in p.lstrip("▁") for p in pieces)
         odd = "".join(sorted({re.escape(c) for p in pieces for c in p if c.isspace()}))
         self.whole_only = re.compile(f"[{odd}{WIDE_SPACE}▁]") if not joins else re.compile("")
-        self.plain = None
-        merges = [m if isinstance(m, list) else m.split(" ") for m in stated["model"]["merges"]]
-        if all(self.a.token_to_id("".join(m)) == 256 + k for k, m in enumerate(merges)) and stated.get("normalizer") is None:
-            # ids in the order of merges: the same vocabulary as ranks gives the same ids, in a third of the time
-            ranks = {x: i for i, x in enumerate(self.bytes_a) if i < 256 + len(merges)}
-            self.plain = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.plain = ranked(self.a, path_a) if self.a.normalizer is None else None
 
     def ids_a(self, chunks: list[str]) -> list[list[int]]:
         if self.plain is not None and all(c.isascii() or max(c) < "\u0250" for c in chunks):
@@ -153,17 +145,6 @@ class Tokens:
 
 
 Entries = tuple[list[str], list[tuple[int, int, int, int]], list[int]]
-#: The split pattern that byte-level vocabularies of this kind are published with.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_letters() -> dict[str, int]:
-    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from U+0100 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class Memory:
     """Chunks a worker has aligned, by number: texts of groups, and links and counts as flat arrays."""
 

@@ -12,8 +12,10 @@ The programme stops as soon as the window can be filled exactly.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +23,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskgraph.llm.common import stored, worker_cache
+from deskgraph.llm.merges import END, ranked
 
 WINDOW = 2048
 END_ID = 1
 GROUP_ROWS = 50_000
 CACHED_WORDS = 300_000
+#: Letters below this are composed already and lower-cased alike everywhere.
+LATIN = "\u0250"
+#: Marks after a word, which the tokenizer takes apart from it.
+MARKS = ".,!?;:|&%$#*\""
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece_key long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def word_encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
+def word_encoder(tokenizer_path: str, cached: int = CACHED_WORDS) -> Callable[[list[str]], list[bytes]]:
     """Texts to their ids as little-endian 32-bit bytes, by a tokenizer that works within words.
 
-    The tokenizer's normaliser drops white space between words, so a text's ids are those of its
-    chunks between spaces or line ends in turn.  Chunks are encoded once for each worker and kept, ``CACHED_WORDS`` at most.
-    A chunk of plain letters goes straight to the tokenizer's model, which is what the whole tokenizer does with it.
+    The tokenizer's normaliser drops white space between words, so a text's ids are those of its chunks between spaces or
+    line ends in turn.  Chunks are encoded once for each worker and kept in two generations, ``cached`` at most: when the newer is
+    full it becomes the older, and what is asked for again moves over, so frequent words stay.
+    A chunk of Latin letters is one word to the tokenizer, which lower-cases it and joins its bytes by merges: such words go to
+    the same vocabulary as ranks, all at once.  Any other chunk, also one that holds a special token, takes the whole tokenizer.
     """
     import os
 
@@ -46,53 +55,56 @@ def word_encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
     held = worker_cache(f"encoder:{tokenizer_path}")
     if "tokenizer" not in held:
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
-        held.update(tokenizer=tokenizer, words={}, letters={})
-    tokenizer, words, letters = held["tokenizer"], held["words"], held["letters"]
-    model = tokenizer.model
-
-    def plain(word: str) -> bytes:
-        low = word.lower()
-        ids = letters.get(low)
-        if ids is None:
-            ids = np.array([t.id for t in model.tokenize(low)], "<u4").tobytes()
-            letters[low] = ids
-        return ids
-
-    def learn(new: list[str]) -> None:
-        if len(words) + len(new) > CACHED_WORDS:
-            words.clear()
-        if len(letters) > CACHED_WORDS:
-            letters.clear()
-        rest = []
-        for w in new:
-            if w.isascii():
-                body = w.rstrip(".,!?;:|&%$#*\"")
-                if body.isalpha():
-                    tail = w[len(body) :]
-                    words[w] = plain(body) + (tail_ids(tail) if tail else b"")
-                    continue
-            rest.append(w)
-        for w, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            words[w] = np.array(e.ids, "<u4").tobytes()
-
-    def tail_ids(tail: str) -> bytes:
-        ids = letters.get(tail)
-        if ids is None:
-            ids = letters[tail] = np.array(tokenizer.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        held.update(tokenizer=tokenizer, ranks=ranked(tokenizer, tokenizer_path), words={}, older={}, letters={}, marks={})
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
+        held["ends"] = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+    tokenizer, ranks, ends, marks = held["tokenizer"], held["ranks"], held["ends"], held["marks"]
+
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def marked(tail: str) -> bytes:
+        """Ids of the marks after a word, of which there are few."""
+        if tail not in marks:
+            marks[tail] = packed(tokenizer.encode(tail, add_special_tokens=False).ids)
+        return marks[tail]
+
+    def learn(new: set[str]) -> None:
+        words, older, letters = held["words"], held["older"], held["letters"]
+        again = new.intersection(older)
+        words.update(zip(again, map(older.__getitem__, again), strict=True))
+        fresh = list(new.difference(again))
+        bodies = [w.rstrip(MARKS) for w in fresh]
+        plain = [ranks is not None and b.isalpha() and (b.isascii() or max(b) < LATIN) for b in bodies]
+        rest = [w for w, p in zip(fresh, plain, strict=True) if not p]
+        if rest:
+            found = tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+            words.update((w, packed(e.ids)) for w, e in zip(rest, found, strict=True))
+            fresh, bodies = list(compress(fresh, plain)), list(compress(bodies, plain))
+        if len(letters) > cached:
+            letters = held["letters"] = {}
+        lows = [b.lower() for b in bodies]
+        unknown = list(set(lows).difference(letters))
+        if unknown:
+            ids = np.array(ranks.encode_ordinary(END.join(unknown) + END), "<u4")
+            at = [0, *((np.flatnonzero(ends[ids]) + 1) * 4).tolist()]  # a word's last id says that it ends
+            body = ids.tobytes()
+            letters.update(zip(unknown, [body[i:j] for i, j in pairwise(at)], strict=True))
+        words.update(
+            (w, letters[low] if len(w) == len(b) else letters[low] + marked(w[len(b) :])) for w, b, low in zip(fresh, bodies, lows, strict=True)
+        )
 
     def encode(texts: list[str]) -> list[bytes]:
-        chunks = [[c for c in t.replace("\n", " ").split(" ") if c] for t in texts]
-        missing = list({c for row in chunks for c in row if c not in words})
+        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        asked = set().union(*chunks)
+        missing = asked.difference(held["words"])
+        if missing and len(held["words"]) + len(missing) > cached // 2:
+            held["older"], held["words"] = held["words"], {}
+            missing = asked
         if missing:
             learn(missing)
-        get = words.__getitem__
-        try:
-            return [b"".join(map(get, row)) for row in chunks]
-        except KeyError:  # the cache was emptied for this batch's new words
-            learn(list({c for row in chunks for c in row if c not in words}))
-            return [b"".join(map(get, row)) for row in chunks]
+        get = held["words"].__getitem__
+        return [b"".join(map(get, row)) for row in chunks]
 
     return encode
 
@@ -202,7 +214,7 @@ def pack(
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id of every document lies in exactly one piece.  Repeated rows are documents of their own.
-    An empty table gives no pieces.  Groups differ in size by chance only, as they are dealt by a hash
+    A null doc_id stays null, and its documents are packed like others.  An empty table gives no pieces.  Groups differ in size by chance only, as they are dealt by a hash
     of the piece's key; a window that cannot be filled is the last of its group.
     """
     pieces = stored(token_pieces(docs, tokenizer_path, window, end_id, text), "pieces")
