@@ -240,12 +240,17 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------- TF-IDF
 
-def terms_sql(expr: str, ngrams: int = 1) -> str:
+def terms_sql(expr: str) -> str:
     stops = "[" + ", ".join(q(w) for w in STOPS) + "]"
-    kept = f"list_filter(regexp_extract_all(lower({expr}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({stops}, w))"
+    return f"list_filter(regexp_extract_all(lower({expr}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({stops}, w))"
+
+
+def terms_from(rows: str, ngrams: int = 1) -> str:
+    """id and term of ``rows(id, text)``; for ``ngrams=2`` also the pairs of words, from words that are found once."""
     if ngrams == 1:
-        return kept
-    return f"list_concat({kept}, list_transform(range(1, len({kept})), lambda i: concat(({kept})[i], ' ', ({kept})[i + 1])))"
+        return f"SELECT id, unnest({terms_sql('text')}) AS term FROM {rows}"
+    pairs = "list_transform(range(1, len(kept)), lambda i: concat(kept[i], ' ', kept[i + 1]))"
+    return f"SELECT id, unnest(list_concat(kept, {pairs})) AS term FROM (SELECT id, {terms_sql('text')} AS kept FROM {rows})"
 
 
 def weight_views(rows: str, features: int, prefix: str, ngrams: int = 1) -> dict[str, str]:
@@ -253,7 +258,7 @@ def weight_views(rows: str, features: int, prefix: str, ngrams: int = 1) -> dict
     p = prefix
     return {
         f"{p}rows": rows,
-        f"{p}counts": f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({terms_sql('text', ngrams)}) AS term FROM {p}rows) GROUP BY id, term",
+        f"{p}counts": f"SELECT id, term, count(*) AS tf FROM ({terms_from(f'{p}rows', ngrams)}) GROUP BY id, term",
         f"{p}vocab": f"""SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM {p}rows)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf
             FROM (SELECT term, sum(tf) AS total, count(*) AS df FROM {p}counts GROUP BY term ORDER BY total DESC, term LIMIT {features})""",
         f"{p}weights": f"""SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w
