@@ -268,7 +268,19 @@ def _(spark, sf):
     return judge.spearman_agreement(ratings(spark, sf))
 
 
-@query("spearman_p_value")
+# With t = r * sqrt(v / (1 - r^2)) for v degrees of freedom the two-sided tail of Student's t is a constant times the integral of
+# cos(a)^(v - 1) from asin(|r|) to a right angle, here by Simpson's rule.
+_TAIL_SQL = sql(
+    f"""SELECT dim, n, round_even(r, 12) AS spearman, CASE WHEN r IS NULL THEN {D.UNDEFINED_P_VALUE}::DOUBLE WHEN abs(r) >= 1 THEN 0.0::DOUBLE
+        ELSE round_even(2 * exp(lgamma((n - 1) / 2.0::DOUBLE) - lgamma((n - 2) / 2.0::DOUBLE)) / sqrt(pi()) * width / 3 * total, 5) END AS p_value
+    FROM (SELECT dim, n, r, (pi() / 2 - asin(least(1.0::DOUBLE, abs(coalesce(r, 0))))) / 4000 AS width,
+            list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i % 4000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+                * pow(greatest(0.0::DOUBLE, cos(asin(least(1.0::DOUBLE, abs(coalesce(r, 0)))) + i * (pi() / 2 - asin(least(1.0::DOUBLE, abs(coalesce(r, 0))))) / 4000)), n - 3))) AS total
+        FROM (SELECT dim, count(*) AS n, CASE WHEN stddev_pop(rj) > 0 AND stddev_pop(rh) > 0 THEN corr(rj, rh) END AS r FROM ranked GROUP BY dim HAVING count(*) >= 5))"""
+)
+
+
+@query("spearman_p_value", _TAIL_SQL)
 def _(spark, sf):
     return judge.spearman_p_value(ratings(spark, sf))
 
