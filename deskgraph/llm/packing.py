@@ -110,7 +110,7 @@ def word_encoder(tokenizer_path: str, cached: int = CACHED_WORDS) -> Callable[[l
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, text: str = "text"
+    docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, text: str = "text", cached: int = CACHED_WORDS
 ) -> DataFrame:
     """One row per piece: whole windows and a document's remainder.  Null texts are empty: one piece, the closing id.
 
@@ -121,7 +121,7 @@ def token_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = word_encoder(tokenizer_path)
+        encode = word_encoder(tokenizer_path, cached)
         closing = np.array([end_id], "<u4").tobytes()
         key = TaskContext.get().partitionId() << 36
         for batch in batches:
@@ -210,14 +210,15 @@ def pack(
     end_id: int = END_ID,
     group_rows: int = GROUP_ROWS,
     text: str = "text",
+    cached: int = CACHED_WORDS,
 ) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id of every document lies in exactly one piece.  Repeated rows are documents of their own.
     A null doc_id stays null, and its documents are packed like others.  An empty table gives no pieces.  Groups differ in size by chance only, as they are dealt by a hash
-    of the piece's key; a window that cannot be filled is the last of its group.
+    of the piece's key; a window that cannot be filled is the last of its group.  ``cached`` bounds the words that a worker keeps.
     """
-    pieces = stored(token_pieces(docs, tokenizer_path, window, end_id, text), "pieces")
+    pieces = stored(token_pieces(docs, tokenizer_path, window, end_id, text, cached), "pieces")
     rest = pieces.where(F.col("length") < window)
     groups = max(1, -(-rest.count() // group_rows))
 
