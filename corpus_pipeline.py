@@ -17,6 +17,8 @@ from deskgraph.llm.queries import tokenizer_path
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BAND = 4
+#: Words that a worker of the packing stage keeps; executors hold what the stages before have left in their heaps.
+CACHED_WORDS = 100_000
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the token sequences that training reads."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), cached=CACHED_WORDS)
 
 
 STAGES = [
