@@ -100,41 +100,7 @@ def centroid_products(rows: DataFrame, model: Centroids, vector: str = "embeddin
     return rows.withColumn("sims", arrow_udf(score, "array<double>")(fitting))
 
 
-class Block:
-    """Cases of one task, ordered by case id so that ties fall to the lower id."""
-
-    def __init__(self, corpus: pa.Table):
-        ids = corpus.column("case_id").combine_chunks()
-        order = pc.sort_indices(ids)
-        self.ids = ids.take(order)
-        vectors = corpus.column("_vector").combine_chunks().take(order)
-        columns = np.ascontiguousarray(matrix(vectors).T) if len(vectors) else np.zeros((0, 0))
-        self.scores = lambda queries: matrix(queries) @ columns
-
-    def search(self, ids: pa.Array, vectors: pa.Array, k: int) -> pa.RecordBatch:
-        """Top ``k`` for every query row, a slice of queries at a time to bound memory."""
-        width = min(k, len(self.ids))
-        if width == 0:  # a block without a case finds nothing
-            ids = ids.slice(0, 0)
-        step = max(1, SCORE_CELLS // max(1, len(self.ids)))
-        cases, scores = [np.empty(0, dtype=np.int64)], [np.empty(0)]
-        for start in range(0, len(ids), step):
-            block = np.round(self.scores(vectors.slice(start, step)), TIE_DIGITS)
-            best = _best_columns(block, width)
-            cases.append(best.ravel())
-            scores.append(np.take_along_axis(block, best, axis=1).ravel() + 0.0)
-        return pa.RecordBatch.from_arrays(
-            [
-                ids.take(pa.array(np.repeat(np.arange(len(ids)), width))),
-                self.ids.take(pa.array(np.concatenate(cases))),
-                pa.array(np.concatenate(scores)),
-                pa.array(np.tile(np.arange(1, width + 1), len(ids))),
-            ],
-            names=["query_id", "case_id", "similarity", "rank"],
-        )
-
-
-def _best_columns(scores: np.ndarray, width: int) -> np.ndarray:
+def best_columns(scores: np.ndarray, width: int) -> np.ndarray:
     """Column numbers of the ``width`` highest scores per row, lower number first among equals."""
     if width == scores.shape[1]:
         return np.argsort(-scores, axis=1, kind="stable")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from deskgraph.operators import case_index, retrieval, text_index
 from deskgraph.operators.case_index import CaseIndex
 from deskgraph.operators.text_index import TextIndex
+from deskgraph.session import materialise
 
 
 def clustered(rng, rows, centres, width=8, spread=0.05):
@@ -133,3 +135,40 @@ def test_block_maxima_never_hide_a_case(cases, features, k, seed):
     scores = dense @ query
     want = [i for i in np.lexsort((np.arange(cases), -scores))[:k] if scores[i] > 0]
     assert order[found].tolist() == want and score.tolist() == scores[want].tolist()
+
+
+@pytest.mark.parametrize("cell_rows", [10, 40])
+def test_a_search_stores_no_row_for_each_query_and_cell(spark, monkeypatch, cell_rows):
+    x = np.random.default_rng(8).normal(size=(400, 8))  # evenly spread, so nearly every query wants nearly every cell
+    stored = []
+    monkeypatch.setattr(case_index, "materialise", lambda rows, purpose: stored.append(materialise(rows, purpose)) or stored[-1])
+    monkeypatch.setattr(case_index, "BLOCK_ROWS", 50)
+    index = CaseIndex.build(frame(spark, x, "case_id"), cell_rows=cell_rows)
+    found = index.search(frame(spark, x, "query_id"), 3).collect()
+    assert {(r["query_id"], r["rank"], r["case_id"]) for r in found} == brute(x, x, 3)
+    assert max(s.count() for s in stored) <= 3 * len(x)
+
+
+def test_zones_hold_small_cells_together_and_split_large_ones(monkeypatch):
+    monkeypatch.setattr(case_index, "BLOCK_ROWS", 100)
+    assert case_index._zones({0: 10, 2: 60, 3: 50, 4: 500, 7: 30, 8: 90}, 8) == {0: (0, 1), 2: (0, 1), 3: (1, 1), 4: (2, 6), 7: (8, 1), 8: (9, 1)}
+    # memory of a part is bounded, however many rows there are
+    assert case_index._parts(10**7, 64) == -(-(10**7) * 64 // case_index.BLOCK_VALUES)
+
+
+@given(st.integers(1, 30), st.integers(1, 20), st.integers(1, 4), st.integers(1, 6), st.integers(0, 10**6))
+@settings(max_examples=60, deadline=None)
+def test_a_zone_meets_its_queries_as_brute_force_does(cases, queries, k, cells, seed):
+    rng = np.random.default_rng(seed)
+    x, y = rng.integers(-2, 3, (queries, 2)).astype(float), rng.integers(-2, 3, (cases, 2)).astype(float)
+    cell, ids = rng.integers(0, cells, cases), rng.permutation(cases)
+    asked = [sorted(rng.choice(cells, int(rng.integers(1, cells + 1)), replace=False).tolist()) for _ in range(queries)]
+    beat = [None if rng.random() < 0.5 else float(rng.integers(-2, 5)) for _ in range(queries)]
+    q = pa.table({"_vector": x.tolist(), "cells": pa.array(asked, pa.list_(pa.int32())), "beat": pa.array(beat, pa.float64())})
+    c = pa.table({"case_id": ids, "embedding": y.tolist(), "cell": pa.array(cell, pa.int32())})
+    row, case, score = case_index._meet(q, c, k)
+    for i in range(queries):
+        scores = y @ x[i]
+        fit = [j for j in range(cases) if cell[j] in asked[i] and (beat[i] is None or scores[j] >= beat[i])]
+        want = sorted(fit, key=lambda j: (-scores[j], ids[j]))[:k]
+        assert case[row == i].tolist() == want and score[row == i].tolist() == scores[want].tolist()
