@@ -20,13 +20,12 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from deskgraph import defaults as D
 from deskgraph.operators import tfidf
-from deskgraph.operators.text_index import count_terms
 from deskgraph.operators.vectors import Centroids, prototype_centroids
 from deskgraph.session import materialise
 
 DIMENSIONS = 256
 #: Terms whose place a task remembers.
-HELD_TERMS = 500_000
+HELD_TERMS = 100_000
 
 
 def place(term: str, dimensions: int) -> tuple[int, float]:
@@ -56,7 +55,7 @@ class TextEncoder:
     ) -> "TextEncoder":
         """Count terms over all ``rows``; the ``features`` most frequent ones, ties to the lower term, keep their own idf."""
         stops = tfidf.stop_words() if stops is None else list(stops)
-        counts = materialise(count_terms(rows.select(tfidf.terms(F.col(text), stops, ngrams).alias("terms"))), "encoder-terms")
+        counts = materialise(tfidf.count_terms(rows, text, stops, ngrams), "encoder-terms")
         texts = counts.where(F.col("term").isNull()).agg(F.coalesce(F.sum("cases"), F.lit(0))).first()[0]
         kept = counts.where(F.col("term").isNotNull()).orderBy(F.desc("total"), "term").limit(features).toArrow()  # features rows
         idf = np.log((1.0 + texts) / (1.0 + kept["df"].to_numpy())) + 1.0
@@ -80,7 +79,7 @@ class TextEncoder:
         def encode(column: pa.Array) -> pa.Array:
             places: dict[str, tuple[int, float]] = {}
             out, known = np.zeros((len(column), dimensions)), np.zeros(len(column), bool)
-            for i, row in enumerate(column.to_pylist()):
+            for i, row in enumerate(row for part in tfidf.slices(column) for row in part.to_pylist()):
                 if len(places) > HELD_TERMS:
                     places.clear()
                 for term, n in Counter(row or ()).items():

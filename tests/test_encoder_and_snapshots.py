@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from deskgraph.operators import intent
+from deskgraph.operators import intent, tfidf
 from deskgraph.operators.encoder import TextEncoder
 from deskgraph.plans import message_scoring
 from deskgraph.sources import writers
@@ -103,3 +104,27 @@ def test_a_repeated_run_leaves_one_copy_of_its_telemetry(spark, tmp_path):
     writers.sink_telemetry_append(rows, path, "2024-01-02", "a")
     kept = spark.read.json(path).groupBy("run_date", "run_id").count().collect()
     assert {(str(r["run_date"]), r["run_id"], r["count"]) for r in kept} == {("2024-01-01", "a", 3), ("2024-01-01", "b", 2), ("2024-01-02", "a", 4)}
+
+
+def test_tasks_and_slices_for_terms_are_bounded_and_count_the_same(spark, monkeypatch):
+    texts = ["red apple pie", "green apple apple", None, "", "of the", "blue red apple", "pie"]
+    rows = spark.createDataFrame(list(enumerate([*texts, "pie apple"])), "id long, text string").withColumn("id", F.col("id") % 7)  # one id twice
+    read = lambda: (
+        sorted((r["term"] or "", r["total"], r["df"], r["cases"]) for r in tfidf.count_terms(rows, "text", ["the", "of"], 2).collect()),
+        sorted(map(tuple, tfidf.tfidf_weights(rows, "id", "text", stops=["the", "of"]).collect())),
+        sorted((r["id"], r["features"].toArray().tolist()) for r in tfidf.tfidf_features(rows.where("text IS NOT NULL"), "text", stops=["the", "of"]).collect()),
+        sorted((r["id"], r["embedding"] or []) for r in TextEncoder.fit(rows, "text", stops=["the", "of"]).apply(rows).collect()),
+    )
+    whole = read()
+    assert ("", 0, 0, 8) in whole[0] and ("apple", 5, 4, 0) in whole[0] and ("red apple", 2, 2, 0) in whole[0]
+    assert tfidf.term_counts(rows, "id", "text", []).rdd.getNumPartitions() == 1
+    for name, value in (("TASK_CHARACTERS", 20), ("COUNTED_TERMS", 3), ("LISTED_TERMS", 2)):
+        monkeypatch.setattr(tfidf, name, value)
+    assert tfidf.tasks(rows, "text") == 1 + sum(len(t or "") for t in [*texts, "pie apple"]) // 20
+    assert tfidf.term_counts(rows, "id", "text", []).rdd.getNumPartitions() > 1
+    assert [len(s) for s in tfidf.slices(pa.array([["a"], None, ["b", "c", "d"], [], ["e"]]), 2)] == [2, 1, 2]
+    small = read()
+    assert whole[0] == small[0]
+    for a, b in zip(whole[1:], small[1:], strict=True):
+        assert [r[:-1] for r in a] == [r[:-1] for r in b]
+        assert all(np.allclose(x[-1], y[-1]) for x, y in zip(a, b, strict=True))
