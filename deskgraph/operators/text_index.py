@@ -12,7 +12,7 @@ index is built once, opened anywhere and used by any number of searches.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,28 +73,30 @@ def best_cases(shard: dict[str, np.ndarray], rank: np.ndarray, terms: np.ndarray
     count = shard["segments"][terms + 1] - low
     segment, factor = spread(low, count), np.repeat(weights, count)
     block = shard["segment_block"][segment]
-    visited, place = np.unique(block, return_inverse=True)
-    bound = np.bincount(place, factor * shard["segment_most"][segment], len(visited))
-    turn = np.empty(len(visited), np.int64)
+    bound = np.bincount(block, factor * shard["segment_most"][segment], -(-len(rank) // block_rows))
     order = np.argsort(-bound, kind="stable")
+    turn = np.empty(len(order), np.int64)
     turn[order] = np.arange(len(order))
-    by_turn = np.argsort(turn[place], kind="stable")
-    turns, falling = turn[place][by_turn], -bound[order]
+    turns, falling = turn[block], -bound[order]
+    visited = np.searchsorted(falling, 0.0)  # the others hold no term of the query
     found, score = np.zeros(0, np.int64), np.zeros(0)
     begin, step = 0, 4
-    while begin < len(order):
+    while begin < visited:
         least = score[-1] if len(score) == k else 0.0
         # scores are rounded, so a bound just below the score to beat may still reach it
-        end = min(begin + step, int(np.searchsorted(falling, -(least - 2 * 10.0**-TIE_DIGITS), "right")))
+        end = min(begin + step, visited, int(np.searchsorted(falling, -(least - 2 * 10.0**-TIE_DIGITS), "right")))
         if end <= begin:
             break
-        part = by_turn[np.searchsorted(turns, begin) : np.searchsorted(turns, end)]
-        first, size = shard["postings"][segment[part]].astype(np.int64), None
+        part = np.flatnonzero((turns >= begin) & (turns < end))
+        first = shard["postings"][segment[part]].astype(np.int64)
         size = shard["postings"][segment[part] + 1] - first
         at = spread(first, size)
-        case, slot = np.unique(shard["cases"][at], return_inverse=True)
-        total = np.round(np.bincount(slot, shard["weights"][at] * np.repeat(factor[part], size), len(case)), TIE_DIGITS)
-        found, score = np.concatenate([found, case]), np.concatenate([score, total])
+        slot = np.repeat((turns[part] - begin) * block_rows, size) + shard["cases"][at] % block_rows
+        total = np.bincount(slot, shard["weights"][at] * np.repeat(factor[part], size), (end - begin) * block_rows)
+        slot = np.flatnonzero(total)
+        total = np.round(total[slot], TIE_DIGITS)
+        slot, total = slot[total >= least], total[total >= least]
+        found, score = np.concatenate([found, order[begin + slot // block_rows] * block_rows + slot % block_rows]), np.concatenate([score, total])
         top = np.lexsort((rank[found], -score))[:k]
         found, score, begin, step = found[top], score[top], end, 2 * step
     return found, score
@@ -131,7 +133,7 @@ class TextIndex:
         path = path or shared_folder(spark, "text-index")
         stops = tfidf.stop_words() if stops is None else list(stops)
         words = corpus.select(F.col(case_id).alias("case_id"), tfidf.terms(F.col(text), stops, ngrams).alias("terms"))
-        counts = materialise(count_terms(words.select("terms")), "term-counts")
+        counts = materialise(tfidf.count_terms(corpus, text, stops, ngrams), "term-counts")
         rows = counts.where(F.col("term").isNull()).agg(F.coalesce(F.sum("cases"), F.lit(0))).first()[0]
         known = counts.where(F.col("term").isNotNull()).orderBy(F.desc("total"), "term").limit(features)
         idf = F.log((F.lit(1.0) + F.lit(rows)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
@@ -173,7 +175,7 @@ class TextIndex:
 
         def weigh(column: pa.Array) -> pa.Array:
             sizes, indices, values = [0], [], []
-            for row in column.to_pylist():
+            for row in (row for part in tfidf.slices(column) for row in part.to_pylist()):
                 counts = Counter(number[t] for t in row or () if t in number)
                 at = np.fromiter(sorted(counts), np.int64, len(counts))
                 raw = np.fromiter((counts[i] for i in at.tolist()), np.float64, len(at)) * idf[at]
@@ -228,25 +230,3 @@ def parts(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     indices, values = vectors.field("indices"), vectors.field("values")
     ends = np.concatenate([[0], np.cumsum(np.diff(indices.offsets.to_numpy()))])
     return ends, indices.flatten().to_numpy(), values.flatten().to_numpy()
-
-
-def count_terms(words: DataFrame) -> DataFrame:
-    """term, total (occurrences), df (rows) of a single column of terms; under a null term ``cases`` is the number of rows.
-
-    Tasks count before the shuffle, so a term that is in every row is one row for each batch.
-    """
-    parts = words.mapInArrow(_count, "term string, total long, df long, cases long").groupBy("term")
-    return parts.agg(*[F.sum(c).alias(c) for c in ("total", "df", "cases")])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: each term's occurrences and cases, and under a null term the number of cases."""
-    for batch in batches:
-        total: Counter = Counter()
-        df: Counter = Counter()
-        for row in batch.column(0).to_pylist():
-            total.update(row or ())
-            df.update(set(row or ()))
-        names = [*total, None]
-        columns = [pa.array(names, pa.string()), pa.array([*total.values(), 0]), pa.array([*(df[t] for t in total), 0]), pa.array([0] * len(total) + [batch.num_rows])]
-        yield pa.RecordBatch.from_arrays(columns, names=["term", "total", "df", "cases"])
