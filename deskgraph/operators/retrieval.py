@@ -48,13 +48,15 @@ def topk_similar_cases(
 def per_query(found: DataFrame) -> DataFrame:
     """One row per query with at least one case: best similarity, ids in rank order, evidence text.
 
-    The collected group is the top ``k`` of one query, so it is bounded by ``k``.
+    The collected group is the top ``k`` of one query, so it is bounded by ``k``.  A case's texts travel once; their block is made where they arrive.
     """
-    block = F.format_string(
-        D.EVIDENCE_FORMAT, F.col("case_id"), fixed(F.col("similarity"), 2), F.col("customer_text"), F.col("brand_resolution")
-    )
-    entry = F.struct("rank", "case_id", "similarity", block.alias("block"), "brand_resolution")
-    cases = F.sort_array(F.collect_list(entry))
+
+    def with_block(c):
+        block = F.format_string(D.EVIDENCE_FORMAT, c["case_id"], fixed(c["similarity"], 2), c["customer_text"], c["brand_resolution"])
+        return F.struct(c["rank"].alias("rank"), c["case_id"].alias("case_id"), c["similarity"].alias("similarity"), block.alias("block"), c["brand_resolution"].alias("brand_resolution"))
+
+    entry = F.struct("rank", "case_id", "similarity", "customer_text", "brand_resolution")
+    cases = F.sort_array(F.transform(F.collect_list(entry), with_block))
     return found.groupBy("query_id").agg(cases.alias("_c")).select(
         "query_id",
         F.transform("_c", lambda c: c["case_id"]).alias("retrieved_case_ids"),

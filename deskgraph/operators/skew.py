@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SALTS = 64
 HOT_ROWS = 100_000
 HOT_SHARE = 0.002
+#: Bits of the map that :func:`may_match` spreads keys over: 4 MB, however many keys there are.
+KEY_BITS = 1 << 25
 
 
 def hot_keys(
@@ -60,6 +62,26 @@ def join_to_unique(
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
+def may_match(rows: DataFrame, key: str, wanted: DataFrame, bits: int = KEY_BITS) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in the one column of ``wanted``, before a shuffle of wide rows.
+
+    The keys asked for set bits of a map of fixed size, which goes to every task.  No row that has a match is lost; a few others stay, so
+    a join has to follow.  Many more keys than ``bits`` leave all rows there.
+    """
+
+    def place(value: Column) -> Column:
+        return F.pmod(F.xxhash64(value.cast(rows.schema[key].dataType)), F.lit(bits)) + 1
+
+    asked = place(F.col(wanted.columns[0]))
+    spots = wanted.select(F.bitmap_bucket_number(asked).alias("_bucket"), F.bitmap_bit_position(asked).alias("_bit"))
+    maps = spots.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    own = place(F.col(key))
+    bit = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring("_map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("_bucket", F.bitmap_bucket_number(own)).join(F.broadcast(maps), "_bucket")
+    return held.where(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0).select(*rows.columns)
+
+
 def top_n_per_group(
     rows: DataFrame,
     group: Sequence[str],

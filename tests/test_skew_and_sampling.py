@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from deskgraph.operators import corpus, profile, sampling, skew
+from deskgraph.plans import tables
 
 
 def hot_rows(spark, n=3000):
@@ -130,3 +131,27 @@ def test_every_one_of_many_hot_keys_is_split(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(got) == 240 and all(r["rows"] == 250 for r in got)
     assert sum(r["n"] > 1 for r in got) > 230  # three salts each; a few may share a partition by chance
+
+
+def test_rows_that_cannot_match_stay_out_of_a_join(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 50 != 0, F.col("id")).alias("k"), F.lit("wide").alias("text"))
+    wanted = spark.range(0, 40_000, 7).select(F.col("id").cast("int").alias("w"))  # another type, and ids that no row has
+    few = skew.may_match(rows, "k", wanted)
+    assert few.columns == rows.columns
+    got, want = {r["k"] for r in few.collect()}, {r["k"] for r in rows.where("k % 7 = 0").collect()}
+    assert want <= got and len(got) < 1.05 * len(want)
+    crowded = {r["k"] for r in skew.may_match(rows, "k", wanted, bits=64).collect()}  # every bit is set
+    assert crowded >= {r["k"] for r in rows.where("k IS NOT NULL").collect()}
+    assert skew.may_match(rows, "k", wanted.where("w < 0")).count() == 0
+
+
+def test_cases_shuffle_no_document_that_no_vector_picks(spark, tmp_path):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    vectors = spark.range(60).select((F.col("id") % 30).alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"))  # every id twice
+    docs.union(docs.where("doc_id = 4")).write.parquet(f"{tmp_path}/documents.parquet")  # one document twice
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r)[:3] for r in tables.cases(spark, str(tmp_path)).collect())
+    pairs = [(i, f"text {i}", f"@customer text {i + 1}") for i in range(30)]
+    assert got == sorted(p for p in pairs for _ in range(2) for _ in range(2 if p[0] in (3, 4) else 1))
+    narrowed = skew.may_match(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", vectors.select("vec_id"))
+    assert narrowed.count() < 60

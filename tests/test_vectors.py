@@ -204,3 +204,19 @@ def test_one_overlong_vector_leaves_the_others_in_the_search(spark):
     mostly_other = cases.union(spark.createDataFrame([(20 + i, [1.0] * 4) for i in range(9)], "case_id long, embedding array<double>"))
     assert {r["query_id"] for r in case_index.topk_similar(rows, mostly_other, 1).collect()} == set(range(5))
     assert case_index.topk_similar(rows, cases.where("case_id = 9"), 1).count() == 0
+
+
+def test_a_cases_texts_travel_once_to_their_query(spark):
+    found = spark.createDataFrame(
+        [(1, 2, 8, 0.5, "b", "rb"), (1, 1, 9, 0.75, "a", None), (1, 3, 7, 0.25, "c", "rc"), (2, 1, 7, 0.125, None, "rc")],
+        "query_id long, rank int, case_id long, similarity double, customer_text string, brand_resolution string",
+    )
+    rows = retrieval.per_query(found)
+    got = {r["query_id"]: r for r in rows.collect()}
+    assert got[1]["retrieved_case_ids"] == [9, 8, 7] and got[1]["max_similarity"] == 0.75 and got[1]["best_resolution"] is None
+    assert got[1]["evidence_text"].split("\n\n")[1] == "[Historical Case #8 (Similarity: 0.50)]\nCustomer Query: b\nSupport Resolution: rb"
+    assert got[2]["best_resolution"] == "rc" and "Customer Query: null" in got[2]["evidence_text"]
+    # below the shuffle no block of texts is made beside the texts
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    gathered = plan[plan.index("collect_list") :]
+    assert gathered.index("lambda") < gathered.index("format_string")
