@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from deskgraph.operators.skew import top_n_per_group
-from deskgraph.operators.vectors import SCORE_CELLS, TIE_DIGITS, best_columns, common_width, matrix, usable_vector
+from deskgraph.operators.vectors import TIE_DIGITS, best_columns, common_width, matrix, usable_vector
 from deskgraph.session import materialise, shared_folder
 
 #: A cell has about so many cases, but there are never more cells than ``MAX_CELLS``; larger cells are searched in parts.
@@ -34,6 +35,8 @@ MAX_CELLS = 1024
 BLOCK_ROWS = 2048
 PARTS = 8
 BLOCK_VALUES = 4_194_304
+#: Scores, or (query, cell) pairs, that a task holds at once in doubles.
+SLICE_CELLS = 500_000
 #: Vectors that are met with all centres at once.
 SLICE_ROWS = 1024
 #: Cells that every query reads before any bound is known.
@@ -101,7 +104,8 @@ class CaseIndex:
         cells = sizes.join(F.broadcast(centre), "cell").select("*", F.lit(width).cast("int").alias("width"), *types)
         cells.coalesce(1).write.parquet(f"{path}/cells")  # MAX_CELLS rows at most
         if with_cases:
-            corpus.select(F.col(case_id).alias("case_id"), *[c for c in corpus.columns if c not in (case_id, vector)]).write.parquet(f"{path}/cases")
+            texts = corpus.select(F.col(case_id).alias("case_id"), *[c for c in corpus.columns if c not in (case_id, vector)])
+            texts.write.option("compression", "zstd").parquet(f"{path}/cases")
         return CaseIndex.open(spark, path)
 
     @staticmethod
@@ -251,6 +255,11 @@ def _by_zone(zones: dict[int, tuple[int, int]]):
     count[list(zones)] = [parts for _, parts in zones.values()]
 
     def place(cells: pa.Array) -> pa.Array:
+        step = max(1, SLICE_CELLS // len(cell))
+        parts = [some(cells.slice(start, step)) for start in range(0, len(cells), step)]
+        return pa.concat_arrays(parts) if parts else some(cells)
+
+    def some(cells: pa.Array) -> pa.Array:
         sizes, asked = cells.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), cells.flatten().to_numpy(zero_copy_only=False)
         n = count[asked]
         at = np.repeat(begin[asked] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -279,13 +288,16 @@ def _meet(q: pa.Table, c: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.
     by_id = pc.sort_indices(c["case_id"].combine_chunks()).to_numpy()
     cell = c["cell"].to_numpy()[by_id]
     rank = np.argsort(cell, kind="stable")  # by cell, then by id
-    cell, y = cell[rank], matrix(c["embedding"].combine_chunks().take(pa.array(by_id[rank])))
+    # doubles are made for one cell at a time
+    cell, y = cell[rank], matrix(c["embedding"], None)[by_id[rank]]
     starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    # a cell of many rows is met in runs of CELL_ROWS
+    starts = np.concatenate([np.arange(a, b, CELL_ROWS) for a, b in pairwise([*starts.tolist(), len(cell)])])
     ends = np.append(starts[1:], len(cell))
     vectors, lists = q["_vector"].combine_chunks(), q["cells"].combine_chunks()
     beat = np.array([-np.inf if b is None else b for b in q["beat"].to_pylist()])
     out = [(none, none, np.zeros(0))]
-    step = max(1, SCORE_CELLS // int((ends - starts).max()))
+    step = max(1, SLICE_CELLS // max(y.shape[1], int((ends - starts).max())))
     for begin in range(0, q.num_rows, step):
         x, part, least = matrix(vectors.slice(begin, step)), lists.slice(begin, step), beat[begin : begin + step].copy()
         asked = part.flatten().to_numpy(zero_copy_only=False)
@@ -297,7 +309,7 @@ def _meet(q: pa.Table, c: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.
             rows = owner[np.searchsorted(asked, cell[low]) : np.searchsorted(asked, cell[low], "right")]
             if not len(rows):
                 continue
-            scores = x[rows] @ y[low:high].T
+            scores = x[rows] @ y[low:high].astype(np.float64, copy=False).T
             open_rows = np.flatnonzero(least[rows] == -np.inf)  # any case counts for these
             if len(open_rows):
                 block = np.round(scores[open_rows], TIE_DIGITS)

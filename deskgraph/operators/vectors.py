@@ -22,8 +22,8 @@ SCORE_CELLS = 4_000_000
 TIE_DIGITS = 9
 
 
-def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of a list column as a dense double matrix."""
+def matrix(column: pa.ChunkedArray | pa.Array, dtype: type | None = np.float64) -> np.ndarray:
+    """Rows of a list column as a dense double matrix; without ``dtype`` in the type they have."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
@@ -32,7 +32,8 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     lengths = column.value_lengths()
     if lengths.null_count or pc.min(lengths).as_py() != pc.max(lengths).as_py():
         raise ValueError("vectors of different lengths cannot form a matrix; leave out those that are not usable")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(rows, -1)
+    values = column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+    return values if dtype is None else values.astype(dtype, copy=False)
 
 
 def usable_vector(vector: str, width: int | None = None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -172,3 +174,40 @@ def test_a_zone_meets_its_queries_as_brute_force_does(cases, queries, k, cells,
         fit = [j for j in range(cases) if cell[j] in asked[i] and (beat[i] is None or scores[j] >= beat[i])]
         want = sorted(fit, key=lambda j: (-scores[j], ids[j]))[:k]
         assert case[row == i].tolist() == want and score[row == i].tolist() == scores[want].tolist()
+
+
+def test_a_meeting_holds_few_doubles_however_many_rows_meet():
+    rng = np.random.default_rng(3)
+    rows, cells, width = 6000, 3, 16
+
+    def vectors():
+        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(rng.normal(size=rows * width), pa.float32()))
+
+    every = pa.array([list(range(cells))] * rows, pa.list_(pa.int32()))
+    q = pa.table({"_vector": vectors(), "cells": every, "beat": pa.nulls(rows, pa.float64())})
+    for cell in (np.arange(rows) % cells, np.full(rows, 1)):  # several cells, one large cell
+        c = pa.table({"case_id": rng.permutation(rows), "embedding": vectors(), "cell": pa.array(cell, pa.int32())})
+        tracemalloc.start()
+        row, _, _ = case_index._meet(q, c, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(row) == 3 * rows and peak < 30e6  # a block of 4 million scores had taken 32 MB several times over
+
+
+def test_a_run_of_a_cell_changes_no_result(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(-2, 3, (40, 3)).astype(float), rng.integers(-2, 3, (50, 3)).astype(float)
+    q = pa.table({"_vector": x.tolist(), "cells": pa.array([[0, 1]] * 40, pa.list_(pa.int32())), "beat": pa.nulls(40, pa.float64())})
+    c = pa.table({"case_id": rng.permutation(50), "embedding": y.tolist(), "cell": pa.array([0] * 45 + [1] * 5, pa.int32())})
+    want = [part.tolist() for part in case_index._meet(q, c, 4)]
+    monkeypatch.setattr(case_index, "CELL_ROWS", 7)
+    assert [part.tolist() for part in case_index._meet(q, c, 4)] == want
+
+
+def test_zones_of_many_cells_are_found_in_slices(spark, monkeypatch):
+    zones = case_index._zones({c: 10 + c % 7 for c in range(60)}, 8)
+    rows = spark.createDataFrame([(i, sorted({i % 60, (7 * i) % 60, 59})) for i in range(300)] + [(300, [])], "i int, cells array<int>")
+    place = lambda: sorted(rows.select("i", case_index._by_zone(zones)("cells").alias("z")).collect())
+    whole = place()
+    monkeypatch.setattr(case_index, "SLICE_CELLS", 200)  # three rows a slice
+    assert place() == whole and sum(len(z["cells"]) for r in whole for z in r["z"]) == rows.selectExpr("sum(size(cells)) AS n").first()["n"]
