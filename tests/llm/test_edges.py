@@ -112,3 +112,19 @@ def test_word_cache_keeps_asked_words_over_its_generations():
         texts = [f"the same words and new{i} other{i + j},  x<|endoftext|>y" for j in range(3)]
         for text, ids in zip(texts, encode(texts), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_learning_new_words_walks_no_word_that_is_kept():
+    class Kept(dict):
+        def __iter__(self):
+            raise AssertionError("walked all the words that are kept")
+
+    text = "Plain words, plain words! \u00dcber na\u00efve x1 (y) <w> \u4f60\u597d end. End"
+    encode = packing.word_encoder(tokenizer_path(), cached=100_000)
+    held = packing.worker_cache(f"encoder:{tokenizer_path()}")
+    want = encode([text])
+    held["older"], held["words"] = Kept(held["words"]), {}
+    assert encode([text]) == want  # all from the older words
+    held["older"], held["words"] = Kept({"Plain": held["words"]["Plain"]}), {}
+    assert encode([text]) == want  # one of them, the others anew
+    held["older"], held["words"] = {}, {}
