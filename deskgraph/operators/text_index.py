@@ -1,22 +1,24 @@
 """A stored index of case texts for exact top-k search by TF-IDF cosine, with block maxima.
 
 Every case is a unit vector over a vocabulary fitted on the cases.  Cases are dealt into shards; in a shard, cases with the same
-heaviest term stand together and are cut into blocks.  A term's postings are kept by block, each with the term's largest weight in it.
+heaviest term stand together and are cut into blocks.  A block's postings are kept by term, each term with its largest weight in the block.
 The sum of a query's weights times these maxima bounds every score in a block: blocks are visited from the largest bound down, until the
-bound falls below the kth score.  So the result is exact, and most postings of common terms are never read.
+bound falls below the kth score.  So the result is exact.  A task meets one shard with one block of queries, both of bounded size; a shard
+is copied once for each block of queries, and a query once for each shard.
 
-On disk: ``shards`` (one packed row each), ``vocabulary`` (term, number, idf) and ``about`` (how texts become terms).  The
-index is built once, opened anywhere and used by any number of searches.
+On disk: ``shards`` (pieces of packed bytes, the first with the case ids), ``vocabulary`` (term, number, idf) and ``about`` (how texts
+become terms).  The index is built once, opened anywhere and used by any number of searches.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
@@ -27,18 +29,21 @@ from deskgraph.operators.skew import top_n_per_group
 from deskgraph.operators.vectors import TIE_DIGITS
 from deskgraph.session import materialise, shared_folder
 
-#: A task meets one shard of cases with one block of queries.
-SHARD_ROWS = 16_384
-QUERY_ROWS = 1024
-#: Cases in a block, whose largest weights bound their scores.
-BLOCK_ROWS = 64
+#: A task meets one shard of cases with one block of queries; both have at most about so many rows, and terms of these.
+SHARD_ROWS = 65_536
+QUERY_ROWS = 16_384
+MEETING_TERMS = 1_000_000
+#: Cases in a block, whose scores are added up at once; at most 65,536, as places in a block take two bytes.
+BLOCK_ROWS = 65_536
+#: Bytes of a shard in one row.
+PIECE_BYTES = 1_048_576
 
 VECTOR = "struct<indices: array<int>, values: array<double>>"
-PACKED = {"segments": "<i4", "segment_block": "<i4", "segment_most": "<f8", "postings": "<i4", "cases": "<i4", "weights": "<f8"}
+PACKED = {"postings": "<i4", "most": "<f8", "cases": "<u2", "weights": "<f8", "ranks": "<i4"}
 
 
 def pack(ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, features: int, block_rows: int = BLOCK_ROWS) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The order of a shard's cases, and its postings by term and block.  ``ends`` cut ``terms`` and ``weights`` into cases, which come by id."""
+    """The order of a shard's cases, and its postings by block and term.  ``ends`` cut ``terms`` and ``weights`` into cases, which come by id."""
     sizes = np.diff(ends)
     heaviest = np.full(len(sizes), features)
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -49,59 +54,54 @@ def pack(ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, features: int
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     case = place[row]
-    at = np.lexsort((case, terms))
-    case, term, weight = case[at], terms[at], weights[at]
-    block = case // block_rows
-    new = np.ones(len(term), bool)
-    new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-    starts = np.flatnonzero(new)
-    most = np.maximum.reduceat(weight, starts) if len(starts) else np.zeros(0)
-    return order, {
-        "segments": np.searchsorted(term[starts], np.arange(features + 1)), "segment_block": block[starts], "segment_most": most,
-        "postings": np.append(starts, len(term)), "cases": case, "weights": weight,
-    }
-
-
-def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each start, as many as its size."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    part = case // block_rows * features + terms
+    at = np.argsort(part * block_rows + case % block_rows)
+    parts_of_all = -(-len(order) // block_rows) * features
+    postings = np.searchsorted(part[at], np.arange(parts_of_all + 1))
+    most, held = np.zeros(parts_of_all), np.flatnonzero(np.diff(postings))
+    if len(held):
+        most[held] = np.maximum.reduceat(weights[at], postings[held])
+    return order, {"postings": postings, "most": most, "cases": case[at] % block_rows, "weights": weights[at]}
 
 
 def best_cases(shard: dict[str, np.ndarray], rank: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, block_rows: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of the ``k`` best cases of a shard that share a term with the query; equal scores by ``rank``."""
-    low = shard["segments"][terms].astype(np.int64)
-    count = shard["segments"][terms + 1] - low
-    segment, factor = spread(low, count), np.repeat(weights, count)
-    block = shard["segment_block"][segment]
-    bound = np.bincount(block, factor * shard["segment_most"][segment], -(-len(rank) // block_rows))
-    order = np.argsort(-bound, kind="stable")
-    turn = np.empty(len(order), np.int64)
-    turn[order] = np.arange(len(order))
-    turns, falling = turn[block], -bound[order]
-    visited = np.searchsorted(falling, 0.0)  # the others hold no term of the query
+    blocks = -(-len(rank) // block_rows)
+    most = shard["most"].reshape(blocks, -1)
+    bound = most[:, terms] @ weights
     found, score = np.zeros(0, np.int64), np.zeros(0)
-    begin, step = 0, 4
-    while begin < visited:
+    for block in np.argsort(-bound, kind="stable").tolist():
         least = score[-1] if len(score) == k else 0.0
         # scores are rounded, so a bound just below the score to beat may still reach it
-        end = min(begin + step, visited, int(np.searchsorted(falling, -(least - 2 * 10.0**-TIE_DIGITS), "right")))
-        if end <= begin:
-            break
-        part = np.flatnonzero((turns >= begin) & (turns < end))
-        first = shard["postings"][segment[part]].astype(np.int64)
-        size = shard["postings"][segment[part] + 1] - first
-        at = spread(first, size)
-        slot = np.repeat((turns[part] - begin) * block_rows, size) + shard["cases"][at] % block_rows
-        total = np.bincount(slot, shard["weights"][at] * np.repeat(factor[part], size), (end - begin) * block_rows)
-        slot = np.flatnonzero(total)
-        total = np.round(total[slot], TIE_DIGITS)
-        slot, total = slot[total >= least], total[total >= least]
-        found, score = np.concatenate([found, order[begin + slot // block_rows] * block_rows + slot % block_rows]), np.concatenate([score, total])
+        if bound[block] == 0 or bound[block] < least - 2 * 10.0**-TIE_DIGITS:
+            break  # the others hold no term of the query, or nothing that counts
+        part = terms + block * most.shape[1]
+        ends = list(zip(shard["postings"][part].tolist(), shard["postings"][part + 1].tolist(), strict=True))
+        places = np.concatenate([shard["cases"][a:b] for a, b in ends], dtype=np.int64)
+        total = np.bincount(places, np.concatenate([shard["weights"][a:b] * w for (a, b), w in zip(ends, weights.tolist(), strict=True)]), block_rows)
+        floor = total.max() if k == 1 else np.partition(total, -k)[-k] if k < len(total) else 0.0
+        slot = np.flatnonzero(total >= max(floor, least) - 2 * 10.0**-TIE_DIGITS)
+        slot = slot[total[slot] > 0]
+        found, score = np.concatenate([found, slot + block * block_rows]), np.concatenate([score, np.round(total[slot], TIE_DIGITS)])
         top = np.lexsort((rank[found], -score))[:k]
-        found, score, begin, step = found[top], score[top], end, 2 * step
+        found, score = found[top], score[top]
     return found, score
 
 
+def cut(arrays: dict[str, np.ndarray]) -> list[bytes]:
+    """Packed arrays as pieces of ``PIECE_BYTES``; in front their lengths."""
+    held = [np.ascontiguousarray(arrays[n], kind).tobytes() for n, kind in PACKED.items()]
+    whole = np.array([len(h) for h in held], "<i8").tobytes() + b"".join(held)
+    return [whole[i : i + PIECE_BYTES] for i in range(0, len(whole), PIECE_BYTES)]
+
+
+def joined(pieces: list[bytes]) -> dict[str, np.ndarray]:
+    """The arrays that :func:`cut` cut."""
+    whole, head = b"".join(pieces), 8 * len(PACKED)
+    ends = head + np.cumsum([0, *np.frombuffer(whole[:head], "<i8")])
+    return {n: np.frombuffer(whole[ends[i] : ends[i + 1]], kind) for i, (n, kind) in enumerate(PACKED.items())}
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """An opened index: where it lies, its vocabulary (at most ``features`` terms) and how texts become terms."""
@@ -124,21 +124,24 @@ class TextIndex:
         stops: Sequence[str] | None = None,
         ngrams: int = 1,
         shard_rows: int = SHARD_ROWS,
+        counts: DataFrame | None = None,
     ) -> "TextIndex":
         """Write the index of ``corpus`` to ``path`` (a fresh shared folder without it) and open it.
 
-        The vocabulary are the ``features`` most frequent terms, ties to the lower term, with smoothed idf.
+        The vocabulary are the ``features`` most frequent terms, ties to the lower term, with smoothed idf.  ``counts`` are the stored
+        :func:`tfidf.count_terms` of these cases, where a caller has them.
         """
         spark = corpus.sparkSession
         path = path or shared_folder(spark, "text-index")
         stops = tfidf.stop_words() if stops is None else list(stops)
         words = corpus.select(F.col(case_id).alias("case_id"), tfidf.terms(F.col(text), stops, ngrams).alias("terms"))
-        counts = materialise(tfidf.count_terms(corpus, text, stops, ngrams), "term-counts")
+        counts = materialise(tfidf.count_terms(corpus, text, stops, ngrams), "term-counts") if counts is None else counts
         rows = counts.where(F.col("term").isNull()).agg(F.coalesce(F.sum("cases"), F.lit(0))).first()[0]
         known = counts.where(F.col("term").isNotNull()).orderBy(F.desc("total"), "term").limit(features)
         idf = F.log((F.lit(1.0) + F.lit(rows)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-        known.select("term", idf.alias("idf")).coalesce(1).write.parquet(f"{path}/vocabulary")
-        shards = max(1, -(-rows // shard_rows))
+        known.select("term", "df", idf.alias("idf")).coalesce(1).write.parquet(f"{path}/vocabulary")
+        held = spark.read.parquet(f"{path}/vocabulary").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]  # terms of all cases
+        shards = max(1, -(-rows // shard_rows), -(-held // MEETING_TERMS))
         spark.createDataFrame([(stops, ngrams, shards)], "stops array<string>, ngrams int, shards int").coalesce(1).write.parquet(f"{path}/about")
         index = TextIndex.open(spark, path)
         size = len(index.terms)
@@ -148,18 +151,16 @@ class TextIndex:
             vectors = table["embedding"].combine_chunks()
             ends, terms, weights = parts(vectors)
             order, made = pack(ends, terms, weights, size)
-            columns = [pa.array([np.ascontiguousarray(made[n], kind).tobytes()], pa.binary()) for n, kind in PACKED.items()]
+            pieces = cut(made | {"ranks": order})  # cases came by id, so the old place is the rank
             ids = table["case_id"].combine_chunks().take(pa.array(order))
-            ranks = pa.array([order.astype("<i4").tobytes()], pa.binary())  # cases came by id, so the old place is the rank
-            shard_no = pa.array([table["shard"][0].as_py()], pa.int32())
-            offsets = pa.array([0, len(ids)], pa.int32())
-            return pa.Table.from_arrays([shard_no, pa.ListArray.from_arrays(offsets, ids), ranks, *columns], names=["shard", "ids", "ranks", *PACKED])
+            offsets = pa.array([0] + [len(ids)] * len(pieces), pa.int32())  # the first piece has them all
+            numbers = [pa.array([table["shard"][0].as_py()] * len(pieces), pa.int32()), pa.array(range(len(pieces)), pa.int32())]
+            return pa.Table.from_arrays([*numbers, pa.ListArray.from_arrays(offsets, ids), pa.array(pieces, pa.binary())], names=["shard", "piece", "ids", "data"])
 
         kind = words.schema["case_id"].dataType.simpleString()
         vectors = words.where(F.col("case_id").isNotNull()).select("case_id", index.vector(F.col("terms")).alias("embedding"))
         dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("case_id"), F.lit(shards)).cast("int"))
-        shape = f"shard int, ids array<{kind}>, ranks binary, " + ", ".join(f"{n} binary" for n in PACKED)
-        dealt.groupBy("shard").applyInArrow(shard, shape).write.parquet(f"{path}/shards")
+        dealt.groupBy("shard").applyInArrow(shard, f"shard int, piece int, ids array<{kind}>, data binary").write.parquet(f"{path}/shards")
         return index
 
     @staticmethod
@@ -171,20 +172,23 @@ class TextIndex:
 
     def vector(self, terms):
         """A column of terms as unit vectors; null without a known term.  Rows stay where they are."""
-        number, idf = {t: i for i, t in enumerate(self.terms)}, self.idf
+        known, idf = pa.array(self.terms, pa.string()), self.idf
 
         def weigh(column: pa.Array) -> pa.Array:
-            sizes, indices, values = [0], [], []
-            for row in (row for part in tfidf.slices(column) for row in part.to_pylist()):
-                counts = Counter(number[t] for t in row or () if t in number)
-                at = np.fromiter(sorted(counts), np.int64, len(counts))
-                raw = np.fromiter((counts[i] for i in at.tolist()), np.float64, len(at)) * idf[at]
+            sizes, indices, values = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for part in tfidf.slices(column):
+                row, term, names = tfidf.listed(part)
+                number = pc.fill_null(pc.index_in(names, known), -1).to_numpy()[term]
+                pairs, count = np.unique((row * len(known) + number)[number >= 0], return_counts=True)
+                at = pairs % max(1, len(known))
+                raw = count * idf[at]
+                ends = np.searchsorted(pairs, np.arange(len(part) + 1) * len(known))
+                norms = [np.sqrt((raw[a:b] * raw[a:b]).sum()) for a, b in pairwise(ends.tolist())]
                 indices.append(at)
-                values.append(raw / np.sqrt((raw * raw).sum()) if len(at) else raw)
-                sizes.append(len(at))
-            offsets = pa.array(np.cumsum(sizes), pa.int32())
-            indices = pa.array(np.concatenate([np.zeros(0, np.int64), *indices]), pa.int32())
-            values = pa.array(np.concatenate([np.zeros(0), *values]))
+                values.append(raw / np.repeat(norms, np.diff(ends)))
+                sizes.append(np.diff(ends))
+            offsets = pa.array(np.cumsum(np.concatenate(sizes)), pa.int32())
+            indices, values = pa.array(np.concatenate(indices), pa.int32()), pa.array(np.concatenate(values))
             lists = [pa.ListArray.from_arrays(offsets, indices), pa.ListArray.from_arrays(offsets, values)]
             return pa.StructArray.from_arrays(lists, names=["indices", "values"])
 
@@ -196,7 +200,8 @@ class TextIndex:
         words = tfidf.terms(F.col(text), self.stops, self.ngrams)
         asked = queries.select(F.monotonically_increasing_id().alias("query_row"), F.col(query_id).alias("query_id"), self.vector(words).alias("embedding"))
         asked = materialise(asked.where(F.size("embedding.indices") > 0), "text-queries")
-        blocks = max(1, -(-asked.count() // query_rows))
+        rows, held = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding.indices")), F.lit(0))).first()
+        blocks = max(1, -(-rows // query_rows), -(-held // MEETING_TERMS))
         shards = self.spark.read.parquet(f"{self.path}/shards")
         id_type = shards.schema["ids"].dataType.elementType.simpleString()
         shape = f"query_row long, query_id {asked.schema['query_id'].dataType.simpleString()}, case_id {id_type}, similarity double"
@@ -204,11 +209,11 @@ class TextIndex:
         def meet(one: pa.Table, q: pa.Table) -> pa.Table:
             number, places, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             if one.num_rows:
-                shard = {n: np.frombuffer(one[n][0].as_py(), t) for n, t in PACKED.items()}
-                rank = np.frombuffer(one["ranks"][0].as_py(), "<i4")
+                one = one.sort_by("piece")
+                shard = joined(one["data"].to_pylist())
                 ends, terms, weights = parts(q["embedding"].combine_chunks())
                 for i in range(q.num_rows):
-                    found, score = best_cases(shard, rank, terms[ends[i] : ends[i + 1]], weights[ends[i] : ends[i + 1]], k)
+                    found, score = best_cases(shard, shard["ranks"], terms[ends[i] : ends[i + 1]], weights[ends[i] : ends[i + 1]], k)
                     number.append(np.full(len(found), i))
                     places.append(found)
                     scores.append(score)
