@@ -16,6 +16,7 @@ from deskgraph.operators.replies import canned_reply
 from deskgraph.operators.retrieval import verbatim_nearest_reply
 from deskgraph.operators.text_index import TextIndex
 from deskgraph.operators.tfidf import fit_tfidf
+from deskgraph.session import materialise
 
 OUTPUT = (
     "system_name",
@@ -82,7 +83,9 @@ def logistic_intent(
     )
     back = IndexToString(inputCol="_prediction", outputCol="predicted_intent", labels=indexer.labels)
     vectors = fit_tfidf(train, text, features, output="_tfidf")
-    fitted = regression.fit(indexer.transform(vectors.transform(train)))
+    # the fit reads its rows more than once, but texts become vectors once
+    rows = materialise(vectors.transform(train.select(text, label)).select(label, "_tfidf"), "training-vectors")
+    fitted = regression.fit(indexer.transform(rows))
     return PipelineModel(stages=[vectors, fitted, back])
 
 

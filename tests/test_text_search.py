@@ -1,12 +1,16 @@
-"""The text search in bounded meetings."""
+"""The text search in bounded meetings, counted words and pairs, and training texts that are read once."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from deskgraph.operators import retrieval, text_index
+from deskgraph.operators import baselines, retrieval, text_index, tfidf
 from deskgraph.operators.text_index import TextIndex
+from deskgraph.session import materialise
 
 
 def frame(spark, rows, words=30, name="case_id", seed=2):
@@ -44,3 +48,26 @@ def test_pieces_join_to_what_was_cut(monkeypatch):
     back = text_index.joined(pieces)
     assert max(map(len, pieces)) == 7 and back["ranks"].tolist() == order.tolist()
     assert all(back[n].tolist() == shard[n].tolist() for n in shard)
+
+
+@pytest.mark.parametrize("ngrams", [1, 2])
+def test_counted_words_and_pairs_match_plain_counts(ngrams):
+    lists = [["a", "b", "a", "b"], [], None, ["b"], ["a", "b", "c"], ["c", "c", "c"]]
+    total, df = Counter(), Counter()
+    for row in lists:
+        found = (row or []) + [f"{x} {y}" for x, y in zip(row or [], (row or [])[1:], strict=False)] * (ngrams - 1)
+        total.update(found)
+        df.update(set(found))
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], names=["words"])
+    got = [r for out in tfidf._count(iter([batch]), ngrams) for r in out.to_pylist()]
+    assert {r["term"]: (r["total"], r["df"]) for r in got if r["term"]} == {t: (n, df[t]) for t, n in total.items()}
+    assert [r["cases"] for r in got if r["term"] is None] == [len(lists)]
+
+
+def test_training_texts_become_vectors_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(baselines, "materialise", lambda rows, purpose: stored.append((purpose, rows.columns)) or materialise(rows, purpose), raising=False)
+    train = frame(spark, 40).selectExpr("*", "if(case_id % 2 = 0, 'en', 'fr') AS pseudo_intent")
+    model = baselines.logistic_intent(train, features=20)
+    assert stored == [("training-vectors", ["pseudo_intent", "_tfidf"])]
+    assert baselines.classify_logistic(model, train).where("predicted_intent IN ('en', 'fr')").count() == 40
