@@ -8,7 +8,6 @@ has the idf of a term in no text.  Vectors have unit length.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -21,7 +20,6 @@ from pyspark.sql.pandas.functions import arrow_udf
 from deskgraph import defaults as D
 from deskgraph.operators import tfidf
 from deskgraph.operators.vectors import Centroids, prototype_centroids
-from deskgraph.session import materialise
 
 DIMENSIONS = 256
 #: Terms whose place a task remembers.
@@ -52,10 +50,14 @@ class TextEncoder:
         features: int = D.TFIDF_FEATURES,
         stops: Sequence[str] | None = None,
         ngrams: int = 1,
+        counts: DataFrame | None = None,
     ) -> "TextEncoder":
-        """Count terms over all ``rows``; the ``features`` most frequent ones, ties to the lower term, keep their own idf."""
+        """Count terms over all ``rows``; the ``features`` most frequent ones, ties to the lower term, keep their own idf.
+
+        ``counts`` are the :func:`tfidf.top_terms` of these rows, where a caller has them.
+        """
         stops = tfidf.stop_words() if stops is None else list(stops)
-        counts = materialise(tfidf.count_terms(rows, text, stops, ngrams), "encoder-terms")
+        counts = tfidf.top_terms(rows, text, stops, ngrams, features, "encoder-terms") if counts is None else counts
         texts = counts.where(F.col("term").isNull()).agg(F.coalesce(F.sum("cases"), F.lit(0))).first()[0]
         kept = counts.where(F.col("term").isNotNull()).orderBy(F.desc("total"), "term").limit(features).toArrow()  # features rows
         idf = np.log((1.0 + texts) / (1.0 + kept["df"].to_numpy())) + 1.0
@@ -78,18 +80,28 @@ class TextEncoder:
 
         def encode(column: pa.Array) -> pa.Array:
             places: dict[str, tuple[int, float]] = {}
-            out, known = np.zeros((len(column), dimensions)), np.zeros(len(column), bool)
-            for i, row in enumerate(row for part in tfidf.slices(column) for row in part.to_pylist()):
-                if len(places) > HELD_TERMS:
+            out = np.zeros((len(column), dimensions))
+            begin = 0
+            for part in tfidf.slices(column):
+                row, term, names = tfidf.listed(part)
+                if len(places) + len(names) > HELD_TERMS:
                     places.clear()
-                for term, n in Counter(row or ()).items():
-                    if term not in places:
-                        places[term] = place(term, dimensions)
-                    at, sign = places[term]
-                    out[i, at] += sign * n * idf.get(term, other)
-                norm = np.sqrt((out[i] * out[i]).sum())
-                known[i] = norm > 0
-                out[i] /= norm if norm > 0 else 1.0
+                own = names.to_pylist()
+                for name in own:
+                    if name not in places:
+                        places[name] = place(name, dimensions)
+                at = np.fromiter((places[n][0] for n in own), np.int64, len(own))
+                signed = np.fromiter((places[n][1] for n in own), np.float64, len(own))
+                weight = np.fromiter((idf.get(n, other) for n in own), np.float64, len(own))
+                pairs, first, count = np.unique(row * max(1, len(own)) + term, return_index=True, return_counts=True)
+                pairs, count = pairs[order := np.argsort(first)], count[order]  # summed in the order of the text
+                row, term = pairs // max(1, len(own)), pairs % max(1, len(own))
+                sums = np.bincount(row * dimensions + at[term], signed[term] * count * weight[term], len(part) * dimensions)
+                out[begin : begin + len(part)] = sums.reshape(len(part), dimensions)
+                begin += len(part)
+            norms = np.sqrt((out * out).sum(axis=1))
+            known = norms > 0
+            out /= np.where(known, norms, 1.0)[:, None]
             offsets = pa.array(np.arange(len(column) + 1, dtype=np.int32) * dimensions)
             return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()), mask=pa.array(~known))
 
@@ -100,7 +112,7 @@ class TextEncoder:
         """``rows`` with the vector of ``text``, also rows that the encoder was not fitted on."""
         return rows.withColumn(into, self.vector(F.col(text)))
 
-    def centroids(self, prototypes: DataFrame, label: str = "label", text: str = "text") -> Centroids:
-        """The centroid of each label's prototype texts; those without a term count nowhere."""
-        encoded = prototypes.select(F.col(label).alias("label"), self.vector(F.col(text)).alias("embedding"))
+    def centroids(self, prototypes: DataFrame, label: str = "label", text: str = "text", vector: str | None = None) -> Centroids:
+        """The centroid of each label's prototype texts; those without a term count nowhere.  A ``vector`` that was made of the text is used as it is."""
+        encoded = prototypes.select(F.col(label).alias("label"), (self.vector(F.col(text)) if vector is None else F.col(vector)).alias("embedding"))
         return Centroids.fit(prototype_centroids(encoded.where(F.col("embedding").isNotNull())))

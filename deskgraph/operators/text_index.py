@@ -128,14 +128,14 @@ class TextIndex:
     ) -> "TextIndex":
         """Write the index of ``corpus`` to ``path`` (a fresh shared folder without it) and open it.
 
-        The vocabulary are the ``features`` most frequent terms, ties to the lower term, with smoothed idf.  ``counts`` are the stored
-        :func:`tfidf.count_terms` of these cases, where a caller has them.
+        The vocabulary are the ``features`` most frequent terms, ties to the lower term, with smoothed idf.  ``counts`` are the
+        :func:`tfidf.top_terms` of these cases, where a caller has them.
         """
         spark = corpus.sparkSession
         path = path or shared_folder(spark, "text-index")
         stops = tfidf.stop_words() if stops is None else list(stops)
         words = corpus.select(F.col(case_id).alias("case_id"), tfidf.terms(F.col(text), stops, ngrams).alias("terms"))
-        counts = materialise(tfidf.count_terms(corpus, text, stops, ngrams), "term-counts") if counts is None else counts
+        counts = tfidf.top_terms(corpus, text, stops, ngrams, features, "term-counts") if counts is None else counts
         rows = counts.where(F.col("term").isNull()).agg(F.coalesce(F.sum("cases"), F.lit(0))).first()[0]
         known = counts.where(F.col("term").isNotNull()).orderBy(F.desc("total"), "term").limit(features)
         idf = F.log((F.lit(1.0) + F.lit(rows)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)

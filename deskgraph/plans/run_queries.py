@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskgraph import defaults as D
-from deskgraph.operators import baselines, gold, intent, metrics, sampling
+from deskgraph.operators import baselines, gold, intent, metrics, sampling, tfidf
 from deskgraph.operators.case_index import CaseIndex
 from deskgraph.operators.encoder import TextEncoder
 from deskgraph.operators.text_index import TextIndex
@@ -44,15 +44,18 @@ def pools(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 def predictions(train: DataFrame, examples: DataFrame) -> DataFrame:
     """The three systems' outputs for every example."""
-    encoder = TextEncoder.fit(train, "customer_text", stops=STOPS)
-    model = encoder.centroids(train, "label", "customer_text")
-    cases = materialise(encoder.apply(train.drop("label", "customer_tweet_id"), "customer_text"), "run-cases")
+    # terms are counted once for the encoder and the text index, and texts encoded once for the centroids and the cases
+    counts = tfidf.top_terms(train, "customer_text", STOPS, 1, D.TFIDF_FEATURES, "run-terms")
+    encoder = TextEncoder.fit(train, "customer_text", stops=STOPS, counts=counts)
+    encoded = materialise(encoder.apply(train.drop("customer_tweet_id"), "customer_text"), "run-cases")
+    model = encoder.centroids(encoded, "label", "customer_text", vector="embedding")
+    cases = encoded.drop("label")
     labelled = intent.centroid_batch_label(cases, model, threshold=SETTINGS.intent_threshold).withColumnRenamed("mapped_intent", "pseudo_intent")
     learned = baselines.logistic_intent(materialise(labelled.select("case_id", "customer_text", "brand_resolution", "pseudo_intent"), "run-labelled"))
     asked = examples.select("example_id", "customer_text")
     majority = labelled.groupBy("pseudo_intent").count().orderBy(F.desc("count"), "pseudo_intent").first()["pseudo_intent"]
     trivial = baselines.trivial_baseline(asked, majority_intent=majority)
-    texts = TextIndex.build(cases, stops=STOPS)
+    texts = TextIndex.build(cases, stops=STOPS, counts=counts)
     simple = baselines.simple_ml_baseline(learned, asked, cases.drop("embedding"), index=texts)
     messages = encoder.apply(examples, "customer_text").select(
         "example_id",

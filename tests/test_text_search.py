@@ -1,4 +1,4 @@
-"""The text search in bounded meetings, counted words and pairs, and training texts that are read once."""
+"""The text search in bounded meetings, counted words and pairs, and texts that are read once."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ import pyarrow as pa
 import pytest
 
 from deskgraph.operators import baselines, retrieval, text_index, tfidf
+from deskgraph.operators.encoder import TextEncoder, place
 from deskgraph.operators.text_index import TextIndex
+from deskgraph.plans import run_queries
 from deskgraph.session import materialise
 
 
@@ -71,3 +73,38 @@ def test_training_texts_become_vectors_once(spark, monkeypatch):
     model = baselines.logistic_intent(train, features=20)
     assert stored == [("training-vectors", ["pseudo_intent", "_tfidf"])]
     assert baselines.classify_logistic(model, train).where("predicted_intent IN ('en', 'fr')").count() == 40
+
+
+def test_encoded_texts_are_the_sums_of_their_terms(spark, monkeypatch):
+    monkeypatch.setattr(tfidf, "LISTED_TERMS", 9)
+    rows = frame(spark, 60).unionByName(spark.createDataFrame([(90, None, ""), (91, "", ""), (92, "the", "")], "case_id long, customer_text string, brand_resolution string"))
+    encoder = TextEncoder.fit(rows, "customer_text", dimensions=16, features=20, stops=["the"])
+    for r in encoder.apply(rows, "customer_text").collect():
+        want = np.zeros(16)
+        for term, n in Counter(w for w in (r["customer_text"] or "").split() if w != "the").items():
+            at, sign = place(term, 16)
+            want[at] += sign * n * encoder.idf.get(term, encoder.other)
+        norm = np.sqrt((want * want).sum())
+        assert r["embedding"] is None if norm == 0 else r["embedding"] == (want / norm).tolist()
+
+
+def test_a_run_reads_its_texts_once_for_each_use(spark, monkeypatch):
+    train = frame(spark, 60).selectExpr("case_id", "case_id AS customer_tweet_id", "customer_text", "brand_resolution", "if(case_id % 2 = 0, 'en', 'fr') AS label")
+    examples = frame(spark, 4, name="n", seed=5).selectExpr("concat('gold_', n) AS example_id", "customer_text", "'standard' AS edge_case_category")
+    made, counted = [], []
+    vector, count_terms = TextEncoder.vector, tfidf.count_terms
+    monkeypatch.setattr(TextEncoder, "vector", lambda self, text: made.append(1) or vector(self, text))
+    monkeypatch.setattr(tfidf, "count_terms", lambda *a, **b: counted.append(1) or count_terms(*a, **b))
+    got = run_queries.predictions(train, examples)
+    assert got.count() == 12 and {r["system_name"] for r in got.select("system_name").distinct().collect()} == {"trivial_baseline", "simple_ml_baseline", "proposed_system"}
+    # cases and examples; encoder with text index, and the trained baseline
+    assert len(made) == 2 and len(counted) == 2
+
+
+def test_only_the_terms_that_can_be_kept_are_stored(spark):
+    rows = frame(spark, 50)
+    whole = tfidf.count_terms(rows, "customer_text", [], 2).collect()
+    got = tfidf.top_terms(rows, "customer_text", [], 2, 7, "test-terms").collect()
+    want = sorted((r for r in whole if r["term"]), key=lambda r: (-r["total"], r["term"]))[:7]
+    assert sorted(map(tuple, (r for r in got if r["term"]))) == sorted(map(tuple, want)) and len(whole) > 100
+    assert [r["cases"] for r in got if r["term"] is None] == [50]
